@@ -26,20 +26,23 @@ def with_rank(findings: DataFrame) -> DataFrame:
 
 def ordered(findings: DataFrame) -> DataFrame:
     """Findings by severity, path, line and rule, over range partitions."""
-    return with_rank(findings).orderBy(*ORDER)
+    tied = with_rank(findings).withColumn("tie", F.monotonically_increasing_id())
+    return tied.orderBy(*ORDER, "tie").drop("tie")
 
 
 def placed(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows in a total order with their ``part`` and ``position`` within it.
 
-    Range partitions cut a key with very many rows between its rows, as the
-    rest of the order tells them apart.
+    The row's own number breaks ties, so that range partitions can cut between
+    the rows of one key, and even between copies of one row.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    tied = rows.withColumn("tie", F.monotonically_increasing_id())
     return (
-        rows.repartitionByRange(*columns)
-        .sortWithinPartitions(*columns)
+        tied.repartitionByRange(*columns, "tie")
+        .sortWithinPartitions(*columns, "tie")
         .withColumns({"part": F.spark_partition_id(), "position": position})
+        .drop("tie")
     )
 
 

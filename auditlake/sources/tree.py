@@ -28,6 +28,8 @@ LISTING_SCHEMA = "path string, size bigint"
 _BATCH_BYTES = 32 * 1024 * 1024
 # Directories the driver lists at most before tasks walk on from there.
 _FRONTIER = 256
+# Entries the driver holds at most of one folder, and about that many in all.
+_DRIVER_FILES = 100_000
 
 
 def _entries(folder: str) -> Iterator[os.DirEntry]:
@@ -52,7 +54,7 @@ def _file_row(path: str, follow: bool) -> tuple[str, int] | None:
 
 
 class _Part(InputPartition):
-    """Files as they are and folders to be walked, without ``depth`` if whole."""
+    """Files to be looked up and folders to be walked."""
 
     def __init__(self, files: list[str], folders: list[str]):
         super().__init__(None)
@@ -72,23 +74,31 @@ class TreeListingReader(DataSourceReader):
         if not os.path.isdir(root) or os.path.islink(root):
             return [_Part([root], [])]
         files: list[str] = []
-        folders = [root]
-        while folders and len(folders) < _FRONTIER:
+        folders, left = [root], []
+        while folders and len(folders) < _FRONTIER and len(files) < _DRIVER_FILES:
             below: list[str] = []
-            for i, folder in enumerate(folders):
-                for entry in _entries(folder):
-                    if entry.name in EXCLUDED_NAMES:
-                        continue
-                    if entry.is_dir(follow_symlinks=False):
-                        below.append(entry.path)
-                    else:
-                        files.append(entry.path)
-                if len(files) > 100_000:
-                    # A wide folder: leave the ones not listed yet to the tasks.
-                    below.extend(folders[i + 1:])
-                    return self._parts(files, below)
+            for folder in folders:
+                listed = self._list(folder) if len(files) < _DRIVER_FILES else None
+                if listed is None:
+                    left.append(folder)
+                    continue
+                files.extend(listed[0])
+                below.extend(listed[1])
             folders = below
-        return self._parts(files, folders)
+        return self._parts(files, folders + left)
+
+    @staticmethod
+    def _list(folder: str) -> tuple[list[str], list[str]] | None:
+        """Files and folders of a folder; ``None`` if it is too wide for the driver."""
+        files: list[str] = []
+        folders: list[str] = []
+        for entry in _entries(folder):
+            if entry.name in EXCLUDED_NAMES:
+                continue
+            (folders if entry.is_dir(follow_symlinks=False) else files).append(entry.path)
+            if len(files) + len(folders) > _DRIVER_FILES:
+                return None
+        return files, folders
 
     @staticmethod
     def _parts(files: list[str], folders: list[str]) -> list[_Part]:
@@ -142,7 +152,7 @@ def list_tree(spark: SparkSession, root: str, follow_symlinks: bool = False) ->
     )
     trimmed = root.rstrip("/")
     above = trimmed[: len(trimmed) - len(os.path.basename(trimmed))]
-    return listing.withColumn("name", F.expr("substr(path, 1 + :n)".replace(":n", str(len(above)))))
+    return listing.withColumn("name", F.expr(f"substr(path, {len(above) + 1})"))
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
