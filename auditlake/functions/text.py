@@ -57,14 +57,13 @@ def extension(path: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """A byte count as text in powers of 1024."""
+    """A byte count as text in powers of 1024; halves are rounded to even."""
     text = F.format_string("%d B", size.cast("long"))
-    out = F.when(size < 1024, text)
-    for power, letter in enumerate("KMGTP", start=1):
-        scaled = size.cast("double") / F.lit(float(1024**power))
-        out = out.when(size < 1024 ** (power + 1), F.format_string(f"%.1f {letter}B", scaled))
-    scaled = size.cast("double") / F.lit(float(1024**6))
-    return out.otherwise(F.format_string("%.1f EB", scaled))
+    for power, letter in enumerate("KMGTPE", start=1):
+        scaled = F.bround(size.cast("double") / F.lit(float(1024**power)), 1)
+        larger = F.format_string(f"%.1f {letter}B", scaled)
+        text = F.when(size >= 1024**power, larger).otherwise(text)
+    return text
 
 
 def unescape_html(text: Column) -> Column:

@@ -33,7 +33,7 @@ def documents(
     and no task gathers more than one run. Columns: the group, ``part``,
     ``chunk``, ``findings`` (their count) and ``document``.
     """
-    named = [c for c in findings.columns if c != group]
+    named = [c for c in findings.columns if c not in (group, "metadata")]
     runs = placed(with_rank(findings), group, *ORDER).withColumn(
         "chunk", F.floor(F.col("position") / size)
     )
