@@ -38,10 +38,13 @@ def check(pattern: str) -> None:
 
 
 def anchored(pattern: str) -> bool:
-    """Whether the pattern can tell a line on its own from a line within a text."""
-    bare = re.sub(r"\\[^AzbB]", "", pattern)
+    """Whether the pattern can tell the ends of a line from a break within a text.
+
+    Word boundaries cannot: a line break is no word character either.
+    """
+    bare = re.sub(r"\\[^Az]", "", pattern)
     bare = re.sub(r"\[\^?\]?[^\]]*\]", "", bare)
-    return bool(re.search(r"[\^$]|\\[AzbB]", bare))
+    return bool(re.search(r"[\^$]|\\[Az]", bare))
 
 
 def to_java(pattern: str) -> str:

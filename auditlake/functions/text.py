@@ -45,25 +45,22 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
-def base_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
-
-
-def extension(path: Column) -> Column:
+def extension_sql(path: str) -> str:
     """The last dot of the base name and what follows; empty without a dot."""
-    base = base_name(path)
-    tail = F.concat(F.lit("."), F.substring_index(base, ".", -1))
-    return F.when(base.contains("."), tail).otherwise(F.lit(""))
+    base = f"substring_index({path}, '/', -1)"
+    tail = f"concat('.', substring_index({base}, '.', -1))"
+    return f"CASE WHEN contains({base}, '.') THEN {tail} ELSE '' END"
 
 
-def human_size(size: Column) -> Column:
+def human_size_sql(size: str) -> str:
     """A byte count as text in powers of 1024; halves are rounded to even."""
-    text = F.format_string("%d B", size.cast("long"))
-    for power, letter in enumerate("KMGTPE", start=1):
-        scaled = F.bround(size.cast("double") / F.lit(float(1024**power)), 1)
-        larger = F.format_string(f"%.1f {letter}B", scaled)
-        text = F.when(size >= 1024**power, larger).otherwise(text)
-    return text
+    cases = []
+    for power, letter in reversed(list(enumerate("KMGTPE", start=1))):
+        unit = 1024**power
+        scaled = f"bround({size} / {float(unit)!r}D, 1)"
+        cases.append(f"WHEN {size} >= {unit} THEN format_string('%.1f {letter}B', {scaled})")
+    small = f"format_string('%d B', CAST({size} AS BIGINT))"
+    return f"CASE {' '.join(cases)} ELSE {small} END"
 
 
 def unescape_html(text: Column) -> Column:

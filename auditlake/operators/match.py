@@ -171,8 +171,8 @@ class Matcher:
 
     # --- findings ------------------------------------------------------------
 
-    def _findings(self) -> Column:
-        """SQL array of findings from ``hits``."""
+    def _findings(self, wanted: Sequence[str] = FINDING_COLUMNS) -> Column:
+        """SQL array of findings from ``hits``, with the wanted fields only."""
         constants = ", ".join(
             "named_struct("
             + ", ".join(
@@ -205,15 +205,20 @@ class Matcher:
             "metadata": "map('rule_name', r.title, 'category', r.category)",
             "timestamp": stamp,
         }
-        body = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+        body = ", ".join(f"'{name}', {fields[name]}" for name in wanted)
         finding = secrets.bind(rule, "r", f"named_struct({body})")
         return F.expr(f"transform(hits, h -> {finding})")
 
-    def results(self, targets: DataFrame) -> DataFrame:
-        """One row per target: ``path type metadata error findings``."""
+    def results(
+        self, targets: DataFrame, fields: Sequence[str] = FINDING_COLUMNS
+    ) -> DataFrame:
+        """One row per target: ``path type metadata error findings``.
+
+        Totals need no more of a finding than ``fields=("severity",)``.
+        """
         keep = ("type", "metadata")
         hits = self._with_hits(targets, keep, drop_clean=False)
-        return hits.select("path", *keep, "error", self._findings().alias("findings"))
+        return hits.select("path", *keep, "error", self._findings(fields).alias("findings"))
 
     def findings(self, targets: DataFrame) -> DataFrame:
         """One row per rule and line it fires on."""
@@ -229,9 +234,13 @@ def find(targets: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     return Matcher(options).findings(targets)
 
 
-def scan(targets: DataFrame, options: ScanOptions | None = None) -> DataFrame:
+def scan(
+    targets: DataFrame,
+    options: ScanOptions | None = None,
+    fields: Sequence[str] = FINDING_COLUMNS,
+) -> DataFrame:
     """Results of a scan, one row per target."""
-    return Matcher(options).results(targets)
+    return Matcher(options).results(targets, fields)
 
 
 def number_lines(targets: DataFrame) -> DataFrame:

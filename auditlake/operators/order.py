@@ -24,9 +24,21 @@ def with_rank(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity_rank", severity_rank(F.col("severity")))
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as written to the shared folder, so that they are found once.
+
+    A range sort looks at its input twice, first to choose the ranges; without
+    this it would scan all texts twice. Findings are small next to the texts.
+    """
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """Findings by severity, path, line and rule, over range partitions."""
-    tied = with_rank(findings).withColumn("tie", F.monotonically_increasing_id())
+    kept = stored(with_rank(findings), "findings")
+    tied = kept.withColumn("tie", F.monotonically_increasing_id())
     return tied.orderBy(*ORDER, "tie").drop("tie")
 
 
@@ -37,7 +49,7 @@ def placed(rows: DataFrame, *columns: str) -> DataFrame:
     the rows of one key, and even between copies of one row.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    tied = rows.withColumn("tie", F.monotonically_increasing_id())
+    tied = stored(rows, "findings").withColumn("tie", F.monotonically_increasing_id())
     return (
         tied.repartitionByRange(*columns, "tie")
         .sortWithinPartitions(*columns, "tie")
@@ -53,14 +65,12 @@ def numbered(findings: DataFrame) -> DataFrame:
     partitions. Partition counts, one row per partition, are what is collected
     into the running offsets and sent to every task.
     """
-    path = shared_path(findings.sparkSession, "ordered")
-    placed(with_rank(findings), *ORDER).write.parquet(path)
-    stored = findings.sparkSession.read.parquet(path)
-    sizes = stored.groupBy("part").agg(F.count("*").alias("size"))
+    rows = stored(placed(with_rank(findings), *ORDER), "ordered")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     return (
-        stored.join(F.broadcast(offsets), "part")
+        rows.join(F.broadcast(offsets), "part")
         .withColumn("ordinal", (F.col("offset") + F.col("position") + 1).cast("bigint"))
         .drop("part", "position", "offset")
     )

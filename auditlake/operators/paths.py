@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions import text
 from auditlake.functions.regex import glob_pattern
 from auditlake.model import FILE, INTENT, MAX_FILE_BYTES
 
@@ -50,7 +49,10 @@ def included_by_glob(path: Column, globs: Iterable[str], mode: str = INTENT) ->
 
 
 def is_binary_name(path: Column) -> Column:
-    return F.lower(text.extension(path)).isin(*BINARY_EXTENSIONS)
+    """Whether the base name's extension, its last dot on, is a binary one."""
+    base = F.substring_index(path, "/", -1)
+    extension = F.concat(F.lit("."), F.lower(F.substring_index(base, ".", -1)))
+    return base.contains(".") & extension.isin(*BINARY_EXTENSIONS)
 
 
 def wanted_path(

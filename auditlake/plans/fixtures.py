@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.sources.tables import targets_from_table, union_targets
+from auditlake.sources.tables import spread, targets_from_table, union_targets
 
 DOCKER_PATH = """concat('svc/', CAST(p_partkey AS STRING), CASE p_partkey % 3
  WHEN 0 THEN '/Dockerfile' WHEN 1 THEN '/Dockerfile.prod' ELSE '/app.dockerfile' END)"""
@@ -99,41 +99,56 @@ LONG_CONTENT = """concat('FROM ubuntu', chr(10), '#', repeat('x', CASE s_suppkey
  WHEN 0 THEN 65535 WHEN 1 THEN 65534 ELSE 10 END), chr(10), 'USER root', chr(10))"""
 
 
+# The columns the targets are made of.
+COLUMNS = {
+    "part": ("p_partkey", "p_size"),
+    "customer": ("c_custkey",),
+    "supplier": ("s_suppkey",),
+    "documents": ("doc_id", "lang", "text"),
+    "pages": ("page_id", "html"),
+    "conversations": ("conv_id", "turn", "text"),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name).select(*COLUMNS[name]))
+
+
 def dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(table(spark, sf_dir, "part"), DOCKER_PATH, DOCKER_CONTENT)
+    return targets_from_table(_rows(spark, sf_dir, "part"), DOCKER_PATH, DOCKER_CONTENT)
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(table(spark, sf_dir, "part"), K8S_PATH, K8S_CONTENT)
+    return targets_from_table(_rows(spark, sf_dir, "part"), K8S_PATH, K8S_CONTENT)
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(table(spark, sf_dir, "customer"), SECRET_PATH, SECRET_CONTENT)
+    return targets_from_table(_rows(spark, sf_dir, "customer"), SECRET_PATH, SECRET_CONTENT)
 
 
 def long_dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(table(spark, sf_dir, "supplier"), LONG_PATH, LONG_CONTENT)
+    return targets_from_table(_rows(spark, sf_dir, "supplier"), LONG_PATH, LONG_CONTENT)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(table(spark, sf_dir, "documents"), DOCUMENT_PATH, "text")
+    return targets_from_table(_rows(spark, sf_dir, "documents"), DOCUMENT_PATH, "text")
 
 
 def repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(table(spark, sf_dir, "documents"), REPO_PATH, "text")
+    return targets_from_table(_rows(spark, sf_dir, "documents"), REPO_PATH, "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages")
+    rows = _rows(spark, sf_dir, "pages")
     return targets_from_table(rows, PAGE_PATH, "html", unescape_html=True)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(table(spark, sf_dir, "conversations"), CONVERSATION_PATH, "text")
+    return targets_from_table(_rows(spark, sf_dir, "conversations"), CONVERSATION_PATH, "text")
 
 
 def everything(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import secrets, sql, text
 from auditlake.functions.session import shared_path
-from auditlake.model import REFERENCE, ScanOptions
+from auditlake.model import FINDING_COLUMNS, REFERENCE, ScanOptions
 from auditlake.operators import classify, match, order, paths, summary
 from auditlake.operators.catalog import catalog, custom_rule
 from auditlake.plans import fixtures
@@ -43,8 +43,8 @@ def _k8s(spark, sf_dir, mode="intent"):
     return match.find(fixtures.manifests(spark, sf_dir), options)
 
 
-def _results(spark, sf_dir, mode="intent"):
-    return match.scan(fixtures.everything(spark, sf_dir), ScanOptions(mode=mode))
+def _results(spark, sf_dir, mode="intent", fields=("rule_id", "severity")):
+    return match.scan(fixtures.everything(spark, sf_dir), ScanOptions(mode=mode), fields)
 
 
 def _all_findings(spark, sf_dir, **options):
@@ -230,7 +230,7 @@ def size_filter(spark, sf_dir):
 
 
 def target_metadata(spark, sf_dir):
-    metadata = file_metadata(F.col("path"), F.octet_length("content"))
+    metadata = file_metadata("path", "octet_length(content)")
     return fixtures.repository(spark, sf_dir).select(
         "path", metadata["extension"].alias("extension"), metadata["size"].alias("size")
     )
@@ -364,7 +364,7 @@ def sarif_documents(spark, sf_dir):
 
 
 def json_rows(spark, sf_dir):
-    rows = reports.json_rows(_results(spark, sf_dir))
+    rows = reports.json_rows(_results(spark, sf_dir, fields=FINDING_COLUMNS))
     n = F.coalesce(F.json_array_length(F.get_json_object("value", "$.findings")), F.lit(0))
     return rows.select(
         *_from_json(

@@ -11,11 +11,10 @@ from auditlake.functions import text
 from auditlake.model import FILE
 
 
-def file_metadata(path: Column, size: Column) -> Column:
-    """The ``extension`` and human ``size`` of a target."""
-    return F.create_map(
-        F.lit("size"), text.human_size(size), F.lit("extension"), text.extension(path)
-    )
+def file_metadata(path: str, size: str) -> Column:
+    """The ``extension`` and human ``size`` of a target, from SQL text."""
+    size, extension = text.human_size_sql(size), text.extension_sql(path)
+    return F.expr(f"map('size', {size}, 'extension', {extension})")
 
 
 def targets_from_table(
@@ -32,10 +31,21 @@ def targets_from_table(
         "path",
         F.lit(FILE).alias("type"),
         "content",
-        file_metadata(F.col("path"), F.octet_length("content")).alias("metadata"),
+        file_metadata("path", "octet_length(content)").alias("metadata"),
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when their files come in fewer pieces than there are cores.
+
+    Matching takes far more time than moving a row, so a few large row groups
+    should not keep most cores idle. Larger inputs are left as they are, without
+    a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def union_targets(*targets: DataFrame) -> DataFrame:
     """All targets of several roots or tables, appended without removing any."""
     return reduce(DataFrame.unionByName, targets)

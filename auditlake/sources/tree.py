@@ -240,5 +240,5 @@ def _as_targets(read: DataFrame) -> DataFrame:
         "path",
         F.lit(FILE).alias("type"),
         text.decode(F.col("content")).alias("content"),
-        file_metadata(F.col("path"), F.col("size")).alias("metadata"),
+        file_metadata("path", "size").alias("metadata"),
     )
