@@ -3,7 +3,8 @@
 ``read_tree`` reads every file of a tree, also the ones whose names begin with
 a dot or an underscore, which Spark's file sources leave out; the tree must be
 mounted on the executors. ``read_binary`` is Spark's own source, for any
-file system Spark knows but without those names.
+file system Spark knows but without those names, without empty files (which
+have no findings), and with links followed.
 """
 
 from __future__ import annotations
