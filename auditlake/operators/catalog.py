@@ -39,9 +39,10 @@ class Rule:
     - ``at``: a line number worked out once from ``content``, null for none.
 
     ``when`` is a further condition on ``path`` and ``content``, tested once
-    per file before its lines. ``guards`` are literals the pattern cannot match
-    without (all groups, any literal of each); ``unless`` is a pattern that
-    clears a line. ``match`` says what a finding reports: the ``"trimmed"`` or
+    per file before its lines. ``gate`` is a pattern that matches in any text
+    with a line that satisfies ``line``. ``guards`` are literals the pattern
+    cannot match without (all groups, any literal of each); ``unless`` is a
+    pattern that clears a line. ``match`` says what a finding reports: the ``"trimmed"`` or
     ``"raw"`` line, the ``"masked"`` secret, or else a fixed text.
     """
 
@@ -55,6 +56,7 @@ class Rule:
     line: str | None = None
     at: str | None = None
     when: str | None = None
+    gate: str | None = None
     guards: tuple[tuple[str, ...], ...] = ()
     unless: str | None = None
     match: str = "trimmed"
@@ -166,7 +168,7 @@ ENTROPY_RULE = Rule(
     "SECENT", "High Entropy String", "MEDIUM", "secret",
     "Quoted text random enough to be a secret that no other rule knows",
     "Revoke the credential and load it from a secret store at run time",
-    line=_unnamed_secret(), match="masked",
+    line=_unnamed_secret(), gate=secrets.CANDIDATE, match="masked",
 )
 
 # Patterns that span lines in intent mode, as ordered parts.
@@ -236,11 +238,11 @@ DOCKER_RULES = (
     _docker("DOCKER003", "MEDIUM", "No Tag Specified",
             "The base image has no tag and so follows a moving one",
             "Name a version of the base image",
-            line=_untagged_image(), match="raw"),
+            line=_untagged_image(), gate=r"(?i)FROM ", match="raw"),
     _docker("DOCKER004", "LOW", "ADD Instead of COPY",
             "ADD unpacks archives and fetches addresses, which local files do not need",
             "Copy local files with COPY",
-            line=_local_add()),
+            line=_local_add(), gate=r"(?i)ADD\s"),
     _docker("DOCKER005", "HIGH", "Secrets in Environment Variables",
             "An ENV value stays readable in the history of the image",
             "Mount the value as a build secret or set it when the container starts",
@@ -252,13 +254,13 @@ DOCKER_RULES = (
     _docker("DOCKER007", "LOW", "apt-get without --no-install-recommends",
             "Recommended packages are installed without being asked for",
             "Pass --no-install-recommends to apt-get install",
-            line=_recommended_packages()),
+            line=_recommended_packages(), gate=r"apt-get\s+install"),
     _docker("DOCKER008", "LOW", "Missing apt-get Clean",
             "The package lists stay in the image",
             "Remove /var/lib/apt/lists in the step that installs packages",
             when="NOT (contains(content, 'apt-get clean')"
             " OR contains(content, 'rm -rf /var/lib/apt/lists'))",
-            line="contains(line, 'apt-get install')", match="raw"),
+            line="contains(line, 'apt-get install')", gate="apt-get install", match="raw"),
     _docker("DOCKER009", "MEDIUM", "HEALTHCHECK Not Defined",
             "The container gives no sign of whether it works",
             "Add a HEALTHCHECK instruction",
@@ -319,6 +321,7 @@ K8S_RULES = (
          "The container can use up the resources of its node",
          "Set limits for processor and memory",
          when="NOT contains(content, 'limits:')", line="contains(line, 'containers:')",
+         gate="containers:",
          match="No resource limits defined"),
     _k8s("K8S010", "MEDIUM", "Latest Image Tag",
          "The image follows a moving tag", "Name a version of the image",
@@ -363,8 +366,8 @@ WHOLE_MANIFEST = ("K8S016", "K8S017")
 # What four rules do in reference mode, where a rule without a
 # working pattern never fires and a pattern sees one line at a time.
 REFERENCE_RULES = {
-    "DOCKER004": {"line": None, "at": NEVER},
-    "DOCKER007": {"line": None, "at": NEVER},
+    "DOCKER004": {"line": None, "gate": None, "at": NEVER},
+    "DOCKER007": {"line": None, "gate": None, "at": NEVER},
     "K8S008": {
         "at": None,
         "pattern": r"(?i)capabilities:[\s\S]*?add:[\s\S]*?(SYS_ADMIN|NET_ADMIN|ALL|SYS_PTRACE)",

@@ -89,10 +89,8 @@ class Matcher:
     @staticmethod
     def _text_pattern(rule: Rule) -> str | None:
         """A pattern that matches any text with a line the rule fires on."""
-        if rule.id == "SECENT":
-            return secrets.CANDIDATE
         if rule.pattern is None:
-            return None
+            return rule.gate
         if rule.family == "custom" and rule.file_types:
             return None
         if not regex.anchored(rule.pattern):

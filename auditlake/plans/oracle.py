@@ -312,6 +312,9 @@ ORACLE: dict[str, str] = {
  substring(sha256(concat(path, ':', line_no, ':CUSTOM010')), 1, 16) AS id, 'CUSTOM010' AS rule_id,
  'MEDIUM' AS severity, 'MISCONFIGURATION' AS type, path AS file_path, line_no AS start_line,
  line AS match FROM l WHERE line = 'kind: Pod'""",
+    "extra_scanner": f"""{_found(DOCUMENTS, _secret_rows(True))} {SHOW} UNION ALL
+ SELECT substring(sha256(concat(path, ':1:SHORT')), 1, 16), 'SHORT', 'INFO', 'MISCONFIGURATION',
+  path, CAST(1 AS INTEGER), length(content) || ' characters' FROM t WHERE length(content) < 200""",
     "rule_select": f"""{ALL} SELECT rule_id, count(*) AS findings FROM f WHERE rule_id IN
  ('SEC003', 'SEC014', 'DOCKER001', 'DOCKER007', 'K8S008', 'K8S016') GROUP BY ALL""",
     "rule_disable": f"""{ALL} SELECT rule_id, count(*) AS findings FROM f WHERE rule_id NOT IN

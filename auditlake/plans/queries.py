@@ -12,6 +12,7 @@ from auditlake.functions.session import shared_path
 from auditlake.model import FINDING_COLUMNS, REFERENCE, ScanOptions
 from auditlake.operators import classify, match, order, paths, summary
 from auditlake.operators.catalog import catalog, custom_rule
+from auditlake.operators.extend import Scanner, find_with
 from auditlake.plans import fixtures
 from auditlake.sinks import common, reports, sarif
 from auditlake.sources.tables import file_metadata, targets_from_table
@@ -150,6 +151,25 @@ def custom_k8s_rule(spark, sf_dir):
     return match.find(fixtures.manifests(spark, sf_dir), options).select(*SHOWN)
 
 
+def _short_texts(targets):
+    """A scanner that reports texts of fewer than 200 characters."""
+    found = targets.filter(F.length("content") < 200)
+    fields = {
+        "id": "substring(sha2(concat(path, ':1:SHORT'), 256), 1, 16)", "rule_id": "'SHORT'",
+        "title": "'Short Text'", "description": "''", "severity": "'INFO'",
+        "type": "'MISCONFIGURATION'", "file_path": "path", "start_line": "1", "end_line": "1",
+        "match": "concat(length(content), ' characters')", "remediation": "''",
+        "metadata": "map('rule_name', 'Short Text')", "timestamp": "CAST(NULL AS TIMESTAMP)",
+    }
+    return found.selectExpr(*[f"{value} AS {name}" for name, value in fields.items()])
+
+
+def extra_scanner(spark, sf_dir):
+    options = ScanOptions(scanners=("secrets",), entropy=True)
+    scanner = Scanner("short-texts", _short_texts)
+    return find_with(fixtures.documents(spark, sf_dir), [scanner], options).select(*SHOWN)
+
+
 def rule_select(spark, sf_dir):
     wanted = ("SEC003", "SEC014", "DOCKER001", "DOCKER007", "K8S008", "K8S016")
     return _counts(_all_findings(spark, sf_dir, enabled_rules=wanted), "rule_id")
@@ -475,7 +495,7 @@ QUERIES: dict[str, Query] = {
         secret_planted, secret_masked, secret_allowlist, entropy_candidates,
         docker_findings, docker_findings_reference, docker_rule_counts,
         k8s_findings, k8s_findings_reference, k8s_rule_counts, k8s_file_checks,
-        custom_rules, custom_k8s_rule, rule_select, rule_disable, severity_filter,
+        custom_rules, custom_k8s_rule, extra_scanner, rule_select, rule_disable, severity_filter,
         rule_catalog, findings_enriched, lines_numbered, classify_targets,
         path_exclude, path_exclude_reference, path_include, binary_ext_filter, size_filter,
         target_metadata, oversize_lines, finding_ids, scan_summary, scan_summary_reference,

@@ -6,8 +6,9 @@ import pytest
 from helpers import found, targets
 from pyspark.sql import functions as F
 
+from auditlake.config import read_config, size_in_bytes
 from auditlake.functions import secrets
-from auditlake.model import DEFAULT_EXCLUDES, DEFAULT_SEVERITIES, ScanOptions
+from auditlake.model import CONFIG_EXCLUDES, DEFAULT_EXCLUDES, DEFAULT_SEVERITIES, ScanOptions
 from auditlake.operators import classify
 from auditlake.operators.catalog import (
     builtin_rules,
@@ -16,6 +17,7 @@ from auditlake.operators.catalog import (
     rules_from_config,
     select_rules,
 )
+from auditlake.operators.extend import Scanner, find_with
 from auditlake.operators.match import find, scan
 
 ACCESS_KEY = "AK" + "IAIOSFODNN7EXAMPLE"
@@ -243,3 +245,40 @@ def test_entropy_rule(spark):
     ]
     assert found(spark, rows, entropy=True) == [("a", 1, "SECENT"), ("d", 1, "SECENT")]
     assert found(spark, rows) == []
+
+
+def test_configuration(spark):
+    config = read_config(
+        {
+            "scan": {"exclude": ["**/test/**"], "max_file_size": "2KB", "follow_symlinks": True},
+            "rules": {"disabled": ["SEC014"], "custom": [{"id": "C9", "pattern": "INTERNAL_[A-Z]{4}"}]},
+            "output": {"format": "sarif"}, "ci": {"fail_on": "low"},
+        }
+    )
+    options = config.options
+    assert (options.excludes, options.max_file_bytes) == (("**/test/**",), 2048)
+    assert (config.follow_symlinks, config.format, config.fail_on) == (True, "sarif", "low")
+    assert "SEC014" not in {r.id for r in select_rules(options)}
+    frame = find(targets(spark, [("a", "INTERNAL_ABCD")]), options)
+    assert [(r.rule_id, r.severity) for r in frame.collect()] == [("C9", "MEDIUM")]
+    assert read_config({}).options.excludes == CONFIG_EXCLUDES
+    with pytest.raises(ValueError, match="not a size"):
+        size_in_bytes("ten")
+
+
+def test_scanners_of_ones_own(spark):
+    def nothing(frame):
+        return find(frame).limit(0)
+
+    seen = []
+
+    def own(frame):
+        seen.append(frame)
+        return find(frame, ScanOptions(scanners=("secrets",)))
+
+    rows = targets(spark, [("a", ACCESS_KEY)])
+    assert find_with(rows, [Scanner("none", nothing), Scanner("own", own)]).count() == 2
+    assert find_with(rows, [Scanner("urls", own, types=("URL",))]).count() == 1
+    options = ScanOptions(mode="reference", enabled_rules=("own",))
+    assert find_with(rows, [Scanner("none", nothing), Scanner("own", own)], options).count() == 1
+    assert len(seen) == 3
