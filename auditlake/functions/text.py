@@ -64,10 +64,11 @@ def human_size_sql(size: str) -> str:
 
 
 def unescape_html(text: Column) -> Column:
-    """Decode the five character references that hide quoted text in markup."""
+    """Decode the character references that hide quoted text in markup."""
+    plain = text
     for entity, char in (
         ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
         ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
     ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(text.contains("&"), plain).otherwise(text)
