@@ -25,7 +25,7 @@ HEADLINES = (
 )
 
 # The texts are doubled this often, so that fixed costs do not hide the gates.
-GATE_COPIES = 3
+GATE_COPIES = 4
 
 
 def run(frame: DataFrame) -> None:
