@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 import pytest
+from auditlake.plans.oracle import ORACLE
+from auditlake.plans.queries import QUERIES
 from check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -15,10 +17,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, SF, name) is None
 
