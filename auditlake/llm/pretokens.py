@@ -18,12 +18,16 @@ Cuts = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 def _take_endings(first, points, starts, begin, kind, fold: bool) -> None:
     """An apostrophe that stands alone before letters takes a known ending along."""
-    end = np.append(begin[1:], len(points))
-    alone = (kind == OTHER) & (end - begin == 1) & first[begin] & (points[begin] == ord("'"))
-    alone[:-1] &= (kind[1:] == LETTER) & ~np.isin(begin[1:], starts)
-    alone[-1:] = False
-    for i in np.flatnonzero(alone):
-        b, e = begin[i + 1], end[i + 1]
+    marks = np.flatnonzero(points == ord("'"))
+    at = np.searchsorted(begin, marks)
+    inside = at < len(begin) - 1
+    marks, at = marks[inside], at[inside]
+    alone = (begin[at] == marks) & first[marks] & (begin[at + 1] == marks + 1) & (kind[at + 1] == LETTER)
+    for i in at[alone]:
+        b = begin[i + 1]
+        e = begin[i + 2] if i + 2 < len(begin) else len(points)
+        if starts[np.searchsorted(starts, b)] == b:
+            continue
         ahead = "".join(map(chr, points[b : min(e, b + 2)]))
         ahead = ahead.lower() if fold else ahead
         ending = next((x for x in ENDINGS if ahead.startswith(x)), None)
@@ -38,8 +42,9 @@ def byte_level_cuts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     begin, kind = runs(points, starts)
     first = np.zeros(len(points), bool)
     first[begin] = True
-    at = begin[1:][(kind[:-1] == SPACE) & (kind[1:] != SPACE)]
-    at = at[~np.isin(at, starts)]
+    space = kind == SPACE
+    at = begin[1:][space[:-1] & ~space[1:]]
+    at = at[np.isin(at, starts[1:-1], invert=True, kind="table")] if len(starts) > 2 else at
     first[at - 1] = True
     first[at[points[at - 1] == ord(" ")]] = False
     _take_endings(first, points, starts, begin, kind, fold=False)
@@ -47,10 +52,15 @@ def byte_level_cuts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def word_cuts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where pieces start: runs of letters, single numbers, runs of other signs, white space."""
+    """Where pieces start: runs of letters, single numbers, runs of other signs, each with the white
+    space after it, which this kind of tokenizer drops."""
     begin, kind = runs(points, starts)
-    first = classes()[points] == NUMBER
-    first[begin] = True
+    first = np.zeros(len(points), bool)
+    first[begin[kind != SPACE]] = True
+    numbers = np.flatnonzero(kind == NUMBER)
+    for i in numbers[np.append(begin[1:], len(points))[numbers] - begin[numbers] > 1]:
+        first[begin[i] : begin[i + 1] if i + 1 < len(begin) else len(points)] = True
+    first[starts[:-1][starts[:-1] < len(points)]] = True
     _take_endings(first, points, starts, begin, kind, fold=True)
     return np.flatnonzero(first)
 
@@ -72,9 +82,13 @@ def pieces(texts: list[str], cuts: Cuts) -> tuple[list[str], np.ndarray, np.ndar
     if not len(points):
         return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     begin = cuts(points, starts)
-    width = (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000) + 1
-    ends = np.cumsum(width, dtype=np.int32)
-    offsets = np.append(ends[begin] - width[begin], ends[-1]).astype(np.int32)
+    # A code point of up to 7, 11, 16 or more bits takes that many bytes in UTF-8.
+    width = np.ones(len(points), np.uint8)
+    for least in (0x80, 0x800, 0x10000):
+        width += points >= least
+    ends = np.zeros(len(points) + 1, np.int32)
+    np.cumsum(width, dtype=np.int32, out=ends[1:])
+    offsets = np.append(ends[begin], ends[-1])
     data = pa.py_buffer("".join(texts).encode())
     every = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), data).dictionary_encode()
     return every.dictionary.to_pylist(), every.indices.to_numpy(), np.searchsorted(begin, starts)

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditlake.llm import bpe
+from auditlake.llm import bpe, tokenfiles
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+# The id that ends each document of a token file.
+END_ID = 2
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +23,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(documents, BYTE_BPE), BYTE_BPE))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    files = tokenfiles.write(documents, WORD_BPE, END_ID)
+    found = tokenfiles.fetch(files, documents.select("doc_id").distinct())
+    return found.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE: dict[str, str] = {}
