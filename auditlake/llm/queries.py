@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, tokenfiles
+from auditlake.llm import bpe, tokenfiles, topk
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -18,6 +18,13 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn(
+        "vector", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    )
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.decode(bpe.encode(documents, BYTE_BPE), BYTE_BPE))
@@ -31,8 +38,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_topk": op3_topk,
     "op7_bpe": op7_bpe,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE)) AS a
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.a, c.a) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL}
