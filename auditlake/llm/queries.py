@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, tokenfiles, topk
+from auditlake.llm import bpe, tokenfiles, topk, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -18,6 +18,11 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(read_table(spark, sf_dir, "pages"))
+    return warc.read_pages(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").withColumn(
         "vector", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
@@ -38,6 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_topk": op3_topk,
     "op7_bpe": op7_bpe,
     "op10_token_files": op10_token_files,
@@ -58,4 +64,14 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op3_topk": OP3_SQL}
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
+FROM h
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_topk": OP3_SQL}
