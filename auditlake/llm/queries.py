@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, tokenfiles, topk, warc
+from auditlake.llm import bpe, decontaminate, quality, tokenfiles, topk, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -30,6 +30,25 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+def rated_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with the grade that their labels give."""
+    grade = quality.grade_of(F.col("quality"), F.col("toxic"))
+    return documents.select("doc_id", "text").join(labels.select("doc_id", grade.alias("grade")), "doc_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(rated_documents(documents, read_table(spark, sf_dir, "labels")), 3)
+    rated = quality.rate(documents, model, 1)
+    return rated.withColumn("keep", F.col("tail_probability") >= 0.5).drop("text")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(documents, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.decode(bpe.encode(documents, BYTE_BPE), BYTE_BPE))
@@ -45,7 +64,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_topk": op3_topk,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
 
