@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, quality, tokenfiles, topk, warc
+from auditlake.llm import bpe, decontaminate, quality, tokenfiles, topk, toxicity, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -30,6 +30,15 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    grammar = toxicity.learn(documents.join(labels, "doc_id"))
+    scored = toxicity.score(documents.withColumn("held_out", held_out), grammar).drop("text")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def rated_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with the grade that their labels give."""
     grade = quality.grade_of(F.col("quality"), F.col("toxic"))
@@ -64,6 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_topk": op3_topk,
+    "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op9_decontaminate": op9_decontaminate,
