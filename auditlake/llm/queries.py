@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, quality, tokenfiles, topk, toxicity, warc
+from auditlake.llm import bpe, decontaminate, jaccard, quality, tokenfiles, topk, toxicity, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -39,6 +39,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def rated_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with the grade that their labels give."""
     grade = quality.grade_of(F.col("quality"), F.col("toxic"))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard": op5_jaccard,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op9_decontaminate": op9_decontaminate,
