@@ -141,10 +141,13 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, make_up: np.ndarray, grades: n
     return Model(tokens, weights, centre, scale, first[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
-def train(rated: DataFrame, n_grades: int, id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model:
-    """Fit on rated texts, with grades from 0."""
-    usable = rated.filter(F.col(text).isNotNull() & F.col(grade).isNotNull())
-    sample = usable.orderBy(F.xxhash64(id), id).limit(SAMPLE).select(F.col(text).alias("text"), F.col(grade).cast("int").alias("grade"))
+def train(documents: DataFrame, ratings: DataFrame, n_grades: int, id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model:
+    """Fit on the texts of rated documents; ``ratings`` has grades from 0 by id."""
+    usable = ratings.filter(F.col(id).isNotNull() & F.col(grade).isNotNull())
+    # The bounded sample is chosen among the ratings, so that it can be sent to where the texts are.
+    chosen = usable.orderBy(F.xxhash64(id), id, grade).limit(SAMPLE).select(id, F.col(grade).cast("int").alias("_grade"))
+    texts = documents.filter(F.col(text).isNotNull()).select(id, F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(chosen), id).select("text", F.col("_grade").alias("grade"))
 
     def run(batches):
         for batch in batches:

@@ -43,15 +43,14 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-def rated_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with the grade that their labels give."""
-    grade = quality.grade_of(F.col("quality"), F.col("toxic"))
-    return documents.select("doc_id", "text").join(labels.select("doc_id", grade.alias("grade")), "doc_id")
+def ratings(labels: DataFrame) -> DataFrame:
+    """Grades that labels give."""
+    return labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(rated_documents(documents, read_table(spark, sf_dir, "labels")), 3)
+    model = quality.train(documents, ratings(read_table(spark, sf_dir, "labels")), 3)
     rated = quality.rate(documents, model, 1)
     return rated.withColumn("keep", F.col("tail_probability") >= 0.5).drop("text")
 
