@@ -34,7 +34,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
-    grammar = toxicity.learn(documents.join(labels, "doc_id"))
+    grammar = toxicity.learn(documents, labels)
     scored = toxicity.score(documents.withColumn("held_out", held_out), grammar).drop("text")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 

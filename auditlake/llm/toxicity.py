@@ -10,7 +10,7 @@ per kind of match, and a logistic function of these sums is the score.
 Threats, targets, negations and reports are fixed words of four languages. Insults are learned: words
 and beginnings of words that labelled toxic texts hold far more often than others. Lexicon and logistic
 weights are fitted on at most ``SAMPLE`` labelled rows, those with the smallest hashes of their id; each
-distinct text counts once. Only texts are read for a score.
+distinct text counts once, as toxic if any of its labels says so. Only texts are read for a score.
 
 Null and empty texts match nothing and get the score of a text without matches. Texts are read whole.
 Rows without a label or with a null text are not learned from; without labelled rows of both kinds the
@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.llm.shared import stored
 from auditlake.llm.tokens import HASHER, LETTER, code_points, runs, slices
 
 # Labelled rows learned from at most; entries of the lexicon at most.
-SAMPLE, ENTRIES = 24_000, 20_000
+SAMPLE, ENTRIES = 16_000, 20_000
 # Lengths of word beginnings that may be entries; 0 stands for whole words.
 STEMS = (0, 4, 5, 6)
 # An entry stands in so many toxic texts, and is so much more frequent in them (a logarithm).
@@ -247,11 +248,14 @@ def _logistic_fit(x: np.ndarray, y: np.ndarray, shrinkage: float = 0.5) -> tuple
     return w[:-1], float(w[-1])
 
 
-def learn(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
+def learn(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """A grammar from labelled texts; ``label`` is 1 for toxic ones and 0 for others."""
-    usable = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1))
-    rows = usable.orderBy(F.xxhash64(id), id).limit(SAMPLE).select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"))
-    sample = rows.dropDuplicates(["text"])
+    usable = labels.filter(F.col(id).isNotNull() & F.col(label).isin(0, 1))
+    # The bounded sample is chosen among the labels, so that it can be sent to where the texts are.
+    chosen = usable.orderBy(F.xxhash64(id), id, label).limit(SAMPLE).select(id, F.col(label).cast("int").alias("_toxic"))
+    texts = documents.filter(F.col(text).isNotNull()).select(id, F.col(text).alias("text"))
+    joined = texts.join(F.broadcast(chosen), id).select("text", F.col("_toxic").alias("toxic"))
+    sample = stored(joined.groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
