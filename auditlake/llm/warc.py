@@ -201,7 +201,7 @@ def _batches(rows: Iterator[tuple], names: list[str], most: int = 1 << 22) -> It
 
     for row in rows:
         held.append(row)
-        size += len(row[-1] or b"") + len(row[-2] or b"") * isinstance(row[-2], bytes) + 200
+        size += sum(len(x) for x in row if isinstance(x, bytes)) + 200
         if size >= most:
             yield made()
             held, size = [], 0
