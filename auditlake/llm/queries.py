@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, jaccard, quality, tokenfiles, topk, toxicity, warc
+from auditlake.llm import bpe, decontaminate, jaccard, lines, quality, tokenfiles, topk, toxicity, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -55,6 +55,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.withColumn("keep", F.col("tail_probability") >= 0.5).drop("text")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(documents).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_leaks(documents, read_table(spark, sf_dir, "benchmark"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard": op5_jaccard,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_lines": op8_lines,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
