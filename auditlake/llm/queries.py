@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, jaccard, lines, quality, tokenfiles, topk, toxicity, warc
+from auditlake.llm import bpe, decontaminate, jaccard, lines, quality, sharding, tokenfiles, topk, toxicity, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -16,6 +16,14 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 # The id that ends each document of a token file.
 END_ID = 2
+SHARDS = 8
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +87,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
     "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
