@@ -186,11 +186,15 @@ def _leaks_of(block: Passages, text: str) -> Column:
     return leaks.asNondeterministic()(F.col(text))  # so that a filter on it does not work it out twice
 
 
-def with_leaks(
-    documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
-    passage: str = "text", width: int = WIDTH, coverage: float = COVERAGE,
-) -> DataFrame:
-    """Add ``leaks``: the passages of which a document holds at least the share ``coverage``."""
+def leaks(
+    benchmark: DataFrame, text: str = "text", item: str = "item_id", passage: str = "text",
+    width: int = WIDTH, coverage: float = COVERAGE,
+) -> Column:
+    """The passages of which a text holds at least the share ``coverage``."""
     found = [_leaks_of(b, text) for b in _blocks(benchmark, item, passage, width, coverage)]
-    every = F.concat(*found) if found else F.lit(None).cast(LEAKS)
-    return documents.drop("leaks").withColumn("leaks", F.coalesce(every, F.array().cast(LEAKS)))
+    return F.concat(*found) if found else F.array().cast(LEAKS)
+
+
+def with_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """Add ``leaks``."""
+    return documents.drop("leaks").withColumn("leaks", leaks(benchmark, text, **options))

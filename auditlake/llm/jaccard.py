@@ -234,9 +234,8 @@ def _verify(width: int, similarity: float):
     return run
 
 
-def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """A row per document: ``class_id``, the least id of its class, and ``n_links``, the number of other
-    documents whose similarity to it reaches the threshold."""
+def _classes(documents: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """A row per document with the key of its text; a row per distinct text with its class and links."""
     signed = _signed(documents, id, text, width)
     nodes = _nodes(signed)
     large, pairs = _candidates(nodes)
@@ -261,8 +260,27 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = roots.join(linked, "node").join(nodes.select("node", "key", "first_id", "copies"), "node")
     least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = known.join(least, "root").select("node", "class_id", "links")
+    classes = known.join(least, "root").select("node", "root", "class_id", "links")
     every = nodes.select("node", "key", "first_id", "copies").join(classes, "node", "left").select(
-        "key", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "key", "node", "first_id", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
+    return signed, every
+
+
+def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """A row per document: ``class_id``, the least id of its class, and ``n_links``, the number of other
+    documents whose similarity to it reaches the threshold."""
+    signed, every = _classes(documents, id, text, width, similarity)
     return signed.select("id", "key").join(every, "key").select(F.col("id").alias(id), "class_id", "n_links")
+
+
+def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class, that with the least id; all columns are kept."""
+    _, every = _classes(documents, id, text, width, similarity)
+    order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node", "key")
+    chosen = every.groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.first_id").alias("_id"), F.col("c.key").alias("_key"))
+    keyed = documents.withColumn("_text_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    same = keyed[id].cast("bigint").eqNullSafe(chosen["_id"]) & (keyed["_text_key"] == chosen["_key"])
+    # Repeated rows have id and text in common.
+    return keyed.join(chosen, same, "left_semi").dropDuplicates([id, "_text_key"]).select(documents.columns)

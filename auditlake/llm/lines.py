@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.graph import components
@@ -247,17 +247,26 @@ def repeated_lines(documents: DataFrame, id: str = "doc_id", text: str = "text",
     return stored(later.groupBy("id", "version").agg(F.collect_set("no").alias("dropped")), "dropped-lines")
 
 
-def dedup_lines(documents: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """The documents without repeated lines, with ``n_lines`` before and ``n_dropped``."""
-    dropped = repeated_lines(documents, id, text, edits, least).select(
-        F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped")
-    )
+def _rebuilt(documents: DataFrame, dropped: DataFrame, id: str, text: str) -> tuple[DataFrame, Column]:
+    """Documents with the numbers of the lines to take out, and the lines that stay."""
+    named = dropped.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped"))
     same = documents[id].eqNullSafe(F.col("_id")) & (F.xxhash64(documents[text]) == F.col("_version"))
-    joined = documents.drop("n_lines", "n_dropped").join(_bounded(dropped), same, "left")
-    parts = F.split(text, "\n")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("_dropped", i))
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_dropped", i))
+    clean = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return documents.join(_bounded(named), same, "left"), clean
+
+
+def without_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """The documents with the repeated lines taken out of their texts."""
+    joined, clean = _rebuilt(documents, repeated_lines(documents, id, text, edits, least), id, text)
+    return joined.withColumn(text, clean).select(documents.columns)
+
+
+def dedup_lines(documents: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """The same, with ``n_lines`` before and ``n_dropped``."""
+    joined, clean = _rebuilt(documents.drop("n_lines", "n_dropped"), repeated_lines(documents, id, text, edits, least), id, text)
     return joined.withColumns({
-        "n_lines": F.when(F.col(text).isNotNull(), F.size(parts)).otherwise(0).cast("bigint"),
+        "n_lines": F.when(F.col(text).isNotNull(), F.size(F.split(text, "\n"))).otherwise(0).cast("bigint"),
         "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint"),
-        text: F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
+        text: clean,
     }).drop("_id", "_version", "_dropped")

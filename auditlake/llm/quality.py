@@ -172,8 +172,8 @@ def train(documents: DataFrame, ratings: DataFrame, n_grades: int, id: str = "do
     return fit(np.concatenate([np.zeros(0, np.int32), *parts]), offsets, make_up, np.array(got["grade"].to_pylist(), np.int64), n_grades)
 
 
-def rate(documents: DataFrame, model: Model, select: int, text: str = "text") -> DataFrame:
-    """Add ``expected_grade`` and ``tail_probability``, the probability of grade ``select`` or more."""
+def rating(model: Model, select: int, text: str = "text") -> Column:
+    """``expected_grade`` and ``tail_probability``, the probability of grade ``select`` or more."""
 
     @F.arrow_udf("struct<expected_grade: double, tail_probability: double>")
     def judge(values: pa.Array) -> pa.Array:
@@ -182,8 +182,12 @@ def rate(documents: DataFrame, model: Model, select: int, text: str = "text") ->
             [pa.array(reaching.sum(axis=1)), pa.array(reaching[:, select - 1])], names=["expected_grade", "tail_probability"]
         )
 
-    rating = judge.asNondeterministic()(F.col(text))  # so that a filter on it does not work it out twice
-    rated = documents.drop("expected_grade", "tail_probability").withColumn("_rating", rating)
+    return judge.asNondeterministic()(F.col(text))  # so that a filter on it does not work it out twice
+
+
+def rate(documents: DataFrame, model: Model, select: int, text: str = "text") -> DataFrame:
+    """Add the two columns of ``rating``."""
+    rated = documents.drop("expected_grade", "tail_probability").withColumn("_rating", rating(model, select, text))
     return rated.select("*", "_rating.expected_grade", "_rating.tail_probability").drop("_rating")
 
 

@@ -86,6 +86,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which itself takes parameters from this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "pipeline": pipeline,
 }
 
 OP3_SQL = """

@@ -86,12 +86,13 @@ def propagate(vertices: DataFrame, links: DataFrame, shards: int, room: list[int
     (0 or 1: the half it moves with); ``links`` has ``a``, ``b`` and weight ``w`` in both directions.
     """
     state = stored(vertices.withColumn("label", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")), "labels")
+    moved_before = True
     for turn in range(2 * rounds):
         wishes = stored(_wishes(state, links, turn % 2), "wishes")
         asked = wishes.groupBy("label", "wish").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         if not asked:
             # Neither half wishes anything when the other one has not moved since.
-            if turn and not moved_before:
+            if not moved_before:
                 break
             moved_before = False
             continue
