@@ -236,7 +236,7 @@ def _fingerprints(keys: np.ndarray) -> np.ndarray:
 def build(key: np.ndarray, shard: np.ndarray, first: np.ndarray, length: np.ndarray) -> bytes:
     """The record of a bucket; rows come by key, shard and first id."""
     key = np.ascontiguousarray(key, np.int64)
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     keys = key[start]
     slots, sizes, bits = np.full(len(keys), -1, np.int64), [], []
     left, placed = np.arange(len(keys)), 0
@@ -258,7 +258,7 @@ def build(key: np.ndarray, shard: np.ndarray, first: np.ndarray, length: np.ndar
     return b"".join((
         struct.pack("<3I", len(keys), len(sizes), len(key)),
         np.array(sizes, "<u4").tobytes(),
-        np.packbits(np.concatenate(bits)).tobytes(),
+        np.packbits(np.concatenate([np.zeros(0, bool), *bits])).tobytes(),
         _fingerprints(keys)[order].tobytes(),
         shard[start][order].astype("<i4").tobytes(),
         first[start][order].astype("<i8").tobytes(),
