@@ -13,6 +13,7 @@ import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 
 _SPACE = r"\t\n\f\r "
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -25,7 +26,6 @@ _POSIX = {
     "blank": r"\t ", "punct": r"\p{Punct}", "print": r"\x20-\x7E", "graph": r"\x21-\x7E",
     "cntrl": r"\x00-\x1F\x7F", "ascii": r"\x00-\x7F",
 }
-_LEADING_FLAGS = re.compile(r"\(\?([ims]+)\)")
 _POSIX_CLASS = re.compile(r"\[:(\^?)(\w+):\]")
 
 
@@ -48,41 +48,71 @@ def anchored(pattern: str) -> bool:
 
 
 def to_java(pattern: str) -> str:
-    """The same language as RE2 ``pattern``, for ``rlike`` and ``regexp_extract``."""
+    """The same language as RE2 ``pattern``, for ``rlike`` and ``regexp_extract``.
+
+    Flags hold to the end of their group, or inside their own one. Two things
+    that RE2 knows are refused, as Java cannot say them: single bytes (``\\C``)
+    and the exchange of greedy and lazy (the flag ``U``).
+    """
     check(pattern)
-    flags, rest = "", pattern
-    lead = _LEADING_FLAGS.match(pattern)
-    if lead:
-        flags, rest = lead.group(1), pattern[lead.end():]
-    fold, multiline = "i" in flags, "m" in flags
-    out, i = [], 0
-    while i < len(rest):
-        ch = rest[i]
+    out: list[str] = []
+    # Flags in force: those of the group that is open, and below it of those around it.
+    scopes, i = [frozenset()], 0
+    while i < len(pattern):
+        ch, flags = pattern[i], scopes[-1]
         if ch == "\\":
-            text, i = _escape(rest, i, in_class=False)
+            text, i = _escape(pattern, i, in_class=False)
             out.append(text)
         elif ch == "[":
-            text, i = _char_class(rest, i, fold)
+            text, i = _char_class(pattern, i, "i" in flags)
+            out.append(text)
+        elif ch == "(":
+            text, i, inner, opens = _group(pattern, i, flags)
             out.append(text)
-        elif ch == "$" and not multiline:
+            if opens:
+                scopes.append(inner)
+            else:
+                scopes[-1] = inner
+        elif ch == ")":
+            scopes.pop()
+            out.append(ch)
+            i += 1
+        elif ch == "$" and "m" not in flags:
             out.append(r"\z")
             i += 1
-        elif rest.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
-        elif fold and ch.isalpha():
+        elif "i" in flags and ch.isalpha():
             out.append(_fold_letter(ch))
             i += 1
-        elif ch == "(" and rest.startswith("(?", i):
-            end = i + 2
-            while rest[end] not in ":)<":
-                end += 1
-            out.append(rest[i:end + 1])
-            i = end + 1
         else:
             out.append(ch)
             i += 1
-    return f"(?{flags}d)" + "".join(out)
+    return "(?d)" + "".join(out)
+
+
+def _group(text: str, i: int, flags: frozenset) -> tuple[str, int, frozenset, bool]:
+    """A group's opening in Java syntax, where it ends, the flags after it, and whether it opens a scope."""
+    if not text.startswith("(?", i):
+        return "(", i + 1, flags, True
+    for named in ("(?P<", "(?<"):
+        if text.startswith(named, i):
+            return "(?<", i + len(named), flags, True
+    end = i + 2
+    while text[end] not in ":)":
+        end += 1
+    on, _, off = text[i + 2:end].partition("-")
+    if "U" in on + off:
+        raise ValueError("invalid pattern: the flag U is not supported")
+    inner = flags | set(on) - set(off) if on else flags
+    inner = frozenset(inner - set(off))
+    return text[i:end + 1], end + 1, inner, text[end] == ":"
+
+
+def compile_in_java(jvm, pattern: str) -> None:
+    """Raise ``ValueError`` unless the JVM compiles the Java form of a pattern."""
+    try:
+        jvm.java.util.regex.Pattern.compile(to_java(pattern))
+    except Py4JJavaError as error:
+        raise ValueError(f"invalid pattern: {error.java_exception.getMessage()}") from None
 
 
 def _fold_letter(ch: str) -> str:
@@ -101,6 +131,10 @@ def _escape(text: str, i: int, in_class: bool) -> tuple[str, int]:
         return f"[^{_SPACE}]", i + 2
     if nxt == "v":
         return r"\x0B", i + 2
+    if nxt == "C":
+        raise ValueError(r"invalid pattern: \C is not supported")
+    if nxt in "pP":
+        return _property(text, i)
     if nxt == "b" and not in_class:
         return _BOUNDARY, i + 2
     if nxt == "B" and not in_class:
@@ -112,6 +146,22 @@ def _escape(text: str, i: int, in_class: bool) -> tuple[str, int]:
     return text[i:i + 2], i + 2
 
 
+def _property(text: str, i: int) -> tuple[str, int]:
+    """A Unicode class: general categories have one or two letters, scripts more."""
+    negated = text[i + 1] == "P"
+    if text[i + 2] == "{":
+        end = text.index("}", i)
+        name, end = text[i + 3:end], end + 1
+    else:
+        name, end = text[i + 2], i + 3
+    if name.startswith("^"):
+        negated, name = not negated, name[1:]
+    if name == "Any":
+        return ("[^\\x{0}-\\x{10ffff}]" if negated else "[\\x{0}-\\x{10ffff}]"), end
+    name = name if len(name) <= 2 else f"Is{name}"
+    return rf"\{'P' if negated else 'p'}{{{name}}}", end
+
+
 def _char_class(text: str, i: int, fold: bool) -> tuple[str, int]:
     out, i = ["["], i + 1
     if text[i] == "^":

@@ -11,6 +11,18 @@ from auditlake.functions.sql import quote
 UNICODE_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+# Metadata entry of a text that was repaired: bytes of its longest line as given.
+LONGEST_LINE = "longest_line"
+
+
+def longest_line(content: Column) -> Column:
+    """Bytes of the longest line, without newlines, of a text with bad bytes; else null."""
+    # In this charset every byte is a character.
+    lines = F.split(F.decode(content.cast("binary"), "ISO-8859-1"), "\n", -1)
+    longest = F.array_max(F.transform(lines, lambda l: F.length(l)))
+    return F.when(~F.is_valid_utf8(content.cast("string")), longest)
+
+
 def decode(content: Column) -> Column:
     """Bytes or text to valid UTF-8 text; bad bytes become U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))
@@ -63,12 +75,29 @@ def human_size_sql(size: str) -> str:
     return f"CASE {' '.join(cases)} ELSE {small} END"
 
 
+# Named character references of quotes and brackets; the ampersand's comes last.
+NAMED_REFERENCES = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"))
+_NUMBER = r"^0*([0-9]{1,7});"
+_HEX_NUMBER = r"^[xX]0*([0-9a-fA-F]{1,6});"
+
+
+def _decoded_number(part: Column) -> Column:
+    """What follows ``&#`` with a leading character number decoded, where it names a character."""
+    digits = F.regexp_extract(part, _NUMBER, 1)
+    hexed = F.regexp_extract(part, _HEX_NUMBER, 1)
+    code = F.when(digits != "", digits.cast("int")).when(hexed != "", F.conv(hexed, 16, 10).cast("int"))
+    known = ((code > 0) & (code < 0xD800) | (code > 0xDFFF) & (code <= 0x10FFFF)) & (code != ord("&"))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    rest = F.regexp_replace(part, "^[0-9a-fA-FxX]+;", "")
+    return F.when(known, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
+
+
 def unescape_html(text: Column) -> Column:
-    """Decode the character references that hide quoted text in markup."""
-    plain = text
-    for entity, char in (
-        ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
-        ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
-    ):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    """Decode the character references that hide text in markup, each once."""
+    parts = F.split(text, "&#", -1)
+    numbered = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _decoded_number)
+    plain = F.when(text.contains("&#"), F.concat(parts[0], F.array_join(numbered, ""))).otherwise(text)
+    for name, char in NAMED_REFERENCES:
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(char))
+    plain = F.regexp_replace(plain, "&(?:amp|#0*38|#[xX]0*26);", "&")
     return F.when(text.contains("&"), plain).otherwise(text)

@@ -36,14 +36,16 @@ class Rule:
 
     - ``pattern``: RE2 text tried on each line;
     - ``line``: a condition on each ``line`` and its zero-based ``pos``;
-    - ``at``: a line number worked out once from ``content``, null for none.
+    - ``at``: a line number worked out once from ``content``, null for none;
+    - ``every``: an array of line numbers worked out once from ``lines``.
 
     ``when`` is a further condition on ``path`` and ``content``, tested once
     per file before its lines. ``gate`` is a pattern that matches in any text
     with a line that satisfies ``line``. ``guards`` are literals the pattern
     cannot match without (all groups, any literal of each); ``unless`` is a
     pattern that clears a line. ``match`` says what a finding reports: the ``"trimmed"`` or
-    ``"raw"`` line, the ``"masked"`` secret, or else a fixed text.
+    ``"raw"`` line, the ``"masked"`` secret (``token``, or what the pattern
+    matches), or else a fixed text.
     """
 
     id: str
@@ -55,11 +57,13 @@ class Rule:
     pattern: str | None = None
     line: str | None = None
     at: str | None = None
+    every: str | None = None
     when: str | None = None
     gate: str | None = None
     guards: tuple[tuple[str, ...], ...] = ()
     unless: str | None = None
     match: str = "trimmed"
+    token: str | None = None
     file_types: tuple[str, ...] = ()
 
     @property
@@ -85,7 +89,7 @@ class Rule:
         """What a finding reports about ``line``."""
         if self.match == "masked":
             if self.pattern is None:
-                found = f"get({secrets.random_candidates('line')}, 0)"
+                found = self.token
             else:
                 java = quote(regex.to_java(self.pattern))
                 found = f"regexp_extract(line, {java}, 0)"
@@ -155,40 +159,72 @@ SECRET_RULES = (
 )
 
 
-def _unnamed_secret() -> str:
-    """A random quoted token on a line no named rule fires on."""
-    named = " OR ".join(f"({r.line_condition})" for r in SECRET_RULES)
-    return (
-        f"{rlike('line', secrets.CANDIDATE)}"
-        f" AND size({secrets.random_candidates('line')}) > 0 AND NOT ({named})"
-    )
-
-
 ENTROPY_RULE = Rule(
     "SECENT", "High Entropy String", "MEDIUM", "secret",
     "Quoted text random enough to be a secret that no other rule knows",
     "Revoke the credential and load it from a secret store at run time",
-    line=_unnamed_secret(), gate=secrets.CANDIDATE, match="masked",
+    gate=secrets.CANDIDATE, match="masked",
 )
 
-# Patterns that span lines in intent mode, as ordered parts.
-CAPABILITY_PARTS = (
-    r"(?i)capabilities:", r"(?i)add:", r"(?i)\b(SYS_ADMIN|NET_ADMIN|ALL|SYS_PTRACE)\b",
-)
-SECRET_ENV_PARTS = (r"(?i)env:", r"(?i)valueFrom:", r"(?i)secretKeyRef:")
 
+def _entropy_rule(named: Sequence[Rule]) -> Rule:
+    """The rule for random quoted tokens that none of the named rules has matched.
+
+    What the named rules match on the line is blanked out first, so that a token
+    yields only to a rule that runs, and only where they overlap.
+    """
+    rest = "line"
+    for cleared in (False, True):
+        rules = [r for r in named if r.pattern and bool(r.unless) == cleared]
+        if not rules:
+            continue
+        union = "|".join(f"(?:{regex.to_java(r.pattern)})" for r in rules)
+        blanked = f"regexp_replace({rest}, {quote(union)}, ' ')"
+        if cleared:
+            unless = " OR ".join(rlike("line", r.unless) for r in rules)
+            blanked = f"CASE WHEN {unless} THEN {rest} ELSE {blanked} END"
+        rest = blanked
+    tokens = secrets.bind(rest, "rest", secrets.random_candidates("rest"))
+    return replace(
+        ENTROPY_RULE,
+        line=f"{rlike('line', secrets.CANDIDATE)} AND size({tokens}) > 0",
+        token=f"get({tokens}, 0)",
+    )
 
-def _line_of_parts(parts: Sequence[str]) -> str:
-    """Number of the line where the parts begin to occur in order, else null.
 
-    If any occurrence works the first one does, so each part is looked for
-    once, after the part before it: linear in the text.
+def _blocks(outer: str, inner: str, leaf: str, flow: str) -> str:
+    """Lines where a block with the key ``outer`` begins that holds ``inner`` with a ``leaf`` in it.
+
+    One pass over the lines with the columns of the keys that are open: a line
+    belongs to a key while it is indented further. ``flow`` is a pattern for a
+    block written on one line. A document of its own begins with dashes.
     """
-    java = [regex.to_java(p) for p in parts]
-    ordered = quote(r"\A" + "".join(f"(?>(?s:.*?)(?:{p}))" for p in java))
-    before = f"regexp_extract(content, {quote(rf'\A((?s:.*?))(?:{java[0]})')}, 1)"
-    newlines = f"length({before}) - length(replace({before}, '\\n', ''))"
-    return f"CASE WHEN content RLIKE {ordered} THEN {newlines} + 1 END"
+    def key(name: str) -> str:
+        return rlike("l", rf"(?i)^[\t ]*(-[\t ]+)*{name}:")
+
+    def state(outer: str, at: str, inner: str, hits: str) -> str:
+        return f"named_struct('no', s.no + 1, 'outer', {outer}, 'at', {at}, 'inner', {inner}, 'hits', {hits})"
+
+    def hit(test: str, at: str) -> str:
+        return f"CASE WHEN {test} AND coalesce(try_element_at(s.hits, -1) <> {at}, true) THEN array_append(s.hits, {at}) ELSE s.hits END"
+
+    here = rlike("l", flow)
+    whole = rlike("l", rf"(?i){inner}:.*{leaf}")
+    step = f"""CASE
+     WHEN l RLIKE '^---' THEN {state("-1", "0", "-1", "s.hits")}
+     WHEN l RLIKE '^[\t ]*(#|$)' THEN {state("s.outer", "s.at", "s.inner", "s.hits")}
+     WHEN {key(outer)} THEN {state("c", "s.no + 1", "-1", hit(here, "s.no + 1"))}
+     WHEN s.outer < 0 OR c <= s.outer THEN {state("-1", "0", "-1", hit(here, "s.no + 1"))}
+     WHEN {key(inner)} THEN {state("s.outer", "s.at", "c", hit(whole, "s.at"))}
+     WHEN s.inner >= 0 AND c > s.inner THEN {state("s.outer", "s.at", "s.inner", hit(rlike("l", f"(?i){leaf}"), "s.at"))}
+     ELSE {state("s.outer", "s.at", "-1", "s.hits")} END"""
+    column = "length(regexp_extract(l, '^[\\t ]*(-[\\t ]+)*', 0))"
+    start = "named_struct('no', 0, 'outer', -1, 'at', 0, 'inner', -1, 'hits', CAST(array() AS ARRAY<INT>))"
+    return f"aggregate(lines, {start}, (s, l) -> {secrets.bind(column, 'c', step)}, s -> s.hits)"
+
+
+# The capabilities that give control of a node.
+_POWERS = r"\b(SYS_ADMIN|NET_ADMIN|ALL|SYS_PTRACE)\b"
 
 
 # --- Dockerfile rules ---------------------------------------------------------
@@ -316,7 +352,9 @@ K8S_RULES = (
     _k8s("K8S008", "CRITICAL", "Dangerous Capabilities Added",
          "The container is given a capability that can control its node",
          "Add only the capabilities the program needs",
-         at=_line_of_parts(CAPABILITY_PARTS)),
+         gate=r"(?i)capabilities:",
+         every=_blocks("capabilities", "add", _POWERS,
+                       rf"(?i)capabilities:.*\badd:\s*\[?[^\]}}]*{_POWERS}")),
     _k8s("K8S009", "MEDIUM", "No Resource Limits",
          "The container can use up the resources of its node",
          "Set limits for processor and memory",
@@ -335,7 +373,9 @@ K8S_RULES = (
          pattern=r"(?i)serviceAccountName:\s*default"),
     _k8s("K8S013", "MEDIUM", "Secrets in Environment Variables",
          "A secret in the environment can end up in logs", "Mount the secret as a file",
-         at=_line_of_parts(SECRET_ENV_PARTS)),
+         gate=r"(?i)secretKeyRef:",
+         every=_blocks("env", "valueFrom", "secretKeyRef:",
+                       r"(?i)\benv:.*valueFrom:.*secretKeyRef:")),
     _k8s("K8S014", "MEDIUM", "Missing Network Policy",
          "The deployment comes without a network policy",
          "Add a NetworkPolicy for the pods of the deployment",
@@ -369,10 +409,11 @@ REFERENCE_RULES = {
     "DOCKER004": {"line": None, "gate": None, "at": NEVER},
     "DOCKER007": {"line": None, "gate": None, "at": NEVER},
     "K8S008": {
-        "at": None,
+        "every": None,
+        "gate": None,
         "pattern": r"(?i)capabilities:[\s\S]*?add:[\s\S]*?(SYS_ADMIN|NET_ADMIN|ALL|SYS_PTRACE)",
     },
-    "K8S013": {"at": None, "pattern": r"(?i)env:[\s\S]*?valueFrom:[\s\S]*?secretKeyRef:"},
+    "K8S013": {"every": None, "gate": None, "pattern": r"(?i)env:[\s\S]*?valueFrom:[\s\S]*?secretKeyRef:"},
 }
 
 
@@ -380,7 +421,7 @@ def builtin_rules(mode: str = INTENT, entropy: bool = False) -> tuple[Rule, ...]
     rules = SECRET_RULES + DOCKER_RULES + K8S_RULES
     if mode == REFERENCE:
         rules = tuple(replace(r, **REFERENCE_RULES.get(r.id, {})) for r in rules)
-    return rules + ((ENTROPY_RULE,) if entropy else ())
+    return rules + ((_entropy_rule(SECRET_RULES),) if entropy else ())
 
 
 def custom_rule(
@@ -409,7 +450,7 @@ def custom_rule(
         raise ValueError(f"unknown severity for rule {id}: {severity}")
     if pattern is not None:
         try:
-            regex.check(pattern)
+            regex.to_java(pattern)
         except ValueError as error:
             raise ValueError(f"invalid pattern for rule {id}: {error}") from None
     return Rule(
@@ -438,13 +479,15 @@ def select_rules(options: ScanOptions) -> tuple[Rule, ...]:
     if options.mode == REFERENCE:
         return tuple(r for r in rules if _scanner_enabled(r, options))
     wanted = {s.upper() for s in options.severities}
-    return tuple(
+    running = tuple(
         r
         for r in rules
         if (not options.enabled_rules or r.id in options.enabled_rules)
         and r.id not in options.disabled_rules
         and (not wanted or r.severity in wanted)
     )
+    named = tuple(r for r in running if r.family == "secret" and r.id != ENTROPY_RULE.id)
+    return tuple(_entropy_rule(named) if r.id == ENTROPY_RULE.id else r for r in running)
 
 
 def _scanner_enabled(rule: Rule, options: ScanOptions) -> bool:

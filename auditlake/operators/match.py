@@ -21,17 +21,23 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import gate, regex, secrets, text
 from auditlake.functions.sql import quote, rlike
-from auditlake.model import FILE, FINDING_COLUMNS, LONG_LINE_ERROR, ScanOptions
+from auditlake.model import FILE, FINDING_COLUMNS, INTENT, LONG_LINE_ERROR, REFERENCE, ScanOptions
 from auditlake.operators import classify
-from auditlake.operators.catalog import Rule, WHOLE_MANIFEST, contains_guards, select_rules
-
+from auditlake.operators.catalog import (
+    WHOLE_MANIFEST,
+    Rule,
+    builtin_rules,
+    contains_guards,
+    select_rules,
+)
+
+BUILTIN = frozenset(builtin_rules(INTENT) + builtin_rules(REFERENCE))
 _NO_HITS = "CAST(array() AS ARRAY<STRUCT<rule:INT,line_no:INT,match:STRING>>)"
 
 
-def finding_id(path: Column, line: Column, rule_id: Column) -> Column:
-    """Sixteen hex digits that identify a rule at a line of a file."""
-    key = F.concat_ws(":", path, line.cast("string"), rule_id)
-    return F.substring(F.sha2(key, 256), 1, 16)
+def finding_id(path: str, line: str, rule_id: str) -> str:
+    """SQL text for sixteen hex digits that identify a rule at a line of a file."""
+    return f"substring(sha2(concat_ws(':', {path}, {line}, {rule_id}), 256), 1, 16)"
 
 
 class Matcher:
@@ -42,8 +48,22 @@ class Matcher:
         self.rules = tuple(select_rules(self.options) if rules is None else rules)
         self.families = {r.family for r in self.rules}
 
+    @property
+    def _only_kinds(self) -> bool:
+        """Whether all rules are for files of a kind, so that other texts need no gate."""
+        return self.families <= {"docker", "k8s"}
+
     # --- whole targets -------------------------------------------------------
 
+    def _metadata(self, targets: DataFrame) -> tuple[str, ...]:
+        wanted = self.options.max_line_bytes is not None and "metadata" in targets.columns
+        return ("metadata",) if wanted else ()
+
+    @property
+    def _readable(self) -> str:
+        """SQL text added to the conditions of rules that skip files with an error."""
+        return " AND error IS NULL" if self.options.mode == REFERENCE else ""
+
     def _classified(self, targets: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Targets with ``docker``, ``k8s`` and ``error``."""
         path, content = F.col("path"), F.col("content")
@@ -53,13 +73,16 @@ class Matcher:
             docker = F.coalesce(scanned & classify.is_dockerfile(path), F.lit(False))
             k8s = F.coalesce(scanned & classify.is_manifest(path, content), F.lit(False))
         kinds = targets.select(
-            "path", "content", *keep,
+            "path", "content", *dict.fromkeys((*keep, *self._metadata(targets))),
             F.coalesce(scanned, F.lit(False)).alias("scanned"),
             docker.alias("docker"), k8s.alias("k8s"),
         )
         error = F.lit(None).cast("string")
         if self.options.max_line_bytes is not None:
             too_long = text.has_long_line(content, self.options.max_line_bytes)
+            if "metadata" in targets.columns:
+                given = F.try_element_at("metadata", F.lit(text.LONGEST_LINE)).cast("bigint")
+                too_long = F.coalesce(given >= self.options.max_line_bytes, too_long)
             error = F.when((F.col("docker") | F.col("k8s")) & too_long, F.lit(LONG_LINE_ERROR))
         return kinds.withColumn("error", error)
 
@@ -81,7 +104,10 @@ class Matcher:
         size = len(self.rules)
         if patterns:
             kind = F.expr("CASE WHEN docker THEN 'docker' WHEN k8s THEN 'k8s' END")
-            may_fire = gate.arrow_gate(patterns, always, size)(F.col("content"), kind)
+            content = F.col("content")
+            if self._only_kinds:
+                content = F.when(F.expr("docker OR k8s"), content)
+            may_fire = gate.arrow_gate(patterns, always, size)(content, kind)
         else:
             may_fire = gate.builtin_gate(conditions, always, size)
         return kinds.withColumn("may_fire", may_fire)
@@ -109,11 +135,11 @@ class Matcher:
         """SQL condition on the file: the rule is to be tried on it."""
         tests = []
         if rule.family == "docker":
-            tests.append("docker AND error IS NULL")
+            tests.append(f"docker{self._readable}")
         elif rule.id in WHOLE_MANIFEST:
-            tests.append("k8s AND error IS NULL")
+            tests.append(f"k8s{self._readable}")
         elif rule.family == "k8s":
-            tests.append("k8s AND NOT docker AND error IS NULL")
+            tests.append(f"k8s AND NOT docker{self._readable}")
         else:
             tests.append("scanned")
         if rule.file_types:
@@ -125,7 +151,7 @@ class Matcher:
 
     def _tried(self) -> str:
         """SQL condition on the file: its lines are to be looked at."""
-        tests = ["(docker OR k8s) AND error IS NULL"] if self.families & {"docker", "k8s"} else []
+        tests = [f"(docker OR k8s){self._readable}"] if self.families & {"docker", "k8s"} else []
         words: dict[int, int] = {}
         for i, rule in enumerate(self.rules):
             if rule.family in ("docker", "k8s"):
@@ -147,7 +173,10 @@ class Matcher:
             fields = f"'rule', {index}, 'line_no', {number}, 'match', {rule.match_text}"
             return f"named_struct({fields})"
 
-        if rule.at is not None:
+        if rule.every is not None:
+            at_line = "transform(slice(lines, n, 1), line -> " + hit("n") + ")"
+            found = f"flatten(transform({rule.every}, n -> {at_line}))"
+        elif rule.at is not None:
             at_line = "transform(slice(lines, n, 1), line -> " + hit("n") + ")"
             found = f"flatten(transform(array_compact(array({rule.at})), n -> {at_line}))"
         else:
@@ -155,8 +184,22 @@ class Matcher:
             found = f"array_compact(transform(lines, (line, pos) -> {tried}))"
         return f"CASE WHEN {self._may_fire(index, rule)} THEN {found} ELSE {_NO_HITS} END"
 
+    def _check_patterns(self, targets: DataFrame) -> None:
+        """Compile the patterns of custom rules on the driver, so that no bad one reaches a task."""
+        jvm = targets.sparkSession._jvm
+        for rule in self.rules:
+            if rule.pattern is not None and rule not in BUILTIN:
+                try:
+                    regex.compile_in_java(jvm, rule.pattern)
+                except ValueError as error:
+                    raise ValueError(f"rule {rule.id}: {error}") from None
+
     def _with_hits(self, targets: DataFrame, keep: Sequence[str], drop_clean: bool) -> DataFrame:
-        gated = self._gated(self._classified(targets, keep))
+        self._check_patterns(targets)
+        kinds = self._classified(targets, keep)
+        if drop_clean and self._only_kinds:
+            kinds = kinds.filter("docker OR k8s")
+        gated = self._gated(kinds)
         if not self.rules:
             return gated.withColumn("hits", F.expr(_NO_HITS))
         tried = gated.withColumn("tried", F.expr(self._tried()))
@@ -189,7 +232,7 @@ class Matcher:
         if self.options.scan_time:
             stamp = f"CAST({quote(self.options.scan_time.isoformat())} AS TIMESTAMP)"
         fields = {
-            "id": "substring(sha2(concat_ws(':', path, h.line_no, r.rule_id), 256), 1, 16)",
+            "id": finding_id("path", "h.line_no", "r.rule_id"),
             "rule_id": "r.rule_id",
             "title": "r.title",
             "description": "r.description",

@@ -31,8 +31,8 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     this it would scan all texts twice. Findings are small next to the texts.
     """
     path = shared_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def ordered(findings: DataFrame) -> DataFrame:

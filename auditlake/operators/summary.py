@@ -118,14 +118,18 @@ def place_columns() -> tuple[str, ...]:
 def enrich(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Findings with the name, family and remediation of their rule.
 
-    The catalog is a list held on the driver, one row per rule, so sending it
-    to every task is bounded by the number of rules.
+    A finding of a rule that the catalog lacks, such as one of an own scanner,
+    stays, with its own title and remediation and no family. The catalog is a
+    list held on the driver, one row per rule, so sending it to every task is
+    bounded by the number of rules.
     """
     rules = catalog.select(
-        "rule_id", F.col("name").alias("rule_name"), "family",
-        F.col("remediation").alias("advice"),
+        "rule_id", F.col("name").alias("_name"), "family", F.col("remediation").alias("_advice")
     )
-    return findings.join(F.broadcast(rules), "rule_id")
+    joined = findings.join(F.broadcast(rules), "rule_id", "left")
+    return joined.withColumns({
+        "rule_name": F.coalesce("_name", "title"), "advice": F.coalesce("_advice", "remediation"),
+    }).drop("_name", "_advice")
 
 
 def observe_counts(results: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:

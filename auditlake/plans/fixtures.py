@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.sources.tables import spread, targets_from_table, union_targets
+from auditlake.sources.tables import targets_from_table, union_targets
 
 DOCKER_PATH = """concat('svc/', CAST(p_partkey AS STRING), CASE p_partkey % 3
  WHEN 0 THEN '/Dockerfile' WHEN 1 THEN '/Dockerfile.prod' ELSE '/app.dockerfile' END)"""
@@ -51,7 +51,20 @@ K8S_CONTENT = """concat('apiVersion: v1', chr(10), 'kind: ',
  CASE p_partkey % 10 WHEN 1 THEN concat('    env: [{valueFrom: {secretKeyRef: {name: a}}}]', chr(10))
   WHEN 2 THEN concat('  volumes: [{hostPath: {path: /}}]', chr(10))
   WHEN 3 THEN concat('    env:', chr(10), '    - name: A', chr(10), '      valueFrom:', chr(10),
-   '        secretKeyRef: {name: a}', chr(10)) ELSE '' END)"""
+   '        secretKeyRef: {name: a}', chr(10)) ELSE '' END,
+ CASE p_partkey % 7 WHEN 1 THEN concat('  - image: side:1', chr(10), '    securityContext:', chr(10),
+   '      capabilities:', chr(10), '        add:', chr(10), '        - CHOWN', chr(10),
+   '        - NET_ADMIN', chr(10))
+  WHEN 2 THEN concat('  - image: side:2', chr(10), '    securityContext:', chr(10),
+   '      capabilities:', chr(10), '        drop: [ALL]', chr(10),
+   '  - image: side:3', chr(10), '    securityContext:', chr(10),
+   '      capabilities:', chr(10), '        add: [NET_BIND_SERVICE]', chr(10),
+   '        drop: [ALL]', chr(10))
+  WHEN 3 THEN concat('  - image: side:4', chr(10), '    env:', chr(10), '    - name: B', chr(10),
+   '      value: x', chr(10), '    - name: C', chr(10), '      valueFrom:', chr(10),
+   '        secretKeyRef: {name: b}', chr(10))
+  WHEN 4 THEN concat('  - image: side:5', chr(10), '    env:', chr(10), '    - name: D', chr(10),
+   '      valueFrom:', chr(10), '        configMapKeyRef: {name: c}', chr(10)) ELSE '' END)"""
 
 SECRET_PATH = "concat('cfg/', CAST(c_custkey AS STRING), '.conf')"
 
@@ -115,7 +128,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name).select(*COLUMNS[name]))
+    return table(spark, sf_dir, name).select(*COLUMNS[name])
 
 
 def dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,19 +112,22 @@ K8S = tuple(
 )
 
 
-def _spanning(rule, severity, name, pattern, first):
-    before = rf"regexp_extract(content, '(?is)^(.*?){first}', 1)"
-    at = f"1 + len(string_split({before}, chr(10))) - 1"
-    test = f"regexp_matches(content, '(?i){pattern}') AND line_no = {at}"
-    return (rule, severity, name, test, "trimmed")
+def _blockwise(rule, severity, name, key, rest):
+    """True on lines with a ``key`` whose own block, up to the next key, goes on as ``rest`` says."""
+    parts = f"string_split_regex(content, '(?i)\\b{key}:')"
+    before = f"array_to_string({parts}[:k], 'x')"
+    lines = f"""list_transform(list_filter(generate_series(1, len({parts}) - 1),
+      lambda k: regexp_matches({parts}[k + 1], '{rest}')),
+      lambda k: 1 + length({before}) - length(replace({before}, chr(10), '')))"""
+    return (rule, severity, name, f"list_contains({lines}, line_no)", "trimmed")
 
 
+POWERS = "(SYS_ADMIN|NET_ADMIN|ALL|SYS_PTRACE)"
 K8S_INTENT = (
-    _spanning("K8S008", "CRITICAL", "Dangerous Capabilities Added",
-              r"capabilities:[\s\S]*?add:[\s\S]*?\b(SYS_ADMIN|NET_ADMIN|ALL|SYS_PTRACE)\b",
-              "capabilities:"),
-    _spanning("K8S013", "MEDIUM", "Secrets in Environment Variables",
-              r"env:[\s\S]*?valueFrom:[\s\S]*?secretKeyRef:", "env:"),
+    _blockwise("K8S008", "CRITICAL", "Dangerous Capabilities Added", "capabilities",
+               rf"^\s*\{{?\s*add:\s*(\[[^\]]*\b{POWERS}\b|(- \w+\s+)*- {POWERS}\b)"),
+    _blockwise("K8S013", "MEDIUM", "Secrets in Environment Variables", "env",
+               r"(?s)^[^:]*(name: \w+\s+)?([a-z]+: [a-z]\s+- name: \w+\s+)*[\s{\[]*valueFrom:[\s{]*secretKeyRef:"),
 )
 K8S_REFERENCE = (
     ("K8S008", "CRITICAL", "Dangerous Capabilities Added",
@@ -182,6 +185,21 @@ def _masked(found: str) -> str:
     )
 
 
+def _entropy_row(named) -> str:
+    """Random quoted tokens of what the named patterns leave of a line."""
+    union = "|".join(f"(?:{p[3]})" for p in named if p[0] != "SEC013")
+    jwt = [p[3] for p in named if p[0] == "SEC013"]
+    rest = f"regexp_replace(line, {_text(union)}, ' ', 'g')" if union else "line"
+    if jwt:
+        rest = f"""CASE WHEN regexp_matches(line, '(?i)example') THEN {rest}
+         ELSE regexp_replace({rest}, {_text(jwt[0])}, ' ', 'g') END"""
+    tokens = f"""list_filter(regexp_extract_all({rest}, {_text(CANDIDATE)}, 1),
+         lambda x: list_entropy(string_split(x, '')) >
+          CASE WHEN regexp_matches(x, '^[0-9a-f]+$') THEN 3.0 ELSE 4.5 END)"""
+    where = f"""regexp_matches(line, '["''][0-9A-Za-z+/_-]{{32}}') AND len({tokens}) > 0"""
+    return _row("SECENT", "MEDIUM", "SECRET", _masked(f"({tokens})[1]"), where)
+
+
 def _secret_rows(entropy: bool = False) -> list[str]:
     rows = []
     for rule, severity, _, pattern in SECRETS:
@@ -191,33 +209,27 @@ def _secret_rows(entropy: bool = False) -> list[str]:
         found = _masked(f"regexp_extract(line, {_text(pattern)})")
         rows.append(_row(rule, severity, "SECRET", found, where))
     if entropy:
-        named = " OR ".join(f"regexp_matches(line, {_text(p[3])})" for p in SECRETS)
-        tokens = f"""list_filter(regexp_extract_all(line, {_text(CANDIDATE)}, 1),
-         lambda x: list_entropy(string_split(x, '')) >
-          CASE WHEN regexp_matches(x, '^[0-9a-f]+$') THEN 3.0 ELSE 4.5 END)"""
-        where = f"contains(line, '\"') AND len({tokens}) > 0 AND NOT ({named})"
-        where = where.replace("contains(line, '\"')", "regexp_matches(line, '[\"'']')")
-        rows.append(_row("SECENT", "MEDIUM", "SECRET", _masked(f"({tokens})[1]"), where))
+        rows.append(_entropy_row(SECRETS))
     return rows
 
 
-def _misconfig_rows(rules, kind: str) -> list[str]:
+def _misconfig_rows(rules, kind: str, reference: bool) -> list[str]:
     rows = []
     for rule, severity, _, test, match in rules:
         match = r"regexp_replace(line, '^\s+|\s+$', '', 'g')" if match == "trimmed" else match
         gate = "docker" if kind == "docker" else "k8s AND NOT docker"
         gate = "k8s" if rule in ("K8S016", "K8S017") else gate
-        where = f"{gate} AND error IS NULL AND {test}"
+        where = f"{gate} AND {test}" + (" AND error IS NULL" if reference else "")
         rows.append(_row(rule, severity, "MISCONFIGURATION", match, where))
     return rows
 
 
 def _docker_rows(reference: bool = False) -> list[str]:
-    return _misconfig_rows(DOCKER if reference else DOCKER + DOCKER_INTENT, "docker")
+    return _misconfig_rows(DOCKER if reference else DOCKER + DOCKER_INTENT, "docker", reference)
 
 
 def _k8s_rows(reference: bool = False) -> list[str]:
-    return _misconfig_rows(K8S + (K8S_REFERENCE if reference else K8S_INTENT), "k8s")
+    return _misconfig_rows(K8S + (K8S_REFERENCE if reference else K8S_INTENT), "k8s", reference)
 
 
 def _found(targets: str, rows: list[str]) -> str:

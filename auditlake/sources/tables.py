@@ -26,24 +26,19 @@ def targets_from_table(
     body = text.decode(content)
     if unescape_html:
         body = text.unescape_html(body)
-    named = rows.select(path.cast("string").alias("path"), body.alias("content"))
-    return named.select(
-        "path",
-        F.lit(FILE).alias("type"),
-        "content",
-        file_metadata("path", "octet_length(content)").alias("metadata"),
+    named = rows.select(
+        path.cast("string").alias("path"),
+        body.alias("content"),
+        text.longest_line(content).alias("longest"),
     )
+    metadata = with_longest_line(file_metadata("path", "octet_length(content)"), F.col("longest"))
+    return named.select("path", F.lit(FILE).alias("type"), "content", metadata.alias("metadata"))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when their files come in fewer pieces than there are cores.
-
-    Matching takes far more time than moving a row, so a few large row groups
-    should not keep most cores idle. Larger inputs are left as they are, without
-    a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def with_longest_line(metadata: Column, longest: Column) -> Column:
+    """Metadata that also says how long the longest line of a repaired text was."""
+    more = F.map_concat(metadata, F.create_map(F.lit(text.LONGEST_LINE), longest.cast("string")))
+    return F.when(longest.isNull(), metadata).otherwise(more)
 
 
 def union_targets(*targets: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from auditlake.functions import text
 from auditlake.model import FILE, ScanOptions
 from auditlake.operators.paths import EXCLUDED_NAMES, wanted_path
-from auditlake.sources.tables import file_metadata
+from auditlake.sources.tables import file_metadata, with_longest_line
 
 LISTING_SCHEMA = "path string, size bigint"
 # Bytes of file content one task hands to Spark at a time.
@@ -237,9 +237,10 @@ def read_binary(
 
 
 def _as_targets(read: DataFrame) -> DataFrame:
+    longest = text.longest_line(F.col("content"))
     return read.select(
         "path",
         F.lit(FILE).alias("type"),
         text.decode(F.col("content")).alias("content"),
-        file_metadata("path", "size").alias("metadata"),
+        with_longest_line(file_metadata("path", "size"), longest).alias("metadata"),
     )

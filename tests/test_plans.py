@@ -30,6 +30,19 @@ def test_findings_need_no_shuffle_and_one_gate(spark):
     assert "PushedFilters: [IsNotNull(text)]" in text or "PushedFilters" in text
 
 
+def test_misconfiguration_scans_gate_only_files_of_a_kind(spark):
+    text = plan(match.find(everything(spark), ScanOptions(scanners=("misconfig",))))
+    for part in text.split("ArrowEvalPython")[1:]:
+        assert "Filter" in part.split("ArrowEvalPython")[0] and "docker" in part
+
+
+def test_a_summary_exchanges_no_texts(spark):
+    from auditlake.operators.summary import summarize
+
+    text = plan(summarize(match.scan(everything(spark), fields=("severity",))))
+    assert "RoundRobin" not in text and text.count("Exchange") == 1
+
+
 def test_builtin_gate_has_no_python(spark):
     text = plan(match.find(everything(spark), ScanOptions(gate="builtin")))
     assert "EvalPython" not in text

@@ -282,3 +282,72 @@ def test_scanners_of_ones_own(spark):
     options = ScanOptions(mode="reference", enabled_rules=("own",))
     assert find_with(rows, [Scanner("none", nothing), Scanner("own", own)], options).count() == 1
     assert len(seen) == 3
+
+
+def manifest(*lines):
+    return "\n".join(("apiVersion: v1", "kind: Pod", "runAsNonRoot: true", "securityContext:", *lines)) + "\n"
+
+
+@pytest.mark.parametrize("lines, at", [
+    (("spec:", "  - a:", "    capabilities:", "      add:", "      - SYS_ADMIN", "  - b:", "    capabilities:", "      add: [NET_ADMIN]"), [7, 11]),
+    (("  capabilities:", "    drop: [ALL]", "  x:", "  capabilities:", "    add: [NET_BIND_SERVICE]", "    drop: [ALL]"), []),
+    (("  capabilities:", "    drop:", "    - ALL", "    add:", "    - CHOWN", "", "    # more", "    - all"), [5]),
+    (("  capabilities: {drop: [ALL], add: [SYS_PTRACE]}", "  capabilities: {drop: [ALL]}"), [5]),
+    (("  capabilities:", "    add:", "---", "    - SYS_ADMIN"), []),
+    (("  capabilities:", "    add:", "    - SYS_ADMINS"), []),
+    (("- capabilities:", "    add:", "      - SYS_ADMIN", "      - NET_ADMIN"), [5]),
+])
+def test_capabilities_of_every_block(spark, lines, at):
+    rows = found(spark, [("a.yaml", manifest(*lines))], enabled_rules=("K8S008",))
+    assert [line for _, line, _ in rows] == at
+
+
+@pytest.mark.parametrize("lines, at", [
+    (("  env:", "  - name: A", "    valueFrom:", "      secretKeyRef: {name: a}", "  b:", "  env:", "  - valueFrom: {secretKeyRef: {name: b}}"), [5, 10]),
+    (("  env:", "  - name: A", "    valueFrom:", "      configMapKeyRef: {}", "  secretKeyRef:"), []),
+    (("  - {env: [{valueFrom: {secretKeyRef: x}}]}",), [5]),
+    (("  env:", "  - valueFrom:", "    x: 1", "  - valueFrom:", "      secretKeyRef:", "        name: a"), [5]),
+])
+def test_secrets_of_every_env_block(spark, lines, at):
+    rows = found(spark, [("a.yaml", manifest(*lines))], enabled_rules=("K8S013",))
+    assert [line for _, line, _ in rows] == at
+
+
+def test_entropy_yields_only_to_rules_that_run_and_where_they_overlap(spark):
+    token = "q8Z3kP1xV7mN5bT2cR9wL4yH6jD0sF3gA"
+    key, other = f'api_key = "{token}"', f'x = "{token[::-1]}"'
+    rows = [("a", key), ("b", f"{key} {other}")]
+    assert found(spark, rows, entropy=True) == [("a", 1, "SEC014"), ("b", 1, "SEC014"), ("b", 1, "SECENT")]
+    off = found(spark, rows, entropy=True, disabled_rules=("SEC014",))
+    assert off == [("a", 1, "SECENT"), ("b", 1, "SECENT")]
+
+
+def test_enrich_keeps_findings_of_rules_the_catalog_lacks(spark):
+    from auditlake.operators.catalog import catalog
+    from auditlake.operators.summary import enrich
+
+    rule = custom_rule("MINE", "My rule", "LOW", "abc", remediation="do it")
+    findings = find(targets(spark, [("a", "abc ghp_" + "a" * 36)]), ScanOptions(custom_rules=(rule,)))
+    rows = {r.rule_id: (r.rule_name, r.family) for r in enrich(findings, catalog(spark)).collect()}
+    assert rows["MINE"] == ("My rule", None) and rows["SEC003"][1] == "secret"
+
+
+@pytest.mark.parametrize("pattern, line, fires", [
+    (r"\p{Greek}+x", "αβx", True), (r"\P{Greek}x", "αx", False), (r"[\p{Lu}]{2}$", "aBC", True),
+    (r"(?i:key)=1", "KEY=1", True), (r"a(?i)s", "aſ", True), (r"(a(?i)b)c", "aBC", False),
+    (r"(?i)a(?-i:b)", "AB", False), (r"(?P<n>a)b", "ab", True), (r"^\w+$", "été", False), (r"(?m:^)x$", "x", True),
+])
+def test_scoped_flags_and_classes_as_re2(spark, pattern, line, fires):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    assert pc.match_substring_regex(pa.array([line]), pattern)[0].as_py() == fires
+    rule = custom_rule("C", "c", "LOW", pattern)
+    for gate in ("arrow", "none"):
+        assert bool(found(spark, [("a", line)], custom_rules=(rule,), scanners=("secrets",), gate=gate)) == fires
+
+
+@pytest.mark.parametrize("pattern", [r"\C", r"(?U)a+", r"(?U:a+)", r"a(?=b)"])
+def test_refused_patterns_name_the_rule(pattern):
+    with pytest.raises(ValueError, match="rule BAD"):
+        custom_rule("BAD", "b", "LOW", pattern)

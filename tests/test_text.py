@@ -16,6 +16,7 @@ from auditlake.functions.regex import glob_pattern, to_java
 from auditlake.model import LONG_LINE_ERROR, ScanOptions
 from auditlake.operators import paths
 from auditlake.operators.catalog import builtin_rules
+from auditlake.sources.tables import targets_from_table
 from auditlake.operators.match import number_lines, scan
 
 EDGES = ["", " ", "\t", "\x0b", "\x0c", "\x85", " ", "K", "ſ", "ı", "İ",
@@ -135,12 +136,34 @@ def test_long_lines_are_an_error_for_classified_targets(spark, n, failed):
     results = {r.path: r for r in scan(targets(spark, rows)).collect()}
     assert results["a.txt"].error is None and len(results["a.txt"].findings) == 1
     assert results["Dockerfile"].error == (LONG_LINE_ERROR if failed else None)
-    rules = {f.rule_id for f in results["Dockerfile"].findings}
-    assert rules == ({"SEC001"} if failed else {"SEC001", "DOCKER001", "DOCKER009", "DOCKER012"})
+    every = {"SEC001", "DOCKER001", "DOCKER009", "DOCKER012"}
+    assert {f.rule_id for f in results["Dockerfile"].findings} == every
+    kept = {r.path: r for r in scan(targets(spark, rows), ScanOptions(mode="reference")).collect()}
+    rules = {f.rule_id for f in kept["Dockerfile"].findings}
+    assert rules == ({"SEC001"} if failed else every)
     free = scan(targets(spark, rows), ScanOptions(max_line_bytes=None)).collect()
     assert all(r.error is None for r in free)
 
 
+def test_long_lines_are_measured_as_given(spark):
+    """Bytes that are no text become three each when repaired; they count as one."""
+    rows = spark.createDataFrame([(1, b"USER root\n" + b"\xe9" * 30_000), (2, b"\xe9" * 65_536)], "id int, body binary")
+    made = targets_from_table(rows, "concat('Dockerfile.', id)", "body")
+    got = {r.path: r for r in scan(made).collect()}
+    assert got["Dockerfile.1"].error is None and "DOCKER001" in {f.rule_id for f in got["Dockerfile.1"].findings}
+    assert got["Dockerfile.2"].error == LONG_LINE_ERROR
+
+
+@pytest.mark.parametrize("given, plain", [
+    ("&quot;&#34;&#x22;&#034;&#X0022;", '"""""'), ("&apos;&#39;", "''"), ("&lt;&gt;", "<>"), ("&amp;quot;", "&quot;"),
+    ("&#38;#34;", "&#34;"), ("&#x1F600;&#233;", "😀é"), ("&#0;&#xD800;&#99999999;", "&#0;&#xD800;&#99999999;"),
+    ("a&#", "a&#"), ("&#112;wd", "pwd"), ("a & b", "a & b"), ("$&#36;\\&#92;", "$$\\\\"),
+])
+def test_character_references(spark, given, plain):
+    frame = spark.createDataFrame([(given,)], "t string")
+    assert frame.select(text.unescape_html(F.col("t"))).first()[0] == plain
+
+
 def test_human_size(spark):
     cases = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.2 KB", 1536: "1.5 KB",
              1048575: "1024.0 KB", 1048576: "1.0 MB", 10485760: "10.0 MB", 1 << 40: "1.0 TB"}
