@@ -4,7 +4,8 @@ Equal lines are one line with many places. For the rest, a segment-partition joi
 ``edits`` + 1 segments, so that a line within ``edits`` edits of it holds one of them unchanged, near
 where it was. Every line is indexed by its segments together with its length, and probes the indexes of
 its own and of the ``edits`` next smaller lengths with the substrings that a match allows. Candidates
-are verified by the banded bit-parallel edit distance. Lines linked by such pairs form a class, and all
+are verified by the banded bit-parallel edit distance, after a test that needs no text: an edit changes
+whether a character stands an odd number of times for at most two characters. Lines linked by such pairs form a class, and all
 but the first place of a class, by document id, text hash and line number, are taken out.
 
 Lines shorter than ``LEAST`` characters are never taken out. Null texts stay null and empty ones empty.
@@ -17,6 +18,7 @@ named ``n_lines`` and ``n_dropped`` are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +144,17 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
 
 
+# Bits for the parity of how often a line's characters stand in it.
+PARITY = 31
+
+
+def parities(lines: list[str]) -> np.ndarray:
+    """For each line, none of them empty, the parities of its characters' counts by bucket."""
+    points, starts = code_points(lines)
+    bucket = mix(points.astype(np.uint64)) % np.uint64(PARITY)
+    return np.bitwise_xor.reduceat(np.left_shift(np.int64(1), bucket.astype(np.int64)), starts[:-1])
+
+
 def _keyed(edits: int):
     """Rows of keys for lines ``(k1, k2, line)``, each distinct line of a batch once."""
 
@@ -149,19 +162,21 @@ def _keyed(edits: int):
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             _, once = np.unique(k1, return_index=True)
-            keys, owners, roles = segment_keys(batch.column("line").take(pa.array(once)).to_pylist(), edits)
+            lines = batch.column("line").take(pa.array(once)).to_pylist()
+            keys, owners, roles = segment_keys(lines, edits)
             own = once[owners]
-            # The role is the lowest bit of the line's second hash.
-            tag = k2[own].astype(np.int64) << 1 | roles
+            # From high to low: the line's second hash, the parities, the role.
+            tag = k2[own].astype(np.int64) << 32 | parities(lines)[owners] << 1 | roles
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(k1[own]), pa.array(tag)], names=["key", "k1", "tag"])
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different lines that share a key, one as indexed and the other as probing it.
 
-    Batches come in the order of keys; a run of equal keys is kept as three numbers per line.
+    Batches come in the order of keys; a run of equal keys is kept as three numbers per line. Only pairs
+    whose parities differ as little as the edits allow are put out.
     """
 
     def met(k1: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -172,9 +187,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_once = max(1, PAIRS // len(probe))
         for i in range(0, len(index), at_once):
             part = index[i : i + at_once]
-            a, b = np.repeat(part, len(probe), axis=0), np.tile(probe, (len(part), 1))
-            a[:, 1] >>= 1
-            b[:, 1] >>= 1
+            differ = np.bitwise_count((part[:, None, 1] ^ probe[None, :, 1]) >> 1 & ((1 << PARITY) - 1))
+            i_at, p_at = np.nonzero(differ <= 2 * edits)
+            a, b = part[i_at], probe[p_at]
+            a[:, 1] >>= 32
+            b[:, 1] >>= 32
             other = (a != b).any(axis=1)
             a, b = a[other], b[other]
             swap = (a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])
@@ -207,7 +224,7 @@ def _bounded(rows: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, edits: int) -> DataFrame:
     """``(k1, k2, c1, c2)``: for each line with a near one the line that stands for its class."""
     keyed = lines.select("k1", "k2", "line").mapInArrow(_keyed(edits), "key bigint, k1 bigint, tag bigint")
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_pairs, edits), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     pairs = stored(pairs.distinct(), "line-pairs")
     held = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
     wanted = stored(held, "line-candidates")
