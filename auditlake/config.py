@@ -44,7 +44,7 @@ def read_config(config: Mapping[str, Any], mode: str = INTENT) -> Config:
     limit = scan.get("max_file_size")
     options = ScanOptions(
         mode=mode,
-        excludes=tuple(scan.get("exclude", CONFIG_EXCLUDES)),
+        excludes=tuple(CONFIG_EXCLUDES if scan.get("exclude") is None else scan["exclude"]),
         includes=tuple(scan.get("include") or ()),
         max_file_bytes=size_in_bytes(limit) if limit else MAX_FILE_BYTES,
         enabled_rules=tuple(rules.get("enabled") or ()),

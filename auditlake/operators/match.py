@@ -261,18 +261,21 @@ class Matcher:
         hits = self._with_hits(targets, keep, drop_clean=False)
         return hits.select("path", *keep, "error", self._findings(fields).alias("findings"))
 
-    def findings(self, targets: DataFrame) -> DataFrame:
-        """One row per rule and line it fires on."""
-        hits = self._with_hits(targets, ("type",), drop_clean=True)
+    def findings(self, targets: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """One row per rule and line it fires on; ``carry`` names columns of the target to keep."""
+        hits = self._with_hits(targets, ("type", *carry), drop_clean=True)
         # An outer generator keeps the optimizer from working the findings out
         # a second time to tell whether there are any.
-        rows = hits.select(self._findings().alias("findings")).select(F.inline_outer("findings"))
-        return rows.filter(F.col("id").isNotNull()).select(*FINDING_COLUMNS)
+        rows = hits.select(*carry, self._findings().alias("_findings"))
+        rows = rows.select(*carry, F.inline_outer("_findings"))
+        return rows.filter(F.col("id").isNotNull()).select(*FINDING_COLUMNS, *carry)
 
 
-def find(targets: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """Findings of a scan, one row each."""
-    return Matcher(options).findings(targets)
+def find(
+    targets: DataFrame, options: ScanOptions | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Findings of a scan, one row each, with the columns of their target that ``carry`` names."""
+    return Matcher(options).findings(targets, carry)
 
 
 def scan(

@@ -112,13 +112,22 @@ LONG_CONTENT = """concat('FROM ubuntu', chr(10), '#', repeat('x', CASE s_suppkey
  WHEN 0 THEN 65535 WHEN 1 THEN 65534 ELSE 10 END), chr(10), 'USER root', chr(10))"""
 
 
+# A page with its address, and turns of which some quote a token or a password.
+PAGE_CONTENT = "concat(url, chr(10), html)"
+_TURN = "conv_id * 31 + turn * 7"
+CONVERSATION_CONTENT = f"""concat(text, CASE WHEN ({_TURN}) % 11 = 0
+ THEN concat(chr(10), 'use gh', 'p_', substring(concat(md5(CAST(conv_id AS STRING)),
+  md5(CAST(turn AS STRING))), 1, 36))
+ WHEN ({_TURN}) % 13 = 0 THEN concat(chr(10), 'pass', 'word = "', substring(md5(CAST(conv_id AS STRING)),
+  1, 12), '"') ELSE '' END)"""
+
 # The columns the targets are made of.
 COLUMNS = {
     "part": ("p_partkey", "p_size"),
     "customer": ("c_custkey",),
     "supplier": ("s_suppkey",),
     "documents": ("doc_id", "lang", "text"),
-    "pages": ("page_id", "html"),
+    "pages": ("page_id", "url", "html"),
     "conversations": ("conv_id", "turn", "text"),
 }
 
@@ -157,11 +166,12 @@ def repository(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, "pages")
-    return targets_from_table(rows, PAGE_PATH, "html", unescape_html=True)
+    return targets_from_table(rows, PAGE_PATH, PAGE_CONTENT, unescape_html=True)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(_rows(spark, sf_dir, "conversations"), CONVERSATION_PATH, "text")
+    rows = _rows(spark, sf_dir, "conversations")
+    return targets_from_table(rows, CONVERSATION_PATH, CONVERSATION_CONTENT)
 
 
 def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,4 +182,6 @@ def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
         configs(spark, sf_dir),
         long_dockerfiles(spark, sf_dir),
         documents(spark, sf_dir),
+        pages(spark, sf_dir),
+        conversations(spark, sf_dir),
     )

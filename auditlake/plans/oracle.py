@@ -143,11 +143,11 @@ CONFIGS = f"SELECT {fx.SECRET_PATH} AS path, {fx.SECRET_CONTENT} AS content FROM
 LONG = f"SELECT {fx.LONG_PATH} AS path, {fx.LONG_CONTENT} AS content FROM supplier"
 DOCUMENTS = f"SELECT {fx.DOCUMENT_PATH} AS path, text AS content FROM documents"
 REPOSITORY = f"SELECT {fx.REPO_PATH} AS path, text AS content FROM documents"
-CONVERSATIONS = f"SELECT {fx.CONVERSATION_PATH} AS path, text AS content FROM conversations"
-PAGES = f"""SELECT {fx.PAGE_PATH} AS path, replace(replace(replace(replace(replace(replace(html,
+CONVERSATIONS = f"SELECT {fx.CONVERSATION_PATH} AS path, {fx.CONVERSATION_CONTENT} AS content FROM conversations"
+PAGES = f"""SELECT {fx.PAGE_PATH} AS path, replace(replace(replace(replace(replace(replace({fx.PAGE_CONTENT},
  '&quot;', '"'), '&#34;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')
  AS content FROM pages"""
-EVERYTHING = " UNION ALL ".join((DOCKERFILES, MANIFESTS, CONFIGS, LONG, DOCUMENTS))
+EVERYTHING = " UNION ALL ".join((DOCKERFILES, MANIFESTS, CONFIGS, LONG, DOCUMENTS, PAGES, CONVERSATIONS))
 
 
 def _text(value: str) -> str:
@@ -373,7 +373,7 @@ ORACLE: dict[str, str] = {
  bool_or(severity IN ('CRITICAL', 'HIGH')) AS fails_high,
  bool_or(severity IN ('CRITICAL', 'HIGH', 'MEDIUM')) AS fails_medium,
  bool_or(severity <> 'INFO') AS fails_low, false AS fails_other FROM f""",
-    "verdict": f"""{_found(DOCUMENTS, _secret_rows(True))} SELECT count(*) AS total_findings,
+    "verdict": f"""{_found(EVERYTHING, ALL_ROWS + [_entropy_row(SECRETS)])} SELECT count(*) AS total_findings,
  CASE WHEN count(*) = 0 THEN 'clean' WHEN bool_or(severity IN ('CRITICAL', 'HIGH')) THEN 'fix'
   WHEN bool_or(severity = 'MEDIUM') THEN 'consider' ELSE 'low_only' END AS verdict FROM f""",
     "rules_seen": f"""{ALL}, o AS (SELECT *, row_number() OVER (PARTITION BY rule_id
@@ -394,9 +394,12 @@ ORACLE: dict[str, str] = {
  FROM f JOIN {RULES} USING (rule_id)""",
     "sarif_documents": f"""{ALL} SELECT string_split(file_path, '/')[1] AS project, true AS valid,
  count(*) AS findings, count(*) AS results FROM f GROUP BY ALL""",
-    "json_rows": f"""{ALL}, c AS (SELECT file_path, count(*) AS n FROM f GROUP BY ALL)
+    "json_rows": f"""{ALL}, c AS (SELECT file_path, count(*) AS n, sum(start_line) AS lines,
+  string_agg(id, ',' ORDER BY id) AS ids,
+  string_agg(match, '|' ORDER BY id) AS matches FROM f GROUP BY ALL)
  SELECT e.path, 'FILE' AS type, {SIZE} AS size, error, coalesce(n, 0) = 0 AS no_findings,
-  coalesce(n, 0) AS findings FROM e LEFT JOIN c ON c.file_path = e.path""",
+  coalesce(n, 0) AS findings, coalesce(ids, '') AS ids, coalesce(matches, '') AS matches,
+  CAST(coalesce(lines, 0) AS BIGINT) AS lines FROM e LEFT JOIN c ON c.file_path = e.path""",
     "markdown_rows": f"""{NUMBERED} SELECT ordinal, '### ' || CASE severity
   WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' ELSE '🔵' END
   || ' ' || ordinal || '. ' || name AS heading, '- **Severity:** ' || severity AS severity_line,
@@ -415,5 +418,7 @@ ORACLE: dict[str, str] = {
     "stream_scan": f"{PLANTED} {SHOW}",
     "stream_counts": f"{PLANTED} SELECT severity, count(*) AS findings FROM f GROUP BY ALL",
     "stream_dedup": """SELECT DISTINCT concat('user/', user_id) AS file_path,
- substring(sha256(concat('user/', user_id, ':1:SEC003')), 1, 16) AS id FROM events""",
+ substring(sha256(concat('user/', user_id, ':1:SEC003')), 1, 16) AS id,
+ 'gh' || 'p_' || repeat('*', 32) || right(repeat(lpad(CAST(user_id AS VARCHAR), 9, '0'), 4), 4)
+ AS match FROM events""",
 }

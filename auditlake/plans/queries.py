@@ -296,7 +296,7 @@ def fail_gate(spark, sf_dir):
 
 
 def verdict(spark, sf_dir):
-    found = match.scan(fixtures.documents(spark, sf_dir), ScanOptions(entropy=True))
+    found = match.scan(fixtures.everything(spark, sf_dir), ScanOptions(entropy=True), ("severity",))
     return summary.summarize(found).select(
         "total_findings", summary.verdict().alias("verdict")
     )
@@ -385,15 +385,21 @@ def sarif_documents(spark, sf_dir):
 
 def json_rows(spark, sf_dir):
     rows = reports.json_rows(_results(spark, sf_dir, fields=FINDING_COLUMNS))
-    n = F.coalesce(F.json_array_length(F.get_json_object("value", "$.findings")), F.lit(0))
-    return rows.select(
+    shape = "array<struct<id:string,start_line:int,match:string>>"
+    found = F.coalesce(F.from_json(F.get_json_object("value", "$.findings"), shape), F.array().cast(shape))
+    ordered = rows.withColumn("found", F.array_sort(found))
+    total = F.aggregate("found", F.lit(0).cast("bigint"), lambda n, f: n + f["start_line"])
+    return ordered.select(
         *_from_json(
             "value", path="$.target.path", type="$.target.type", size="$.target.metadata.size",
-            error="$.error", first_rule="$.findings[0].rule_id",
+            error="$.error",
         ),
         F.col("value").contains('"findings":null').alias("no_findings"),
-        n.cast("bigint").alias("findings"),
-    ).drop("first_rule")
+        F.size("found").cast("bigint").alias("findings"),
+        F.concat_ws(",", F.transform("found", lambda f: f["id"])).alias("ids"),
+        F.concat_ws("|", F.transform("found", lambda f: f["match"])).alias("matches"),
+        total.alias("lines"),
+    )
 
 
 def markdown_rows(spark, sf_dir):
@@ -432,7 +438,7 @@ def merge_reports(spark, sf_dir):
 def scan_tree(spark, sf_dir):
     """Write texts as a tree of files, then scan the tree.
 
-    Files hold few enough rows to stay under the size cap.
+    A file holds many texts, so its size is not limited here.
     """
     root = shared_path(spark, "tree")
     for name, targets in (
@@ -441,28 +447,36 @@ def scan_tree(spark, sf_dir):
     ):
         rows = targets.select("content").write.option("maxRecordsPerFile", 64)
         rows.text(f"{root}/{name}")
-    options = ScanOptions(scanners=("secrets",), entropy=True, excludes=("*.crc",))
+    options = ScanOptions(
+        scanners=("secrets",), entropy=True, excludes=("*.crc",), max_file_bytes=1 << 40
+    )
     found = match.find(read_tree(spark, root.removeprefix("file:"), options), options)
     project = F.element_at(F.split("file_path", "/"), -2)
     return _counts(found.withColumn("project", project), "project", "rule_id")
 
 
-def _customer_stream(spark, sf_dir):
-    schema = fixtures.table(spark, sf_dir, "customer").schema
-    rows = stream.stream_table(spark, sf_dir, schema, glob="customer.parquet")
+def _arriving(spark, sf_dir, table, base):
+    """Rows of a table as a stream of several batches, from files written to a shared folder."""
+    rows = fixtures.table(spark, sf_dir, table)
+    rows.repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    return stream.stream_table(spark, f"{base}/in", rows.schema, files_per_trigger=1)
+
+
+def _customer_stream(spark, sf_dir, base):
+    rows = _arriving(spark, sf_dir, "customer", base)
     return targets_from_table(rows, fixtures.SECRET_PATH, fixtures.SECRET_CONTENT)
 
 
 def stream_scan(spark, sf_dir):
     base = shared_path(spark, "stream")
-    found = stream.stream_findings(_customer_stream(spark, sf_dir), SECRETS)
+    found = stream.stream_findings(_customer_stream(spark, sf_dir, base), SECRETS)
     stream.write_findings(found, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select(*SHOWN)
 
 
 def stream_counts(spark, sf_dir):
     base = shared_path(spark, "stream")
-    found = stream.stream_findings(_customer_stream(spark, sf_dir), SECRETS)
+    found = stream.stream_findings(_customer_stream(spark, sf_dir, base), SECRETS)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")
@@ -473,19 +487,21 @@ def stream_counts(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    """Every event's user has a file with a token; each finding is kept once."""
-    schema = fixtures.table(spark, sf_dir, "events").schema
-    rows = stream.stream_table(spark, sf_dir, schema, glob="events.parquet")
+    """Every event brings the same file of its user, with a token; each finding is kept once.
+
+    The events arrive within a month, in any order, so a span of that length forgets none early.
+    """
     base = shared_path(spark, "stream")
-    targets = rows.select(
-        F.col("ts").cast("timestamp").alias("arrival"),
-        F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"),
+    rows = _arriving(spark, sf_dir, "events", base)
+    token = "concat('gh', 'p_', repeat(lpad(CAST(user_id AS STRING), 9, '0'), 4))"
+    targets = targets_from_table(
+        rows.withColumn("arrival", F.col("ts").cast("timestamp")),
+        "concat('user/', CAST(user_id AS STRING))", f"concat('token: ', {token})", keep=("arrival",),
     )
-    identifier = match.finding_id(F.col("path"), F.lit(1), F.lit("SEC003"))
-    found = targets.select("arrival", F.col("path").alias("file_path"), identifier.alias("id"))
-    kept = stream.drop_repeats(found, "arrival", "3650 days")
+    found = stream.stream_findings(targets, SECRETS, carry=("arrival",))
+    kept = stream.drop_repeats(found, "arrival", "31 days")
     stream.write_findings(kept, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("file_path", "id")
+    return spark.read.parquet(f"{base}/out").select("file_path", "id", "match")
 
 
 QUERIES: dict[str, Query] = {

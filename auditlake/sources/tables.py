@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +19,13 @@ def file_metadata(path: str, size: str) -> Column:
 
 
 def targets_from_table(
-    rows: DataFrame, path: Column | str, content: Column | str, unescape_html: bool = False
+    rows: DataFrame,
+    path: Column | str,
+    content: Column | str,
+    unescape_html: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One target per row of any batch or streaming table."""
+    """One target per row of any batch or streaming table; ``keep`` names columns to leave beside it."""
     path = F.expr(path) if isinstance(path, str) else path
     content = F.expr(content) if isinstance(content, str) else content
     body = text.decode(content)
@@ -30,9 +35,10 @@ def targets_from_table(
         path.cast("string").alias("path"),
         body.alias("content"),
         text.longest_line(content).alias("longest"),
+        *keep,
     )
     metadata = with_longest_line(file_metadata("path", "octet_length(content)"), F.col("longest"))
-    return named.select("path", F.lit(FILE).alias("type"), "content", metadata.alias("metadata"))
+    return named.select("path", F.lit(FILE).alias("type"), "content", metadata.alias("metadata"), *keep)
 
 
 def with_longest_line(metadata: Column, longest: Column) -> Column:

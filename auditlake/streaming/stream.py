@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +29,14 @@ def stream_table(
     return reader.parquet(folder)
 
 
-def stream_findings(targets: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """Findings of a stream of targets: the batch operator as it is."""
-    return find(targets, options)
+def stream_findings(
+    targets: DataFrame, options: ScanOptions | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Findings of a stream of targets: the batch operator as it is.
+
+    ``carry`` names columns to keep beside the findings, such as a time of arrival.
+    """
+    return find(targets, options, carry)
 
 
 def running_counts(findings: DataFrame) -> DataFrame:
