@@ -56,15 +56,23 @@ def is_binary_name(path: Column) -> Column:
 
 
 def wanted_path(
-    path: Column, excludes: Iterable[str] = (), includes: Iterable[str] = (), mode: str = INTENT
+    path: Column,
+    excludes: Iterable[str] = (),
+    includes: Iterable[str] = (),
+    mode: str = INTENT,
+    tried: Column | None = None,
 ) -> Column:
-    """The walker's tests on a path taken together; no includes means all."""
+    """The walker's tests on a path taken together; no includes means all.
+
+    Globs are tried on ``tried``, by default the path itself.
+    """
+    tried = path if tried is None else tried
     excludes, includes = tuple(excludes), tuple(includes)
     keep = ~excluded_by_name(path) & ~is_binary_name(path)
     if excludes:
-        keep = keep & ~excluded_by_glob(path, excludes, mode)
+        keep = keep & ~excluded_by_glob(tried, excludes, mode)
     if includes:
-        keep = keep & included_by_glob(path, includes, mode)
+        keep = keep & included_by_glob(tried, includes, mode)
     return keep
 
 

@@ -1,29 +1,35 @@
 """Targets from file trees.
 
 ``read_tree`` reads every file of a tree, also the ones whose names begin with
-a dot or an underscore, which Spark's file sources leave out; the tree must be
-mounted on the executors. ``read_binary`` is Spark's own source, for any
-file system Spark knows but without those names, without empty files (which
-have no findings), and with links followed.
+a dot or an underscore, which Spark's file sources leave out. A root is a path
+that is mounted on the executors, or the address of a store that ``pyarrow.fs``
+opens there (``hdfs://``, ``s3://``, ``gs://``, ``file://``); tasks list and read
+it. ``read_binary`` is Spark's own source, for any file system Spark knows but
+without those names, without empty files (which have no findings), with links
+followed, and with contents read before paths are filtered.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import stat
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from auditlake.functions import text
-from auditlake.model import FILE, ScanOptions
+from auditlake.model import FILE, REFERENCE, ScanOptions
 from auditlake.operators.paths import EXCLUDED_NAMES, wanted_path
 from auditlake.sources.tables import file_metadata, with_longest_line
 
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:/")
 LISTING_SCHEMA = "path string, size bigint"
 # Bytes of file content one task hands to Spark at a time.
 _BATCH_BYTES = 32 * 1024 * 1024
@@ -33,10 +39,31 @@ _FRONTIER = 256
 _DRIVER_FILES = 100_000
 
 
-def _entries(folder: str) -> Iterator[os.DirEntry]:
+@dataclass(frozen=True)
+class Entry:
+    """A name in a folder; only stores know the size without another look."""
+
+    name: str
+    path: str
+    is_folder: bool
+    size: int | None = None
+
+
+def _store(root: str) -> tuple[fs.FileSystem, str] | None:
+    """File system and path of an address; ``None`` for a mounted path."""
+    return fs.FileSystem.from_uri(root) if _SCHEME.match(root) else None
+
+
+def _entries(folder: str, store: fs.FileSystem | None = None) -> Iterator[Entry]:
+    """What lies in a folder; nothing if it cannot be read."""
     try:
+        if store is not None:
+            for info in store.get_file_info(fs.FileSelector(folder)):
+                yield Entry(info.base_name, info.path, info.type == fs.FileType.Directory, info.size)
+            return
         with os.scandir(folder) as found:
-            yield from found
+            for entry in found:
+                yield Entry(entry.name, entry.path, entry.is_dir(follow_symlinks=False))
     except OSError:
         return
 
@@ -68,18 +95,25 @@ class TreeListingReader(DataSourceReader):
         self.root = root
         self.follow = follow
 
+    def _opened(self) -> tuple[fs.FileSystem | None, str]:
+        found = _store(self.root)
+        return found if found else (None, self.root)
+
     def partitions(self) -> list[_Part]:
-        root = self.root
+        store, root = self._opened()
         if os.path.basename(root) in EXCLUDED_NAMES:
             return [_Part([], [])]
-        if not os.path.isdir(root) or os.path.islink(root):
+        if store is not None:
+            if store.get_file_info(root).type != fs.FileType.Directory:
+                return [_Part([root], [])]
+        elif not os.path.isdir(root) or os.path.islink(root):
             return [_Part([root], [])]
         files: list[str] = []
         folders, left = [root], []
         while folders and len(folders) < _FRONTIER and len(files) < _DRIVER_FILES:
             below: list[str] = []
             for folder in folders:
-                listed = self._list(folder) if len(files) < _DRIVER_FILES else None
+                listed = self._list(folder, store) if len(files) < _DRIVER_FILES else None
                 if listed is None:
                     left.append(folder)
                     continue
@@ -89,14 +123,14 @@ class TreeListingReader(DataSourceReader):
         return self._parts(files, folders + left)
 
     @staticmethod
-    def _list(folder: str) -> tuple[list[str], list[str]] | None:
+    def _list(folder: str, store: fs.FileSystem | None) -> tuple[list[str], list[str]] | None:
         """Files and folders of a folder; ``None`` if it is too wide for the driver."""
         files: list[str] = []
         folders: list[str] = []
-        for entry in _entries(folder):
+        for entry in _entries(folder, store):
             if entry.name in EXCLUDED_NAMES:
                 continue
-            (folders if entry.is_dir(follow_symlinks=False) else files).append(entry.path)
+            (folders if entry.is_folder else files).append(entry.path)
             if len(files) + len(folders) > _DRIVER_FILES:
                 return None
         return files, folders
@@ -106,20 +140,28 @@ class TreeListingReader(DataSourceReader):
         parts = [_Part(files[i:i + 10_000], []) for i in range(0, len(files), 10_000)]
         return parts + [_Part([], [f]) for f in folders] or [_Part([], [])]
 
+    def _row(self, store: fs.FileSystem | None, path: str) -> tuple[str, int] | None:
+        if store is None:
+            return _file_row(path, self.follow)
+        info = store.get_file_info(path)
+        return (path, info.size) if info.type == fs.FileType.File else None
+
     def read(self, partition: _Part) -> Iterator[tuple]:
+        store, _ = self._opened()
         for path in partition.files:
-            row = _file_row(path, self.follow)
+            row = self._row(store, path)
             if row:
                 yield row
         folders = list(partition.folders)
         while folders:
-            for entry in _entries(folders.pop()):
+            for entry in _entries(folders.pop(), store):
                 if entry.name in EXCLUDED_NAMES:
                     continue
-                if entry.is_dir(follow_symlinks=False):
+                if entry.is_folder:
                     folders.append(entry.path)
                     continue
-                row = _file_row(entry.path, self.follow)
+                known = store is not None and entry.size is not None
+                row = (entry.path, entry.size) if known else self._row(store, entry.path)
                 if row:
                     yield row
 
@@ -143,37 +185,71 @@ class TreeListing(DataSource):
         return TreeListingReader(self.options["path"].rstrip("/") or "/", follow)
 
 
+def _checked(root: str) -> str:
+    """A root as tasks open it: an address, or an absolute path; one that is not there is an error."""
+    found = _store(root)
+    if found:
+        store, path = found
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"no such root: {root}")
+        return root.rstrip("/")
+    if not os.path.lexists(root):
+        raise FileNotFoundError(f"no such root: {root}")
+    return os.path.abspath(root)
+
+
 def list_tree(spark: SparkSession, root: str, follow_symlinks: bool = False) -> DataFrame:
-    """One row per file below ``root``; ``name`` is the path from its base name."""
+    """One row per file below ``root``.
+
+    ``path`` is where tasks read it, ``name`` the path from the root's base
+    name, ``below`` the one below the root, and ``spelt`` the path as a walk
+    from the root as it was given spells it.
+    """
+    opened = _checked(root)
     spark.dataSource.register(TreeListing)
     listing = (
         spark.read.format("auditlake_listing")
         .option("followSymlinks", str(follow_symlinks).lower())
-        .load(root)
+        .load(opened)
     )
-    trimmed = root.rstrip("/")
-    above = trimmed[: len(trimmed) - len(os.path.basename(trimmed))]
-    return listing.withColumn("name", F.expr(f"substr(path, {len(above) + 1})"))
+    store = _store(opened)
+    top = (store[1] if store else opened).rstrip("/")
+    base = os.path.basename(top)
+    # A root that is a file is its own only entry.
+    below = F.expr(f"if(length(path) = {len(top)}, {_sql(base)}, substr(path, {len(top) + 2}))")
+    given = os.path.normpath(root) if not store else top
+    spelt = F.expr(f"substr(path, {len(top) + 2})") if given == "." else F.concat(
+        F.lit(given), F.expr(f"substr(path, {len(top) + 1})")
+    )
+    return listing.withColumns({
+        "name": F.concat(F.lit(base), F.expr(f"substr(path, {len(top) + 1})")),
+        "below": below,
+        "spelt": spelt,
+    })
+
+
+def _sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_files(root: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contents of listed files; files that cannot be read are left out."""
     paths: list[str] = []
     sizes: list[int] = []
     bodies: list[bytes] = []
-    held = 0
+    held, store = 0, _store(root)
 
     def flush() -> pd.DataFrame:
         return pd.DataFrame({"path": paths, "size": sizes, "content": bodies})
 
     for batch in batches:
-        for path, size in zip(batch["path"], batch["size"]):
+        for path, name, size in zip(batch["path"], batch["shown"], batch["size"]):
             try:
-                with open(path, "rb") as file:
+                with store[0].open_input_stream(path, compression=None) if store else open(path, "rb") as file:
                     body = file.read()
             except OSError:
                 continue
-            paths.append(path)
+            paths.append(name)
             sizes.append(size)
             bodies.append(body)
             held += len(body)
@@ -193,24 +269,28 @@ def read_tree(
 ) -> DataFrame:
     """Targets of all files below the roots that the options keep.
 
-    The listing is filtered first and then spread over ``readers`` tasks by
-    path, so a folder with most of the files is still read by all of them.
-    Roots that overlap give their common files more than once.
+    In intent mode globs are tried on the path below the root, and targets are
+    named by their absolute path; in reference mode both go by the path as a
+    walk spells it. The listing is filtered first and then spread over
+    ``readers`` tasks by path, so a folder with most of the files is still read
+    by all of them. Roots that overlap give their common files more than once;
+    a root that does not exist is an error.
     """
     options = options or ScanOptions()
     roots = [roots] if isinstance(roots, str) else list(roots)
-    kept = [
-        list_tree(spark, root, follow_symlinks).filter(
-            wanted_path(F.col("name"), options.excludes, options.includes, options.mode)
-            & (F.col("size") <= options.max_file_bytes)
-        )
-        for root in roots
-    ]
     readers = readers or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listing = reduce(DataFrame.unionByName, kept).select("path", "size")
-    spread = listing.repartition(readers, "path")
-    read = spread.mapInPandas(_read_files, "path string, size bigint, content binary")
-    return _as_targets(read)
+    reference = options.mode == REFERENCE
+    read = []
+    for root in roots:
+        tried = F.col("spelt" if reference else "below")
+        wanted = wanted_path(F.col("name"), options.excludes, options.includes, options.mode, tried)
+        listed = list_tree(spark, root, follow_symlinks)
+        kept = listed.filter(wanted & (F.col("size") <= options.max_file_bytes))
+        shown = F.col("spelt" if reference else "path").alias("shown")
+        spread = kept.select("path", shown, "size").repartition(readers, "path")
+        bodies = partial(_read_files, _checked(root))
+        read.append(spread.mapInPandas(bodies, "path string, size bigint, content binary"))
+    return _as_targets(reduce(DataFrame.unionByName, read))
 
 
 def read_binary(

@@ -51,19 +51,47 @@ def test_walk(spark, root):
 
 def test_globs_and_symlinks(spark, root):
     options = ScanOptions(excludes=("src/**",), includes=("*.go", "link"), mode="intent")
-    assert names(tree.read_tree(spark, f"{root}/", options), root) == ["src/a.go", "srcfoo/b.go"]
-    options = ScanOptions(excludes=("proj/src**",), includes=("*.go", "link"), mode="reference")
+    assert names(tree.read_tree(spark, f"{root}/", options), root) == ["srcfoo/b.go"]
+    kept = tree.read_tree(spark, root, ScanOptions(includes=("src/**",), excludes=()))
+    assert names(kept, root) == ["src/a.go", "src/t/c.min.js"]
+    options = ScanOptions(excludes=(f"{root}/src**",), includes=("*.go", "link"), mode="reference")
     assert names(tree.read_tree(spark, root, options), root) == []
     kept = tree.read_tree(spark, root, ScanOptions(includes=("link*",)), follow_symlinks=True)
     assert names(kept, root) == ["link"]
 
 
-def test_roots_are_appended_and_may_be_excluded_or_missing(spark, root):
-    roots = [f"{root}/src", f"{root}/src", f"{root}/.git", f"{root}/none", f"{root}/plain"]
+def test_roots_are_appended_and_may_be_excluded(spark, root):
+    roots = [f"{root}/src", f"{root}/src", f"{root}/.git", f"{root}/plain"]
     got = names(tree.read_tree(spark, roots), root)
     assert got == ["plain", "src/a.go", "src/a.go"]
 
 
+def test_missing_roots_are_errors(spark, root):
+    for missing in (f"{root}/none", f"file://{root}/none"):
+        with pytest.raises(FileNotFoundError, match="none"):
+            tree.read_tree(spark, missing)
+
+
+def test_relative_roots(spark, root, monkeypatch):
+    """Globs go by the path below the root; a walk from ``.`` spells paths without it."""
+    monkeypatch.chdir(root)
+    intent = tree.read_tree(spark, ".", ScanOptions(includes=("src/**",)))
+    assert [r.path for r in intent.select("path").collect()] == [f"{root}/src/a.go"]
+    options = ScanOptions(includes=("src/**",), mode="reference")
+    spelt = tree.read_tree(spark, ".", options).select("path").collect()
+    assert sorted(r.path for r in spelt) == ["src/a.go", "srcfoo/b.go"]
+    spelt = tree.read_tree(spark, "./src", ScanOptions(mode="reference")).select("path").collect()
+    assert "src/a.go" in {r.path for r in spelt}
+
+
+def test_addresses_are_read_like_mounts(spark, root):
+    plain = set(names(tree.read_tree(spark, root), root))
+    # Stores have no links of their own; this one follows them.
+    assert set(names(tree.read_tree(spark, f"file://{root}"), root)) - {"link", "linkdir/a.go"} == plain
+    found = {os.path.relpath(r.file_path, root) for r in find(tree.read_tree(spark, f"file://{root}")).collect()}
+    assert found == {".env", "bad.txt"}
+
+
 def test_listing_is_the_same_however_it_is_split(spark, root, monkeypatch):
     whole = names(tree.list_tree(spark, root), root)
     for limit in (0, 3):
@@ -94,7 +122,7 @@ def test_binary_file_source_agrees_but_for_hidden_files(spark, root):
 
 
 def test_nothing_to_scan_is_a_row_of_zeros(spark, root):
-    targets = tree.read_tree(spark, f"{root}/none")
+    targets = tree.read_tree(spark, f"{root}/.git")
     row = summarize(scan(targets)).first().asDict()
     assert set(row.values()) == {0} and len(row) == 9
 
