@@ -400,11 +400,11 @@ ORACLE: dict[str, str] = {
  SELECT e.path, 'FILE' AS type, {SIZE} AS size, error, coalesce(n, 0) = 0 AS no_findings,
   coalesce(n, 0) AS findings, coalesce(ids, '') AS ids, coalesce(matches, '') AS matches,
   CAST(coalesce(lines, 0) AS BIGINT) AS lines FROM e LEFT JOIN c ON c.file_path = e.path""",
-    "markdown_rows": f"""{NUMBERED} SELECT ordinal, '### ' || CASE severity
-  WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' ELSE '🔵' END
-  || ' ' || ordinal || '. ' || name AS heading, '- **Severity:** ' || severity AS severity_line,
- '- **Rule:** `' || rule_id || '`' AS rule_line,
- '- **File:** `' || file_path || ':' || start_line || '`' AS file_line FROM o""",
+    "markdown_rows": f"""{NUMBERED} SELECT ordinal, '## ' || ordinal || CASE severity
+  WHEN 'CRITICAL' THEN ' 🔴 ' WHEN 'HIGH' THEN ' 🟠 ' WHEN 'MEDIUM' THEN ' 🟡 ' ELSE ' 🔵 ' END
+  || name AS heading,
+ '| ' || severity || ' | ' || rule_id || ' | `' || file_path || ':' || start_line || '` |' AS facts
+ FROM o""",
     "table_rows": f"""{NUMBERED} SELECT ordinal,
  '[' || ordinal || '] ' || rpad(severity, 10, ' ') || ' ' || name AS heading,
  '    Rule: ' || rule_id AS rule_line, '    File: ' || file_path || ':' || start_line AS file_line,
@@ -412,9 +412,29 @@ ORACLE: dict[str, str] = {
   AS match_line FROM o""",
     "merge_reports": f"""{_found(DOCKERFILES + ' UNION ALL ' + CONFIGS, _docker_rows() + _secret_rows())}
  SELECT rule_id, count(*) AS findings FROM f GROUP BY ALL""",
-    "scan_tree": f"""{_found(DOCUMENTS + ' UNION ALL ' + CONFIGS, _secret_rows(True))}
- SELECT CASE WHEN starts_with(file_path, 'doc/') THEN 'docs' ELSE 'conf' END AS project, rule_id,
-  count(*) AS findings FROM f GROUP BY ALL""",
+    "sarif_merged": f"""{_found(DOCKERFILES + ' UNION ALL ' + CONFIGS, _docker_rows() + _secret_rows())}
+ SELECT rule_id, count(*) AS findings FROM f GROUP BY ALL""",
+    "sarif_clean": f"""{DOCKER_FOUND} SELECT string_split(t.path, '/')[-1] AS kind, true AS valid,
+  CAST(count(f.id) AS BIGINT) AS findings FROM t LEFT JOIN f ON f.file_path = t.path
+  AND f.rule_id = 'DOCKER012' AND ends_with(t.path, 'prod') GROUP BY ALL""",
+    "github_documents": f"""{K8S_FOUND} SELECT (row_number() OVER (ORDER BY {RANK}, file_path,
+  start_line, rule_id) - 1) // 400 AS chunk, rule_id, replace({LEVEL}, 'none', 'note') AS level,
+ substring(file_path, 5) AS uri, start_line FROM f""",
+    "written_report": f"{PLANTED} SELECT file_path AS path, id, rule_id FROM f",
+    "written_findings": f"{PLANTED} {SHOW}",
+    "scan_counters": f"""{_lines(LONG)} SELECT count(*) AS total, count(*) AS processed,
+ count(error) AS errors, count(*) / 2.0 AS rate, 100.0::DOUBLE AS percentage FROM e""",
+    "target_types": f"""{PLANTED} {SHOW} WHERE CAST(regexp_extract(file_path, '[0-9]+') AS INTEGER) % 3 <> 0
+ AND CAST(regexp_extract(file_path, '[0-9]+') AS INTEGER) % 5 <> 0""",
+    "repaired_texts": f"{PLANTED} {SHOW}",
+    **{name: f"""{_found(DOCUMENTS + ' UNION ALL ' + CONFIGS, _secret_rows(True))},
+ p AS (SELECT CASE WHEN starts_with(file_path, 'doc/') THEN 'docs' ELSE 'conf' END AS project, *
+  FROM f) SELECT project, rule_id, {times} AS findings FROM p WHERE {kept} GROUP BY ALL"""
+       for name, times, kept in (
+           ("scan_tree", "count(*)", "true"), ("tree_address", "count(*)", "true"),
+           ("tree_hidden", "count(*)", "true"), ("tree_globs", "count(*)", "project = 'conf'"),
+           ("multiple_roots", "count(*) * CASE WHEN max(project) = 'conf' THEN 2 ELSE 1 END", "true"),
+       )},
     "stream_scan": f"{PLANTED} {SHOW}",
     "stream_counts": f"{PLANTED} SELECT severity, count(*) AS findings FROM f GROUP BY ALL",
     "stream_dedup": """SELECT DISTINCT concat('user/', user_id) AS file_path,

@@ -405,10 +405,7 @@ def json_rows(spark, sf_dir):
 def markdown_rows(spark, sf_dir):
     rows = order.numbered(_docker(spark, sf_dir))
     section = F.split(reports.markdown_section(F.col("ordinal")), "\n")
-    return rows.select(
-        "ordinal", section[0].alias("heading"), section[2].alias("severity_line"),
-        section[3].alias("rule_line"), section[4].alias("file_line"),
-    )
+    return rows.select("ordinal", section[0].alias("heading"), section[4].alias("facts"))
 
 
 def table_rows(spark, sf_dir):
@@ -420,41 +417,166 @@ def table_rows(spark, sf_dir):
     )
 
 
-def merge_reports(spark, sf_dir):
+def _two_reports(spark, sf_dir):
     def report(found):
         return sarif.sarif_documents(found.withColumn("report", F.lit("r")), "report", size=500)
 
-    merged = sarif.merge_reports(report(_docker(spark, sf_dir)), report(_planted(spark, sf_dir)))
-    results = F.from_json(
-        F.get_json_object("run", "$.results"), "array<struct<ruleId:string>>"
+    return report(_docker(spark, sf_dir)), report(_planted(spark, sf_dir))
+
+
+_RUN_RULES = "array<struct<results:array<struct<ruleId:string>>>>"
+
+
+def _rules_of_runs(documents):
+    """The rule of each result of all runs of SARIF documents."""
+    runs = F.from_json(F.get_json_object("document", "$.runs"), _RUN_RULES)
+    results = documents.select(F.explode(runs).alias("run")).select(F.explode("run.results").alias("r"))
+    return results.select(F.col("r.ruleId").alias("rule_id"))
+
+
+def merge_reports(spark, sf_dir):
+    merged = sarif.merge_reports(*_two_reports(spark, sf_dir))
+    runs = merged.select(F.concat(F.lit('{"runs":['), "run", F.lit("]}")).alias("document"))
+    return _counts(_rules_of_runs(runs), "rule_id")
+
+
+def sarif_merged(spark, sf_dir):
+    """Findings per rule in documents that hold all runs of two reports."""
+    merged = sarif.merged_documents(*_two_reports(spark, sf_dir))
+    return _counts(_rules_of_runs(sarif.validate(merged).filter("valid")), "rule_id")
+
+
+def sarif_clean(spark, sf_dir):
+    """A document for every kind of device file, also where nothing is found."""
+    targets = fixtures.dockerfiles(spark, sf_dir)
+    kind = F.element_at(F.split("path", "/"), -1).alias("kind")
+    options = ScanOptions(scanners=("misconfig",), enabled_rules=("DOCKER012",))
+    found = match.find(targets.filter("path LIKE '%prod'"), options)
+    named = found.withColumn("kind", F.element_at(F.split("file_path", "/"), -1))
+    made = sarif.sarif_documents(named, "kind", groups=targets.select(kind))
+    return sarif.validate(made).groupBy("kind").agg(
+        F.bool_and("valid").alias("valid"), F.sum("findings").cast("bigint").alias("findings")
+    )
+
+
+def github_documents(spark, sf_dir):
+    """Results, places and levels in the documents for GitHub, cut at 400 findings."""
+    found = _k8s(spark, sf_dir).withColumn("report", F.lit("r"))
+    made = sarif.github_documents(found, "report", "k8s", size=400)
+    shape = (
+        "array<struct<results:array<struct<ruleId:string,level:string,locations:array<struct<"
+        "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"
+    )
+    runs = F.from_json(F.get_json_object("document", "$.runs"), shape)
+    rows = made.select("chunk", F.explode(runs[0]["results"]).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return rows.select(
+        "chunk", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
+        place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"),
     )
-    rules = merged.select(F.explode(results).alias("r")).select(F.col("r.ruleId").alias("rule_id"))
-    return _counts(rules, "rule_id")
 
 
-# --- files and streams ----------------------------------------------------------------------
+def written_report(spark, sf_dir):
+    """A JSON report written and read back: its rows with findings."""
+    path = shared_path(spark, "report")
+    results = match.scan(fixtures.configs(spark, sf_dir), SECRETS)
+    reports.write_report(results, f"{path}/json", "json")
+    rows = spark.read.text(f"{path}/json/results")
+    found = F.from_json(F.get_json_object("value", "$.findings"), "array<struct<id:string,rule_id:string>>")
+    listed = rows.select(F.get_json_object("value", "$.target.path").alias("path"), F.explode(found).alias("f"))
+    return listed.select("path", "f.id", "f.rule_id")
+
+
+def written_findings(spark, sf_dir):
+    """The findings table, written by severity and read back."""
+    path = shared_path(spark, "report")
+    reports.write_report(match.scan(fixtures.configs(spark, sf_dir), SECRETS), f"{path}/f", "parquet")
+    return spark.read.parquet(f"{path}/f").select(*SHOWN)
+
+
+def scan_counters(spark, sf_dir):
+    """What a scan counts while its results are written, and its rate."""
+    path = shared_path(spark, "counted")
+    results = match.scan(fixtures.long_dockerfiles(spark, sf_dir), MISCONFIG, ("severity",))
+    counted, observation = summary.observe_counts(results)
+    counted.write.mode("overwrite").parquet(path)
+    seen = observation.get
+    totals = spark.read.parquet(path).agg(F.count("*").alias("total")).select(
+        "total", F.lit(seen["processed"]).cast("bigint").alias("processed"),
+        F.lit(seen["errors"]).cast("bigint").alias("errors"),
+    )
+    rate, share = summary.progress(F.col("processed"), F.col("total"), F.lit(2.0))
+    return totals.withColumns({"rate": rate, "percentage": share})
 
 
-def scan_tree(spark, sf_dir):
-    """Write texts as a tree of files, then scan the tree.
+def target_types(spark, sf_dir):
+    """Targets of other types than files have no findings, empty ones neither."""
+    targets = fixtures.configs(spark, sf_dir)
+    number = F.regexp_extract("path", "[0-9]+", 0).cast("int")
+    mixed = targets.withColumns({
+        "type": F.when(number % 3 == 0, "URL").otherwise(F.col("type")),
+        "content": F.when(number % 5 == 0, "").otherwise(F.col("content")),
+    })
+    return match.find(mixed, SECRETS).select(*SHOWN)
 
-    A file holds many texts, so its size is not limited here.
-    """
+
+def repaired_texts(spark, sf_dir):
+    """Texts whose bytes are not all UTF-8 are repaired and read."""
+    rows = fixtures.table(spark, sf_dir, "customer").select("c_custkey")
+    body = f"concat(unhex('FFE941'), encode({fixtures.SECRET_CONTENT}, 'UTF-8'))"
+    targets = targets_from_table(rows, fixtures.SECRET_PATH, body)
+    return match.find(targets, SECRETS).select(*SHOWN)
+
+
+# --- files and streams ----------------------------------------------------------------------
+
+
+def _written_tree(spark, sf_dir, docs="docs", conf="conf"):
+    """Texts of two tables as files below two folders of a new one."""
     root = shared_path(spark, "tree")
     for name, targets in (
-        ("docs", fixtures.documents(spark, sf_dir)),
-        ("conf", fixtures.configs(spark, sf_dir)),
+        (docs, fixtures.documents(spark, sf_dir)), (conf, fixtures.configs(spark, sf_dir))
     ):
-        rows = targets.select("content").write.option("maxRecordsPerFile", 64)
-        rows.text(f"{root}/{name}")
-    options = ScanOptions(
-        scanners=("secrets",), entropy=True, excludes=("*.crc",), max_file_bytes=1 << 40
-    )
-    found = match.find(read_tree(spark, root.removeprefix("file:"), options), options)
-    project = F.element_at(F.split("file_path", "/"), -2)
+        targets.select("content").write.option("maxRecordsPerFile", 64).text(f"{root}/{name}")
+    return root
+
+
+def _tree_counts(spark, roots, **options):
+    """Findings per folder and rule; files hold many texts, so their size is not limited here."""
+    options = ScanOptions(scanners=("secrets",), entropy=True, max_file_bytes=1 << 40, **options)
+    found = match.find(read_tree(spark, roots, options), options)
+    project = F.translate(F.element_at(F.split("file_path", "/"), -2), "._", "")
     return _counts(found.withColumn("project", project), "project", "rule_id")
 
 
+def scan_tree(spark, sf_dir):
+    root = _written_tree(spark, sf_dir)
+    return _tree_counts(spark, root.removeprefix("file:"), excludes=("*.crc",))
+
+
+def tree_address(spark, sf_dir):
+    """The same by the address of the store."""
+    return _tree_counts(spark, _written_tree(spark, sf_dir), excludes=("*.crc",))
+
+
+def tree_hidden(spark, sf_dir):
+    """Folders whose names begin with a dot or an underscore are read."""
+    root = _written_tree(spark, sf_dir, "_docs", ".conf")
+    return _tree_counts(spark, root.removeprefix("file:"), excludes=("*.crc",))
+
+
+def tree_globs(spark, sf_dir):
+    """Globs go by the path below the root."""
+    root = _written_tree(spark, sf_dir).removeprefix("file:")
+    return _tree_counts(spark, root, excludes=("*.crc", "docs/**"), includes=("conf/**", "docs/**"))
+
+
+def multiple_roots(spark, sf_dir):
+    """Roots are appended, one given twice counts twice."""
+    root = _written_tree(spark, sf_dir).removeprefix("file:")
+    return _tree_counts(spark, [root, f"{root}/conf"], excludes=("*.crc",))
+
+
 def _arriving(spark, sf_dir, table, base):
     """Rows of a table as a stream of several batches, from files written to a shared folder."""
     rows = fixtures.table(spark, sf_dir, table)
@@ -517,7 +639,9 @@ QUERIES: dict[str, Query] = {
         target_metadata, oversize_lines, finding_ids, scan_summary, scan_summary_reference,
         per_target_results, severity_share, fail_gate, verdict, rules_seen, findings_ranked,
         truncate_text, sarif_results, sarif_github, sarif_rules, sarif_documents, json_rows,
-        markdown_rows, table_rows, merge_reports, scan_tree, stream_scan, stream_counts,
+        markdown_rows, table_rows, merge_reports, sarif_merged, sarif_clean, github_documents,
+        written_report, written_findings, scan_counters, target_types, repaired_texts, scan_tree,
+        tree_address, tree_hidden, tree_globs, multiple_roots, stream_scan, stream_counts,
         stream_dedup,
     )
 }

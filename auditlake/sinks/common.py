@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.operators.order import ORDER, placed, with_rank
+from auditlake.operators.order import ORDER, placed, stored, with_rank
 
 # Findings in one report document; a group with more gets several documents.
 DOCUMENT_SIZE = 5_000
@@ -25,23 +25,46 @@ def documents(
     group: str,
     build: Callable[[Column], Column],
     size: int = DOCUMENT_SIZE,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """One document per group, or several for a group of over ``size`` findings.
 
     Findings are put in order over range partitions first and cut into runs of
-    ``size``, so a group with most of the findings is spread over many tasks
-    and no task gathers more than one run. Columns: the group, ``part``,
-    ``chunk``, ``findings`` (their count) and ``document``.
+    ``size`` by their number within the group, so a group with most of the
+    findings is spread over many tasks, no task gathers more than one run, and
+    the cut does not depend on the partitions. ``groups`` names groups that get
+    a document even without findings. Columns: the group, ``chunk`` (from 0),
+    ``chunks`` (how many the group has), ``findings`` and ``document``.
     """
     named = [c for c in findings.columns if c not in (group, "metadata")]
-    runs = placed(with_rank(findings), group, *ORDER).withColumn(
-        "chunk", F.floor(F.col("position") / size)
+    runs = stored(placed(with_rank(findings), group, *ORDER), "ordered")
+    # A partition is sorted by group first, so a group's rows in it follow each other.
+    pieces = runs.groupBy(group, "part").agg(
+        F.min("position").alias("first"), F.count("*").alias("count")
     )
-    gathered = runs.groupBy(group, "part", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("position", F.struct(*named).alias("f")))).alias("fs")
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(group)
+    offsets = pieces.select(
+        F.col(group).alias("_group"), "part",
+        (F.coalesce(F.sum("count").over(before), F.lit(0)) - F.col("first")).alias("offset"),
+        F.sum("count").over(every).alias("total"),
     )
-    listed = F.transform("fs", lambda x: x["f"])
-    return gathered.select(
-        group, "part", "chunk", F.size("fs").cast("bigint").alias("findings"),
-        build(listed).alias("document"),
+    same = F.col(group).eqNullSafe(F.col("_group")) & (runs["part"] == offsets["part"])
+    numbered = runs.join(F.broadcast(offsets), same).withColumn("number", F.col("position") + F.col("offset"))
+    cut = numbered.withColumns({
+        "chunk": F.floor(F.col("number") / size), "chunks": F.ceil(F.col("total") / size),
+    })
+    gathered = cut.groupBy(group, "chunk", "chunks").agg(
+        F.sort_array(F.collect_list(F.struct("number", F.struct(*named).alias("f")))).alias("fs")
+    )
+    rows = gathered.select(group, "chunk", "chunks", F.transform("fs", lambda x: x["f"]).alias("fs"))
+    if groups is not None:
+        clean = groups.select(group).distinct().join(gathered.select(group).distinct(), group, "left_anti")
+        rows = rows.unionByName(clean.select(
+            group, F.lit(0).cast("bigint").alias("chunk"), F.lit(1).cast("bigint").alias("chunks"),
+            F.array().cast(rows.schema["fs"].dataType).alias("fs"),
+        ))
+    return rows.select(
+        group, "chunk", "chunks", F.size("fs").cast("bigint").alias("findings"),
+        build(F.col("fs")).alias("document"),
     )

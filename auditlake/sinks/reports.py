@@ -12,10 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import truncate
-from auditlake.operators.order import numbered
+from auditlake.operators.order import numbered, stored
 from auditlake.operators.summary import severity_share, summarize, unnest, verdict
 from auditlake.sinks import sarif
-from auditlake.sinks.common import DESCRIPTION_WIDTH, MATCH_WIDTH, REMEDIATION_WIDTH
+from auditlake.sinks.common import (
+    DESCRIPTION_WIDTH,
+    DOCUMENT_SIZE,
+    MATCH_WIDTH,
+    REMEDIATION_WIDTH,
+)
 
 REPORT_VERSION = "1.0.0"
 # The sign of each severity in Markdown.
@@ -54,22 +59,20 @@ def emoji(severity: Column) -> Column:
 
 
 def markdown_section(ordinal: Column) -> Column:
-    """The Markdown text of a finding with its number."""
+    """The Markdown text of a finding with its number: a heading, a row of facts, and what to do."""
 
     def unless_empty(value: str, before: str, after: str) -> Column:
         text = F.concat(F.lit(before), F.col(value), F.lit(after))
         return F.when(F.coalesce(F.col(value), F.lit("")) != "", text).otherwise("")
 
     return F.concat(
-        F.lit("### "), emoji(F.col("severity")), F.lit(" "), ordinal.cast("string"),
-        F.lit(". "), F.col("title"), F.lit("\n\n- **Severity:** "), F.col("severity"),
-        F.lit("\n- **Rule:** `"), F.col("rule_id"),
-        F.lit("`\n- **File:** `"), F.col("file_path"), F.lit(":"),
-        F.col("start_line").cast("string"), F.lit("`\n\n"),
-        unless_empty("description", "**Description:** ", "\n\n"),
-        unless_empty("match", "**Match:**\n```\n", "\n```\n\n"),
-        unless_empty("remediation", "> 💡 **Remediation:** ", "\n\n"),
-        F.lit("---\n"),
+        F.lit("## "), ordinal.cast("string"), F.lit(" "), emoji(F.col("severity")), F.lit(" "), F.col("title"),
+        F.lit("\n\n| severity | rule | place |\n|---|---|---|\n| "), F.col("severity"),
+        F.lit(" | "), F.col("rule_id"), F.lit(" | `"), F.col("file_path"), F.lit(":"),
+        F.col("start_line").cast("string"), F.lit("` |\n\n"),
+        unless_empty("description", "", "\n\n"),
+        unless_empty("match", "    ", "\n\n"),
+        unless_empty("remediation", "*What to do:* ", "\n\n"),
     )
 
 
@@ -95,18 +98,16 @@ def table_section(ordinal: Column, verbose: bool = True) -> Column:
     return F.concat_ws("\n", *lines, F.lit(""))
 
 
-def _markdown_head(row, start: dt.datetime) -> str:
-    metrics = [
-        ("Targets Scanned", row["scanned_targets"]), ("Total Findings", row["total_findings"]),
-        ("Critical", row["critical_count"]), ("High", row["high_count"]),
-        ("Medium", row["medium_count"]), ("Low", row["low_count"]),
+def _markdown_head(row, start: dt.datetime, end: dt.datetime) -> str:
+    counts = [
+        ("targets", row["scanned_targets"]), ("errors", row["errors"]),
+        ("findings", row["total_findings"]),
+        *((s.lower(), row[f"{s.lower()}_count"]) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")),
+        ("duration", f"{(end - start).total_seconds():.3f} s"),
     ]
-    table = "\n".join(f"| {name} | {value} |" for name, value in metrics)
-    tail = "## 🔍 Findings\n" if row["total_findings"] else "✅ **No security issues found!**\n"
-    return (
-        f"# 🔒 Security Scan Report\n\n**Scan Date:** {start.isoformat()}\n\n## 📊 Summary\n\n"
-        f"| Metric | Value |\n|--------|-------|\n{table}\n\n{tail}"
-    )
+    table = "\n".join(f"| {name} | {value} |" for name, value in counts)
+    tail = "" if row["total_findings"] else "Nothing was found.\n\n"
+    return f"# Audit of {start.isoformat()}\n\n| what | how much |\n|---|---|\n{table}\n\n{tail}"
 
 
 def _table_head(row, shares) -> str:
@@ -130,10 +131,15 @@ def write_report(
     mode: str = "intent",
     start: dt.datetime | None = None,
     verbose: bool = True,
+    root: str = "",
+    size: int = DOCUMENT_SIZE,
 ) -> None:
-    """Write stored per-target results as a report; an unknown format is a table.
+    """Write per-target results as a report; an unknown format is a table.
 
-    Only the summary, one row, passes through the driver.
+    The results are worked out once and kept in the shared folder while the
+    report is made. ``root`` is cut from paths in the format ``github``, and a
+    SARIF document holds at most ``size`` findings. Only the summary, one row,
+    passes through the driver.
     """
     start = start or dt.datetime.now(dt.timezone.utc)
     spark = results.sparkSession
@@ -141,19 +147,26 @@ def write_report(
     if format == "parquet":
         unnest(results).write.partitionBy("severity").parquet(path)
         return
-    if format == "sarif":
+    results = stored(results, "results")
+    end = dt.datetime.now(dt.timezone.utc)
+    if format in ("sarif", "github"):
         findings = unnest(results).withColumn("report", F.lit("report"))
-        reports = sarif.sarif_documents(
-            findings, "report", start=start, end=dt.datetime.now(dt.timezone.utc)
-        )
-        reports.select(F.col("document").alias("value")).write.text(path)
+        groups = spark.createDataFrame([("report",)], "report string")
+        if format == "github":
+            made = sarif.github_documents(findings, "report", root, size, groups)
+        else:
+            made = sarif.sarif_documents(findings, "report", size, start, end, groups)
+        made.select(F.col("document").alias("value")).write.text(path)
         return
-    summary = summarize(results, mode).withColumn("verdict", verdict())
+    summary = stored(summarize(results, mode).withColumn("verdict", verdict()), "summary")
     row = summary.first().asDict()
     if format == "json":
-        head = spark.createDataFrame([(REPORT_VERSION, start)], "version string, timestamp timestamp")
+        head = spark.createDataFrame([(REPORT_VERSION, end)], "version string, timestamp timestamp")
         totals = F.struct(
-            *[F.lit(v).cast("bigint").alias(k) for k, v in row.items() if k != "verdict"]
+            *[F.lit(v).cast("bigint").alias(k) for k, v in row.items() if k != "verdict"],
+            F.lit(int((end - start) / dt.timedelta(microseconds=1)) * 1000).cast("bigint").alias("duration"),
+            F.lit(start.isoformat()).alias("start_time"),
+            F.lit(end.isoformat()).alias("end_time"),
         )
         head = head.withColumn("summary", totals)
         head.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/summary")
@@ -161,7 +174,7 @@ def write_report(
         return
     lines = numbered(unnest(results))
     if format in ("markdown", "md"):
-        head, section = _markdown_head(row, start), markdown_section(F.col("ordinal"))
+        head, section = _markdown_head(row, start, end), markdown_section(F.col("ordinal"))
     else:
         shares = severity_share(summary).orderBy("severity_rank").collect()
         head, section = _table_head(row, shares), table_section(F.col("ordinal"), verbose)
@@ -170,4 +183,4 @@ def write_report(
     opening.unionByName(body).orderBy("ordinal").select("value").write.text(path)
 
 
-FORMATS = ("table", "json", "sarif", "markdown", "md", "parquet")
+FORMATS = ("table", "json", "sarif", "github", "markdown", "md", "parquet")

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators.order import placed, stored
 from auditlake.sinks.common import DOCUMENT_SIZE, documents, slashes
 
 TOOL_NAME = "auditlake"
 TOOL_VERSION = "1.0.0"
 TOOL_URI = "https://example.org/auditlake"
+TOOL_FULL_NAME = "auditlake, secrets and misconfiguration"
+TOOL_ORGANIZATION = "auditlake"
+# Runs in one merged document.
+RUNS = 100
 # Fixed values of the SARIF format.
 VERSION = "2.1.0"
 SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -117,6 +122,10 @@ def _driver(fs: Column, github: bool) -> Column:
     ]
     if github:
         fields.append(F.lit(TOOL_VERSION).alias("semanticVersion"))
+    else:
+        fields += [
+            F.lit(TOOL_FULL_NAME).alias("fullName"), F.lit(TOOL_ORGANIZATION).alias("organization")
+        ]
     rules = F.array_distinct(F.transform(fs, lambda f: rule(f, github)))
     return F.struct(*fields, rules.alias("rules"))
 
@@ -159,15 +168,25 @@ def sarif_documents(
     size: int = DOCUMENT_SIZE,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """SARIF documents of each group; see ``common.documents``."""
-    return documents(findings, group, lambda fs: document(F.array(run(fs, start, end))), size)
+    return documents(
+        findings, group, lambda fs: document(F.array(run(fs, start, end))), size, groups
+    )
 
 
 def github_documents(
-    findings: DataFrame, group: str, root: str = "", size: int = DOCUMENT_SIZE
+    findings: DataFrame,
+    group: str,
+    root: str = "",
+    size: int = DOCUMENT_SIZE,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    return documents(findings, group, lambda fs: document(F.array(github_run(fs, root))), size)
+    """Documents in the variant for GitHub, with paths below ``root``."""
+    return documents(
+        findings, group, lambda fs: document(F.array(github_run(fs, root))), size, groups
+    )
 
 
 def merge_reports(*reports: DataFrame) -> DataFrame:
@@ -183,6 +202,24 @@ def merge_reports(*reports: DataFrame) -> DataFrame:
     return merged.select(F.explode(runs).alias("run"))
 
 
+def merged_documents(*reports: DataFrame, runs: int = RUNS) -> DataFrame:
+    """Documents of many runs: those of all reports, ``runs`` to a document, in the order of their text."""
+    rows = stored(merge_reports(*reports), "runs")
+    ordered = stored(placed(rows, "run"), "ordered-runs")
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    chunk = F.floor((F.col("offset") + F.col("position")) / runs)
+    gathered = ordered.join(F.broadcast(offsets), "part").groupBy(chunk.alias("chunk")).agg(
+        F.sort_array(F.collect_list("run")).alias("found")
+    )
+    text = F.concat(
+        F.lit('{"$schema":"' + SCHEMA_URI + '","version":"' + VERSION + '","runs":['),
+        F.array_join("found", ","), F.lit("]}"),
+    )
+    return gathered.select("chunk", F.size("found").cast("bigint").alias("runs"), text.alias("document"))
+
+
 def validate(reports: DataFrame) -> DataFrame:
     """Reports with ``valid``: whether the document parses as SARIF."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}

@@ -97,7 +97,8 @@ def test_numbers_and_documents_of_a_hot_group(spark):
     assert sum(d.findings for d in documents) == 9050 == sum(
         len(json.loads(d.document)["runs"][0]["results"]) for d in documents
     )
-    assert max(d.findings for d in documents) <= 1000
+    assert sorted(d.findings for d in documents if d.project == "hot") == [1000] * 9
+    assert {d.chunks for d in documents if d.project == "hot"} == {9}
     assert len({d.project for d in documents}) == 51
     ranks = [r.severity_rank for r in order.ordered(found).collect()]
     assert ranks == sorted(ranks)
@@ -133,8 +134,9 @@ def test_written_reports(spark, tmp_path):
 
     reports.write_report(results, str(tmp_path / "md"), "MD", start=start)
     markdown = text_of(tmp_path / "md")
-    assert markdown.startswith("# 🔒 Security Scan Report\n") and markdown.count("\n### ") == n
-    assert "### 🔴 1. AWS Access Key ID" in markdown and "| Info" not in markdown
+    assert markdown.startswith("# Audit of 2026-01-02") and markdown.count("\n## ") == n
+    assert "## 1 🔴 AWS Access Key ID" in markdown and "| info" not in markdown
+    assert "| duration | " in markdown
 
     reports.write_report(results, str(tmp_path / "table"), "other")
     table = text_of(tmp_path / "table")
@@ -144,6 +146,7 @@ def test_written_reports(spark, tmp_path):
     reports.write_report(results, str(tmp_path / "json"), "json", start=start)
     head = json.loads(text_of(tmp_path / "json" / "summary"))
     assert head["summary"]["total_findings"] == n and head["version"] == "1.0.0"
+    assert head["summary"]["duration"] > 0 and head["summary"]["start_time"].startswith("2026-01-02")
     lines = [json.loads(l) for l in text_of(tmp_path / "json" / "results").splitlines()]
     clean = [l for l in lines if l["target"]["path"] == "clean"][0]
     assert clean["findings"] is None and "content" not in clean["target"]
@@ -156,6 +159,12 @@ def test_written_reports(spark, tmp_path):
     assert uris == {"Dockerfile", "b/c.txt"}
     assert runs[0]["invocations"][0]["startTimeUtc"].startswith("2026-01-02")
 
+    driver = runs[0]["tool"]["driver"]
+    assert driver["fullName"] and driver["organization"]
+    reports.write_report(results, str(tmp_path / "github"), "github", root="b", size=2)
+    runs = [json.loads(l)["runs"][0] for l in text_of(tmp_path / "github").splitlines()]
+    assert [len(r["results"]) for r in runs].count(2) >= n // 2 and sum(len(r["results"]) for r in runs) == n
+
     reports.write_report(results, str(tmp_path / "parquet"), "parquet")
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == n
 
@@ -163,4 +172,6 @@ def test_written_reports(spark, tmp_path):
 def test_report_of_nothing(spark, tmp_path):
     results = scan(targets(spark, [("a", "x")]))
     reports.write_report(results, str(tmp_path / "md"), "markdown")
-    assert "No security issues found" in text_of(tmp_path / "md")
+    assert "Nothing was found" in text_of(tmp_path / "md")
+    reports.write_report(results, str(tmp_path / "sarif"), "sarif")
+    assert json.loads(text_of(tmp_path / "sarif"))["runs"][0]["results"] == []
