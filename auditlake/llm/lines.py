@@ -4,8 +4,9 @@ Equal lines are one line with many places. For the rest, a segment-partition joi
 ``edits`` + 1 segments, so that a line within ``edits`` edits of it holds one of them unchanged, near
 where it was. Every line is indexed by its segments together with its length, and probes the indexes of
 its own and of the ``edits`` next smaller lengths with the substrings that a match allows. Candidates
-are verified by the banded bit-parallel edit distance, after a test that needs no text: an edit changes
-whether a character stands an odd number of times for at most two characters. Lines linked by such pairs form a class, and all
+are verified by the banded bit-parallel edit distance, after tests that need no text: an edit changes
+whether something stands an odd number of times in a line for at most two characters and four pairs of
+neighbouring characters. Lines linked by such pairs form a class, and all
 but the first place of a class, by document id, text hash and line number, are taken out.
 
 Lines shorter than ``LEAST`` characters are never taken out. Null texts stay null and empty ones empty.
@@ -148,11 +149,16 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
 PARITY = 31
 
 
-def parities(lines: list[str]) -> np.ndarray:
-    """For each line, none of them empty, the parities of its characters' counts by bucket."""
+def parities(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, none of them empty, the parities of the counts of its characters, and of its
+    pairs of neighbouring characters, by bucket."""
     points, starts = code_points(lines)
-    bucket = mix(points.astype(np.uint64)) % np.uint64(PARITY)
-    return np.bitwise_xor.reduceat(np.left_shift(np.int64(1), bucket.astype(np.int64)), starts[:-1])
+    codes = points.astype(np.uint64)
+    one = np.left_shift(np.int64(1), (mix(codes) % np.uint64(PARITY)).astype(np.int64))
+    two = np.zeros(len(codes), np.uint64)
+    two[:-1] = np.left_shift(np.uint64(1), mix(codes[:-1] << np.uint64(32) | codes[1:]) % np.uint64(64))
+    two[starts[1:] - 1] = 0  # the last character of a line has no neighbour in it
+    return np.bitwise_xor.reduceat(one, starts[:-1]), np.bitwise_xor.reduceat(two, starts[:-1]).view(np.int64)
 
 
 def _keyed(edits: int):
@@ -166,8 +172,10 @@ def _keyed(edits: int):
             keys, owners, roles = segment_keys(lines, edits)
             own = once[owners]
             # From high to low: the line's second hash, the parities, the role.
-            tag = k2[own].astype(np.int64) << 32 | parities(lines)[owners] << 1 | roles
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(k1[own]), pa.array(tag)], names=["key", "k1", "tag"])
+            one, two = parities(lines)
+            tag = k2[own].astype(np.int64) << 32 | one[owners] << 1 | roles
+            columns = (keys.view(np.int64), k1[own], tag, two[owners])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "k1", "tag", "two"])
 
     return run
 
@@ -175,12 +183,12 @@ def _keyed(edits: int):
 def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different lines that share a key, one as indexed and the other as probing it.
 
-    Batches come in the order of keys; a run of equal keys is kept as three numbers per line. Only pairs
+    Batches come in the order of keys; a run of equal keys is kept as four numbers per line. Only pairs
     whose parities differ as little as the edits allow are put out.
     """
 
-    def met(k1: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = np.unique(np.stack([k1, tag], axis=1), axis=0)
+    def met(k1: np.ndarray, tag: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = np.unique(np.stack([k1, tag, two], axis=1), axis=0)
         index, probe = rows[rows[:, 1] & 1 == 1], rows[rows[:, 1] & 1 == 0]
         if not len(index) or not len(probe):
             return
@@ -188,8 +196,9 @@ def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for i in range(0, len(index), at_once):
             part = index[i : i + at_once]
             differ = np.bitwise_count((part[:, None, 1] ^ probe[None, :, 1]) >> 1 & ((1 << PARITY) - 1))
-            i_at, p_at = np.nonzero(differ <= 2 * edits)
-            a, b = part[i_at], probe[p_at]
+            pairs = np.bitwise_count(part[:, None, 2] ^ probe[None, :, 2])
+            i_at, p_at = np.nonzero((differ <= 2 * edits) & (pairs <= 4 * edits))
+            a, b = part[i_at, :2], probe[p_at, :2]
             a[:, 1] >>= 32
             b[:, 1] >>= 32
             other = (a != b).any(axis=1)
@@ -200,20 +209,20 @@ def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(found.T)], names=["a1", "a2", "b1", "b2"])
 
-    key = k1 = tag = np.zeros(0, np.int64)
+    key = k1 = tag = two = np.zeros(0, np.int64)
     for batch in batches:
-        fresh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "k1", "tag"))
-        key, k1, tag = (np.concatenate(x) for x in zip((key, k1, tag), fresh, strict=True))
+        fresh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "k1", "tag", "two"))
+        key, k1, tag, two = (np.concatenate(x) for x in zip((key, k1, tag, two), fresh, strict=True))
         cuts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
         sizes = np.diff(np.append(cuts, len(key)))
         for i in np.flatnonzero(sizes[:-1] > 1):
             run = slice(cuts[i], cuts[i] + sizes[i])
             if (tag[run] & 1).any() and (k1[run] != k1[cuts[i]]).any():
-                yield from met(k1[run], tag[run])
+                yield from met(k1[run], tag[run], two[run])
         last = cuts[-1] if len(cuts) else 0
-        key, k1, tag = key[last:], k1[last:], tag[last:]
+        key, k1, tag, two = key[last:], k1[last:], tag[last:], two[last:]
     if len(key) > 1:
-        yield from met(k1, tag)
+        yield from met(k1, tag, two)
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -223,7 +232,7 @@ def _bounded(rows: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame, edits: int) -> DataFrame:
     """``(k1, k2, c1, c2)``: for each line with a near one the line that stands for its class."""
-    keyed = lines.select("k1", "k2", "line").mapInArrow(_keyed(edits), "key bigint, k1 bigint, tag bigint")
+    keyed = lines.select("k1", "k2", "line").mapInArrow(_keyed(edits), "key bigint, k1 bigint, tag bigint, two bigint")
     pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_pairs, edits), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     pairs = stored(pairs.distinct(), "line-pairs")
     held = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
