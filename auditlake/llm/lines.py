@@ -196,7 +196,7 @@ def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for i in range(0, len(index), at_once):
             part = index[i : i + at_once]
             differ = np.bitwise_count((part[:, None, 1] ^ probe[None, :, 1]) >> 1 & ((1 << PARITY) - 1))
-            pairs = np.bitwise_count(part[:, None, 2] ^ probe[None, :, 2])
+            pairs = np.bitwise_count((part[:, None, 2] ^ probe[None, :, 2]).view(np.uint64))
             i_at, p_at = np.nonzero((differ <= 2 * edits) & (pairs <= 4 * edits))
             a, b = part[i_at, :2], probe[p_at, :2]
             a[:, 1] >>= 32

@@ -228,3 +228,12 @@ def test_lines_of_repeated_rows_and_nothing(docs):
     assert len(got) == 4 and got[-1] == (True, "a line that is long enough?")
     assert [t for none, t in got if not none].count("another line that is long enough") == 2
     assert lines.dedup_lines(docs([])).count() == 0
+
+
+def test_parities_differ_by_no_more_than_edits_allow():
+    pick = random.Random(6)
+    for _ in range(3000):
+        a, edits = "".join(pick.choice("abcdé fg") for _ in range(pick.randint(20, 60))), pick.randint(0, 3)
+        one, two = lines.parities([a, edited(pick, a, edits)])
+        assert np.bitwise_count(one[0] ^ one[1]) <= 2 * edits
+        assert np.bitwise_count((two[:1] ^ two[1:]).view(np.uint64))[0] <= 4 * edits
