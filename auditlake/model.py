@@ -84,7 +84,8 @@ class ScanOptions:
     ``"reference"`` (they do what the original program does).
     ``gate`` picks how targets without any secret are ruled out before their
     text is split into lines: ``"arrow"``, ``"builtin"`` or ``"none"``. The
-    findings are the same for all three.
+    findings are the same for all three. ``own_scanners`` (see
+    ``operators.extend.ColumnScanner``) look at each target in the same pass.
     """
 
     scanners: tuple[str, ...] = ("all",)
@@ -100,6 +101,7 @@ class ScanOptions:
     gate: str = "arrow"
     scan_time: dt.datetime | None = None
     custom_rules: tuple = field(default_factory=tuple)
+    own_scanners: tuple = field(default_factory=tuple)
 
     def __post_init__(self):
         if self.mode not in (INTENT, REFERENCE):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.model import FILE, FINDING_COLUMNS, REFERENCE, ScanOptions
+from auditlake.model import FILE, FINDING_COLUMNS, MISCONFIGURATION, REFERENCE, ScanOptions
 from auditlake.operators.match import find
 
 
@@ -26,6 +26,23 @@ class Scanner:
     description: str = ""
 
 
+@dataclass(frozen=True)
+class ColumnScanner:
+    """A scanner that takes part in the one pass over the targets (``ScanOptions.own_scanners``).
+
+    ``find`` gets the columns of path and text and returns an array of structs
+    with ``rule_id title severity line_no match`` and, if wanted,
+    ``description`` and ``remediation``. Its findings are in results, totals,
+    reports and streams like any other.
+    """
+
+    name: str
+    find: Callable[[Column, Column], Column]
+    fields: tuple[str, ...] = ("rule_id", "title", "severity", "line_no", "match")
+    types: tuple[str, ...] = (FILE,)
+    kind: str = MISCONFIGURATION
+
+
 def find_with(
     targets: DataFrame, scanners: Iterable[Scanner], options: ScanOptions | None = None
 ) -> DataFrame:

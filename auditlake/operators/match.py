@@ -212,6 +212,41 @@ class Matcher:
 
     # --- findings ------------------------------------------------------------
 
+    def _own_findings(self, wanted: Sequence[str]) -> list[Column]:
+        """Arrays of findings of the own scanners, in the shape of the built-in ones."""
+        arrays = []
+        for scanner in self.options.own_scanners:
+            lists = self.options.enabled_rules, self.options.disabled_rules
+            if self.options.mode == REFERENCE and (
+                (lists[0] and scanner.name not in lists[0]) or scanner.name in lists[1]
+            ):
+                continue
+
+            found = scanner.find(F.col("path"), F.col("content"))
+            arrays.append(F.when(F.col("type").isin(*scanner.types), F.transform(found, self._own_finding(scanner, wanted))))
+        return arrays
+
+    def _own_finding(self, scanner, wanted: Sequence[str]):
+        """A function from what an own scanner returns to a finding."""
+
+        def finding(f: Column) -> Column:
+            def text(name: str) -> Column:
+                return (f[name] if name in scanner.fields else F.lit("")).cast("string")
+
+            line = f["line_no"].cast("int")
+            key = F.concat_ws(":", F.col("path"), line.cast("string"), text("rule_id"))
+            kind = F.lit(scanner.kind.lower())
+            values = {
+                "id": F.substring(F.sha2(key, 256), 1, 16),
+                "file_path": F.col("path"), "start_line": line, "end_line": line,
+                "type": F.lit(scanner.kind),
+                "timestamp": F.lit(self.options.scan_time).cast("timestamp"),
+                "metadata": F.create_map(F.lit("rule_name"), text("title"), F.lit("category"), kind),
+            }
+            return F.struct(*((values[n] if n in values else text(n)).alias(n) for n in wanted))
+
+        return finding
+
     def _findings(self, wanted: Sequence[str] = FINDING_COLUMNS) -> Column:
         """SQL array of findings from ``hits``, with the wanted fields only."""
         constants = ", ".join(
@@ -248,7 +283,9 @@ class Matcher:
         }
         body = ", ".join(f"'{name}', {fields[name]}" for name in wanted)
         finding = secrets.bind(rule, "r", f"named_struct({body})")
-        return F.expr(f"transform(hits, h -> {finding})")
+        built = F.expr(f"transform(hits, h -> {finding})")
+        own = self._own_findings(wanted)
+        return F.flatten(F.array_compact(F.array(built, *own))) if own else built
 
     def results(
         self, targets: DataFrame, fields: Sequence[str] = FINDING_COLUMNS
@@ -263,7 +300,8 @@ class Matcher:
 
     def findings(self, targets: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         """One row per rule and line it fires on; ``carry`` names columns of the target to keep."""
-        hits = self._with_hits(targets, ("type", *carry), drop_clean=True)
+        drop_clean = not self.options.own_scanners
+        hits = self._with_hits(targets, ("type", *carry), drop_clean)
         # An outer generator keeps the optimizer from working the findings out
         # a second time to tell whether there are any.
         rows = hits.select(*carry, self._findings().alias("_findings"))

@@ -327,6 +327,14 @@ ORACLE: dict[str, str] = {
     "extra_scanner": f"""{_found(DOCUMENTS, _secret_rows(True))} {SHOW} UNION ALL
  SELECT substring(sha256(concat(path, ':1:SHORT')), 1, 16), 'SHORT', 'INFO', 'MISCONFIGURATION',
   path, CAST(1 AS INTEGER), length(content) || ' characters' FROM t WHERE length(content) < 200""",
+    **{name: f"""{_found(DOCUMENTS, _secret_rows(True))} {SHOW} UNION ALL
+ SELECT substring(sha256(concat(path, ':1:SHORT')), 1, 16), 'SHORT', 'INFO', 'MISCONFIGURATION',
+  path, CAST(1 AS INTEGER), length(content) || ' characters' FROM t WHERE length(content) < 200"""
+       for name in ("own_scanner", "own_scanner_stream")},
+    "own_scanner_summary": f"""{_found(DOCUMENTS, _secret_rows(True))}, short AS (SELECT count(*) AS n
+ FROM t WHERE length(content) < 200) SELECT (SELECT count(*) FROM t) AS total_targets,
+ (SELECT count(*) FROM f) + n AS total_findings,
+ (SELECT count(*) FROM f WHERE severity = 'INFO') + n AS info_count FROM short""",
     "rule_select": f"""{ALL} SELECT rule_id, count(*) AS findings FROM f WHERE rule_id IN
  ('SEC003', 'SEC014', 'DOCKER001', 'DOCKER007', 'K8S008', 'K8S016') GROUP BY ALL""",
     "rule_disable": f"""{ALL} SELECT rule_id, count(*) AS findings FROM f WHERE rule_id NOT IN

@@ -12,7 +12,7 @@ from auditlake.functions.session import shared_path
 from auditlake.model import FINDING_COLUMNS, REFERENCE, ScanOptions
 from auditlake.operators import classify, match, order, paths, summary
 from auditlake.operators.catalog import catalog, custom_rule
-from auditlake.operators.extend import Scanner, find_with
+from auditlake.operators.extend import ColumnScanner, Scanner, find_with
 from auditlake.plans import fixtures
 from auditlake.sinks import common, reports, sarif
 from auditlake.sources.tables import file_metadata, targets_from_table
@@ -170,6 +170,41 @@ def extra_scanner(spark, sf_dir):
     return find_with(fixtures.documents(spark, sf_dir), [scanner], options).select(*SHOWN)
 
 
+def _short_text_findings(path, content):
+    """An own scanner: texts of fewer than 200 characters."""
+    found = F.struct(
+        F.lit("SHORT").alias("rule_id"), F.lit("Short text").alias("title"), F.lit("INFO").alias("severity"),
+        F.lit(1).alias("line_no"), F.concat(F.length(content).cast("string"), F.lit(" characters")).alias("match"),
+    )
+    return F.when(F.length(content) < 200, F.array(found)).otherwise(F.array())
+
+
+_WITH_SHORT = ScanOptions(
+    scanners=("secrets",), entropy=True, own_scanners=(ColumnScanner("short", _short_text_findings),)
+)
+
+
+def own_scanner(spark, sf_dir):
+    """Findings of the built-in rules and of an own scanner, from one pass."""
+    return match.find(fixtures.documents(spark, sf_dir), _WITH_SHORT).select(*SHOWN)
+
+
+def own_scanner_summary(spark, sf_dir):
+    """Totals with the findings of an own scanner."""
+    results = match.scan(fixtures.documents(spark, sf_dir), _WITH_SHORT, ("severity",))
+    return summary.summarize(results).select("total_targets", "total_findings", "info_count")
+
+
+def own_scanner_stream(spark, sf_dir):
+    """The same scanner over a stream of several batches."""
+    base = shared_path(spark, "stream")
+    rows = _arriving(spark, sf_dir, "documents", base)
+    targets = targets_from_table(rows, fixtures.DOCUMENT_PATH, "text")
+    found = stream.stream_findings(targets, _WITH_SHORT)
+    stream.write_findings(found, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*SHOWN)
+
+
 def rule_select(spark, sf_dir):
     wanted = ("SEC003", "SEC014", "DOCKER001", "DOCKER007", "K8S008", "K8S016")
     return _counts(_all_findings(spark, sf_dir, enabled_rules=wanted), "rule_id")
@@ -633,7 +668,8 @@ QUERIES: dict[str, Query] = {
         secret_planted, secret_masked, secret_allowlist, entropy_candidates,
         docker_findings, docker_findings_reference, docker_rule_counts,
         k8s_findings, k8s_findings_reference, k8s_rule_counts, k8s_file_checks,
-        custom_rules, custom_k8s_rule, extra_scanner, rule_select, rule_disable, severity_filter,
+        custom_rules, custom_k8s_rule, extra_scanner, own_scanner,
+        own_scanner_summary, own_scanner_stream, rule_select, rule_disable, severity_filter,
         rule_catalog, findings_enriched, lines_numbered, classify_targets,
         path_exclude, path_exclude_reference, path_include, binary_ext_filter, size_filter,
         target_metadata, oversize_lines, finding_ids, scan_summary, scan_summary_reference,

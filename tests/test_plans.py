@@ -82,3 +82,10 @@ def test_unsupported_types_are_not_scanned(spark):
     )
     assert [r.file_path for r in match.find(frame).collect()] == ["a"]
     assert match.scan(frame).count() == 3
+
+
+def test_an_own_scanner_shares_the_pass(spark):
+    from auditlake.plans.queries import _WITH_SHORT
+
+    text = plan(match.find(fixtures.documents(spark, SF), _WITH_SHORT))
+    assert text.count("FileScan") == 1 and "Exchange" not in text
