@@ -227,7 +227,7 @@ def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _bounded(rows: DataFrame) -> DataFrame:
     """A stored table, marked to be sent to every task if it has few rows."""
-    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else rows
+    return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
 def _near(lines: DataFrame, edits: int) -> DataFrame:
