@@ -136,8 +136,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A session may ask for its input in so many partitions, where a file has fewer row groups than there
+# are cores; by default texts are read as they lie, without a shuffle.
+PARTITIONS = "spark.auditlake.partitions"
+
+
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(*COLUMNS[name])
+    rows = table(spark, sf_dir, name).select(*COLUMNS[name])
+    wanted = spark.conf.get(PARTITIONS, None)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,8 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        # Each test table is one row group; one core would read it alone.
+        .config(fixtures.PARTITIONS, cpus)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
