@@ -16,6 +16,6 @@ def docs(spark):
 
 @pytest.fixture(autouse=True)
 def few_partitions(spark):
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", "8")
