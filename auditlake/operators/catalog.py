@@ -44,8 +44,8 @@ class Rule:
     with a line that satisfies ``line``. ``guards`` are literals the pattern
     cannot match without (all groups, any literal of each); ``unless`` is a
     pattern that clears a line. ``match`` says what a finding reports: the ``"trimmed"`` or
-    ``"raw"`` line, the ``"masked"`` secret (``token``, or what the pattern
-    matches), or else a fixed text.
+    ``"raw"`` line, the ``"masked"`` secret (the first of ``tokens``, or what the
+    pattern matches), or else a fixed text.
     """
 
     id: str
@@ -63,7 +63,7 @@ class Rule:
     guards: tuple[tuple[str, ...], ...] = ()
     unless: str | None = None
     match: str = "trimmed"
-    token: str | None = None
+    tokens: str | None = None
     file_types: tuple[str, ...] = ()
 
     @property
@@ -89,7 +89,7 @@ class Rule:
         """What a finding reports about ``line``."""
         if self.match == "masked":
             if self.pattern is None:
-                found = self.token
+                found = f"get({self.tokens}, 0)"
             else:
                 java = quote(regex.to_java(self.pattern))
                 found = f"regexp_extract(line, {java}, 0)"
@@ -98,6 +98,16 @@ class Rule:
             return text.trim_space_sql("line")
         return "line" if self.match == "raw" else quote(self.match)
 
+    @property
+    def every_match(self) -> str:
+        """All that a secret rule masks on ``line``; a finding names further ones in its metadata."""
+        if self.match != "masked":
+            return "CAST(array() AS ARRAY<STRING>)"
+        found = self.tokens
+        if self.pattern is not None:
+            found = f"regexp_extract_all(line, {quote(regex.to_java(self.pattern))}, 0)"
+        return f"transform({found}, m -> {secrets.mask('m')})"
+
 
 def contains_guards(value: str, guards: Sequence[Sequence[str]]) -> list[str]:
     """One condition per group of literals."""
@@ -188,7 +198,7 @@ def _entropy_rule(named: Sequence[Rule]) -> Rule:
     return replace(
         ENTROPY_RULE,
         line=f"{rlike('line', secrets.CANDIDATE)} AND size({tokens}) > 0",
-        token=f"get({tokens}, 0)",
+        tokens=tokens,
     )
 
 

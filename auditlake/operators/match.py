@@ -32,7 +32,9 @@ from auditlake.operators.catalog import (
 )
 
 BUILTIN = frozenset(builtin_rules(INTENT) + builtin_rules(REFERENCE))
-_NO_HITS = "CAST(array() AS ARRAY<STRUCT<rule:INT,line_no:INT,match:STRING>>)"
+_NO_HITS = (
+    "CAST(array() AS ARRAY<STRUCT<rule:INT,line_no:INT,match:STRING,every:ARRAY<STRING>>>)"
+)
 
 
 def finding_id(path: str, line: str, rule_id: str) -> str:
@@ -171,6 +173,7 @@ class Matcher:
         """SQL array of what one rule finds in ``content`` or ``lines``."""
         def hit(number: str) -> str:
             fields = f"'rule', {index}, 'line_no', {number}, 'match', {rule.match_text}"
+            fields += f", 'every', {rule.every_match}"
             return f"named_struct({fields})"
 
         if rule.every is not None:
@@ -278,7 +281,9 @@ class Matcher:
             "end_line": "h.line_no",
             "match": "h.match",
             "remediation": "r.remediation",
-            "metadata": "map('rule_name', r.title, 'category', r.category)",
+            "metadata": "map_concat(map('rule_name', r.title, 'category', r.category),"
+            " CASE WHEN size(h.every) > 1 THEN map('count', CAST(size(h.every) AS STRING),"
+            " 'matches', array_join(h.every, ' ')) ELSE map() END)",
             "timestamp": stamp,
         }
         body = ", ".join(f"'{name}', {fields[name]}" for name in wanted)

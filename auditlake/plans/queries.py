@@ -83,7 +83,9 @@ def secret_masked(spark, sf_dir):
 
 
 def secret_allowlist(spark, sf_dir):
-    return _planted(spark, sf_dir).filter("rule_id = 'SEC013'").select("file_path", "start_line")
+    options = ScanOptions(scanners=("secrets",), enabled_rules=("SEC013",))
+    found = match.find(fixtures.configs(spark, sf_dir), options)
+    return found.select("file_path", "start_line")
 
 
 def entropy_candidates(spark, sf_dir):
@@ -124,8 +126,9 @@ def k8s_rule_counts(spark, sf_dir):
 
 
 def k8s_file_checks(spark, sf_dir):
-    whole = F.col("rule_id").isin("K8S014", "K8S016", "K8S017")
-    return _k8s(spark, sf_dir).filter(whole).select("rule_id", "file_path", "start_line", "match")
+    options = ScanOptions(scanners=("misconfig",), enabled_rules=("K8S014", "K8S016", "K8S017"))
+    found = match.find(fixtures.manifests(spark, sf_dir), options)
+    return found.select("rule_id", "file_path", "start_line", "match")
 
 
 # --- catalog and selection --------------------------------------------------------
@@ -304,11 +307,11 @@ def finding_ids(spark, sf_dir):
 
 
 def scan_summary(spark, sf_dir):
-    return summary.summarize(_results(spark, sf_dir))
+    return summary.summarize(_results(spark, sf_dir, fields=("severity",)))
 
 
 def scan_summary_reference(spark, sf_dir):
-    return summary.summarize(_results(spark, sf_dir, REFERENCE), REFERENCE)
+    return summary.summarize(_results(spark, sf_dir, REFERENCE, ("severity",)), REFERENCE)
 
 
 def per_target_results(spark, sf_dir):
@@ -320,12 +323,12 @@ def per_target_results(spark, sf_dir):
 
 
 def severity_share(spark, sf_dir):
-    return summary.severity_share(summary.summarize(_results(spark, sf_dir)))
+    return summary.severity_share(summary.summarize(_results(spark, sf_dir, fields=("severity",))))
 
 
 def fail_gate(spark, sf_dir):
     thresholds = ("critical", "high", "medium", "low", "other")
-    return summary.summarize(_results(spark, sf_dir)).select(
+    return summary.summarize(_results(spark, sf_dir, fields=("severity",))).select(
         *[summary.fails(t).alias(f"fails_{t}") for t in thresholds]
     )
 

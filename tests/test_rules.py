@@ -351,3 +351,11 @@ def test_scoped_flags_and_classes_as_re2(spark, pattern, line, fires):
 def test_refused_patterns_name_the_rule(pattern):
     with pytest.raises(ValueError, match="rule BAD"):
         custom_rule("BAD", "b", "LOW", pattern)
+
+
+def test_further_matches_of_a_line_are_in_the_metadata(spark):
+    keys = ["AK" + "IA" + c * 16 for c in "AB"]
+    rows = find(targets(spark, [("a", " ".join(keys)), ("b", keys[0])])).collect()
+    metadata = {r.file_path: r.metadata for r in rows}
+    assert metadata["a"]["count"] == "2" and len(metadata["a"]["matches"].split()) == 2
+    assert "count" not in metadata["b"] and not any(k in str(metadata) for k in keys)
