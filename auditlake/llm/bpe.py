@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,7 +29,7 @@ from auditlake.llm.pretokens import byte_level_cuts, pieces, spread
 from auditlake.llm.tokens import slices
 
 # Distinct pieces one Python worker remembers in each of two generations; pieces in use outlive a change.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 def _byte_letters() -> list[str]:
@@ -135,13 +135,11 @@ def merger(path: str) -> Merger:
 
 
 
-def encode(texts: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace column ``text`` by ``ids``: a binary column of little-endian unsigned 32-bit ids.
+Batches = Iterator[pa.RecordBatch]
 
-    ``path`` is a byte-level tokenizer file that every executor has.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(path: str, text: str, ids: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             values = [t or "" for t in batch.column(text).to_pylist()]
             kept = batch.drop_columns([text])
@@ -151,15 +149,11 @@ def encode(texts: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 begin += len(done)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], names=[*part.schema.names, ids])
 
-    rows = texts.drop(ids) if ids != text else texts
-    schema = T.StructType([f for f in rows.schema.fields if f.name != text] + [T.StructField(ids, T.BinaryType())])
-    return rows.mapInArrow(run, schema)
-
+    return run
 
-def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add column ``text``: the string of the ids, special tokens included."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(path: str, ids: str, text: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             begin = 0
             for done in _groups(merger(path).decode(x or b"") for x in batch.column(ids).to_pylist()):
@@ -167,8 +161,35 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
                 begin += len(done)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.string())], names=[*part.schema.names, text])
 
+    return run
+
+
+def _schema(rows: DataFrame, drop: str, **added: T.DataType) -> T.StructType:
+    kept = [f for f in rows.schema.fields if f.name != drop]
+    return T.StructType([*kept, *(T.StructField(name, kind) for name, kind in added.items())])
+
+
+def encode(texts: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Replace column ``text`` by ``ids``: a binary column of little-endian unsigned 32-bit ids.
+
+    ``path`` is a byte-level tokenizer file that every executor has.
+    """
+    rows = texts.drop(ids) if ids != text else texts
+    return rows.mapInArrow(_encoding(path, text, ids), _schema(rows, text, **{ids: T.BinaryType()}))
+
+
+def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add column ``text``: the string of the ids, special tokens included."""
     rows = tokens.drop(text)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
+    return rows.mapInArrow(_decoding(path, ids, text), _schema(rows, "", **{text: T.StringType()}))
+
+
+def round_trip(texts: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode``, by the same Python workers."""
+    rows = texts.drop(*{ids, decoded} - {text})
+    there, back = _encoding(path, text, ids), _decoding(path, ids, decoded)
+    schema = _schema(rows, text, **{ids: T.BinaryType(), decoded: T.StringType()})
+    return rows.mapInArrow(lambda batches: back(there(batches)), schema)
 
 
 def _groups(values: Iterator, most: int = 1 << 22) -> Iterator[list]:

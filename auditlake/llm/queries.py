@@ -76,7 +76,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(documents, BYTE_BPE), BYTE_BPE))
+    return bpe.digests(bpe.round_trip(documents, BYTE_BPE))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

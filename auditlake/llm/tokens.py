@@ -14,7 +14,7 @@ import regex
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 # Code points of the texts handled at once; a longer text is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
