@@ -39,8 +39,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded text, by document."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), BYTE_BPE)
-    return bpe.digests(bpe.decode(encoded, BYTE_BPE))
+    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text"), BYTE_BPE))
 
 
 STAGES: list[tuple[str, Stage]] = [
