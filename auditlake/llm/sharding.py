@@ -1,21 +1,22 @@
 """Balanced label propagation: linked documents move towards the shards of their neighbours.
 
-Vertices have a weight, links join them. Every linked vertex starts in the shard its hash names. In
-each round half of the vertices look at their neighbours: a vertex wishes for the shard most of its
+Vertices have a weight, links join them. Every linked vertex starts in a shard its hash names, in
+proportion to the room of the shards. In each round half of the vertices look at their neighbours: a vertex wishes for the shard most of its
 link weight leads to, if that is more than leads to its own. Wishes between two shards are granted up
 to a quota, the room left in the wished shard and what moves the other way, in the order of a running
 sum. Vertices without weight are hubs; they move freely and only pass labels on. Shards stay within
 their capacity, an equal share of all weight. In the end the vertices without links, in classes from
 heavy to light, fill what room is left, so that the shards come out even.
 
-Equal documents are linked through hubs of at most ``HUB`` documents each, and the hubs of a group form
-a chain, so that a group of any size has no vertex with more links than that. A group larger than the
-room of a shard is cut between hubs.
+Up to ``HUB`` equal documents are linked through a hub. A larger group is one vertex, settled before the
+links are looked at: from heavy to light, each goes as a whole to the shard with the most room. A group
+that no shard has room for is cut, so that it fills as few shards as can be. Groups lighter than a
+``HEAVY``-th of a shard are laid one behind the other into the room the heavy ones left.
 
 Nulls: a null text has weight 1 and is linked to other null texts; a null id is kept. Ties between
 shards go to the lower number. Repeated rows are documents of their own. Empty tables give no rows.
 Only DataFrame operations run on the executors; the driver holds the loads and wishes of pairs of
-shards. Columns other than id and text are not read.
+shards, and the heavy groups, at most ``HEAVY`` times the number of shards. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from auditlake.llm.shared import stored
 
 # Documents linked to one hub, rounds at most, rows of a bucket of a running sum.
 HUB, ROUNDS, BUCKET_ROWS = 256, 8, 4000
+# Large groups of more than this part of a shard's room are settled one by one.
+HEAVY = 1000
 
 
 def _running(rows: DataFrame, group: list[str], weight: str, near: str, count: int) -> DataFrame:
@@ -79,13 +82,34 @@ def _wishes(state: DataFrame, links: DataFrame, phase: int) -> DataFrame:
     return moved.select("v", "size", "near", "phase", "label", (-F.col("best.other")).alias("wish"))
 
 
+def _start(room: list[int]) -> Column:
+    """A shard for each vertex by its hash, in proportion to the room."""
+    whole, end, ends = sum(room) or 1, 0, []
+    for r in room[:-1]:
+        end += r
+        ends.append((end << 20) // whole)
+    at = F.pmod(F.xxhash64("v"), F.lit(1 << 20))
+    return sum(((at >= e).cast("int") for e in ends), F.lit(0))
+
+
+def _fitting(placed: DataFrame, room: list[int]) -> DataFrame:
+    """``(v, size, label)`` of placed vertices; ``label`` is null where the shard has no room."""
+    loads = {r["label"]: r for r in placed.groupBy("label").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    if all(r["size"] <= room[s] for s, r in loads.items()):
+        return placed.select("v", "size", "label")
+    summed = _running(placed, ["label"], "size", "near", sum(r["n"] for r in loads.values()))
+    limit = F.array(*(F.lit(x) for x in room))[F.col("label")]
+    fits = F.col("before") + F.col("size") <= limit
+    return stored(summed.select("v", "size", F.when(fits, F.col("label")).alias("label")), "placed")
+
+
 def propagate(vertices: DataFrame, links: DataFrame, shards: int, room: list[int], rounds: int = ROUNDS) -> DataFrame:
     """``(v, size, label)`` of every linked vertex with weight; ``label`` is null where a shard had no room.
 
     ``vertices`` has ``v``, ``size``, ``near`` (vertices that share it move together) and ``phase``
     (0 or 1: the half it moves with); ``links`` has ``a``, ``b`` and weight ``w`` in both directions.
     """
-    state = stored(vertices.withColumn("label", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")), "labels")
+    state = stored(vertices.withColumn("label", _start(room)), "labels")
     moved_before = True
     for turn in range(2 * rounds):
         wishes = stored(_wishes(state, links, turn % 2), "wishes")
@@ -107,14 +131,7 @@ def propagate(vertices: DataFrame, links: DataFrame, shards: int, room: list[int
             granted = summed.filter(F.col("before") + F.col("size") <= _case(quotas))
         changes = granted.select("v", "wish")
         state = stored(state.join(changes, "v", "left").withColumn("label", F.coalesce("wish", "label")).drop("wish"), "labels")
-    placed = state.filter("size > 0")
-    loads = {r["label"]: r for r in placed.groupBy("label").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    if all(r["size"] <= room[s] for s, r in loads.items()):
-        return placed.select("v", "size", "label")
-    summed = _running(placed, ["label"], "size", "near", sum(r["n"] for r in loads.values()))
-    limit = F.array(*(F.lit(x) for x in room))[F.col("label")]
-    fits = F.col("before") + F.col("size") <= limit
-    return stored(summed.select("v", "size", F.when(fits, F.col("label")).alias("label")), "placed")
+    return _fitting(state.filter("size > 0"), room)
 
 
 def _fill(loose: DataFrame, shards: int, loads: list[int], room: list[int], count: int) -> DataFrame:
@@ -140,15 +157,69 @@ def _fill(loose: DataFrame, shards: int, loads: list[int], room: list[int], coun
     return rows.select("v", "size", (labels if labels is not None else F.lit(0)).cast("int").alias("label"))
 
 
-def balance(vertices: DataFrame, linked: DataFrame, links: DataFrame, shards: int) -> DataFrame:
-    """``(v, size, label)`` for all ``vertices`` (``v``, ``size``); ``linked`` are those with links, and hubs."""
+def _plan(groups: list[tuple[int, int, int]], loads: list[int], room: list[int]) -> list[tuple[int, bool, list[tuple[int, int]]]]:
+    """For groups ``(g, weight, copies)``: whether one shard takes all, and up to which weight each shard takes copies.
+
+    ``loads`` are raised. What no shard has room for lies above all cuts.
+    """
+    made = []
+    for g, weight, copies in sorted(groups, key=lambda x: (-x[1], x[0])):
+        cuts, done, size = [], 0, weight // copies
+        while done < weight:
+            s = max(range(len(room)), key=lambda i: (room[i] - loads[i], -i))
+            part = min(weight - done, (room[s] - loads[s]) // size * size)
+            if part <= 0:
+                break
+            loads[s] += part
+            done += part
+            cuts.append((done, s))
+        made.append((g, done == weight and len(cuts) == 1, cuts))
+    return made
+
+
+def settle(members: DataFrame, shards: int, room: list[int]) -> DataFrame:
+    """``(v, size, label)`` of the copies ``(v, size, g)`` in large groups ``g``; ``label`` is null where no shard had room."""
+    groups = stored(members.groupBy("g").agg(F.sum("size").alias("weight"), F.count("*").alias("n")), "large-groups")
+    heavy = F.col("weight") * HEAVY > min(room)
+    loads = [0] * shards
+    planned = _plan([tuple(r) for r in groups.filter(heavy).collect()], loads, room)
+    cuts = groups.sparkSession.createDataFrame(planned, "g bigint, whole boolean, cuts array<struct<upto: bigint, shard: int>>")
+    light = groups.filter(~heavy).select(F.col("g").alias("v"), F.col("weight").alias("size"))
+    if count := light.count():
+        laid = _fill(light, shards, loads, room, count)
+        end = F.struct(F.col("size").alias("upto"), F.col("label").alias("shard"))
+        cuts = cuts.unionByName(laid.select(F.col("v").alias("g"), F.lit(True).alias("whole"), F.array(end).alias("cuts")))
+    dealt = stored(members.join(cuts, "g").withColumn("near", F.col("g")), "settled")
+    placed = dealt.filter("whole").select("v", "size", "near", F.col("cuts")[0]["shard"].alias("label"))
+    split = dealt.filter("NOT whole")
+    if count := split.count():
+        # Copies are of one size, so that cuts fall between them.
+        summed = _running(split, ["g"], "size", "v", count)
+        inside = F.filter("cuts", lambda x: F.col("before") + F.col("size") <= x["upto"])
+        placed = placed.unionByName(summed.select("v", "size", "near", F.get(inside, F.lit(0))["shard"].alias("label")))
+    return _fitting(stored(placed.filter("label IS NOT NULL"), "settled"), room)
+
+
+def balance(vertices: DataFrame, large: DataFrame, linked: DataFrame, links: DataFrame, shards: int) -> DataFrame:
+    """``(v, size, label)`` for all ``vertices`` (``v``, ``size``).
+
+    ``large`` are copies in large groups, with ``g``; ``linked`` are vertices with links, and hubs.
+    """
     total, count = vertices.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     room = [total // shards + (s < total % shards) for s in range(shards)]
-    placed = propagate(linked, links, shards, room)
-    kept = placed.filter("label IS NOT NULL")
-    sums = {r["label"]: r["size"] for r in kept.groupBy("label").agg(F.sum("size").alias("size")).collect()}
+
+    def loads(rows: DataFrame) -> list[int]:
+        sums = {r["label"]: r["size"] for r in rows.groupBy("label").agg(F.sum("size").alias("size")).collect()}
+        return [sums.get(s, 0) for s in range(shards)]
+
+    kept = None
+    if large.limit(1).count():
+        kept = settle(large, shards, room).filter("label IS NOT NULL")
+    free = [r - x for r, x in zip(room, loads(kept), strict=True)] if kept is not None else room
+    placed = propagate(linked, links, shards, free).filter("label IS NOT NULL")
+    kept = placed if kept is None else kept.unionByName(placed)
     loose = vertices.join(kept.select("v"), "v", "left_anti").select("v", "size")
-    return kept.unionByName(_fill(loose, shards, [sums.get(s, 0) for s in range(shards)], room, count))
+    return kept.unionByName(_fill(loose, shards, loads(kept), room, count))
 
 
 def slots(rows: DataFrame, count: int, shard: str = "shard") -> DataFrame:
@@ -169,20 +240,19 @@ def shard_documents(documents: DataFrame, shards: int, id: str = "doc_id", text:
     ).withColumn("v", F.monotonically_increasing_id())
     rows = stored(rows, "documents")
     groups = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1")
-    groups = stored(groups.withColumn("hubs", F.ceil(F.col("n") / HUB).cast("int")), "groups")
+    groups = stored(groups, "groups")
     same = (rows["k1"] == groups["k1"]) & rows["k2"].eqNullSafe(groups["k2"])
     # Hubs have negative numbers, documents have none.
-    hub = lambda nr: -F.shiftrightunsigned(F.xxhash64(groups["k1"], groups["k2"], nr), 1) - 1
-    members = rows.join(groups, same).select("v", "size", hub(F.pmod(F.xxhash64("v"), F.col("hubs")).cast("int")).alias("hub"))
-    members = stored(members, "members")
-    chain = groups.filter("hubs > 1").withColumn("nr", F.explode(F.sequence(F.lit(0), F.col("hubs") - 2)))
-    chained = chain.select(hub(F.col("nr")).alias("a"), hub(F.col("nr") + 1).alias("b"), F.lit(HUB).cast("bigint").alias("w"))
-    single = members.select(F.col("v").alias("a"), F.col("hub").alias("b"), F.lit(1).cast("bigint").alias("w")).unionByName(chained)
+    hub = -F.shiftrightunsigned(F.xxhash64(groups["k1"], groups["k2"], F.lit(0)), 1) - 1
+    copies = stored(rows.join(groups, same).select("v", "size", "n", hub.alias("hub")), "members")
+    large = copies.filter(F.col("n") > HUB).select("v", "size", F.col("hub").alias("g"))
+    members = copies.filter(F.col("n") <= HUB)
+    single = members.select(F.col("v").alias("a"), F.col("hub").alias("b"), F.lit(1).cast("bigint").alias("w"))
     links = stored(single.unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "links")
     hubs = members.select(F.col("hub").alias("v")).distinct().select(
         "v", F.lit(0).cast("bigint").alias("size"), F.col("v").alias("near"), F.lit(0).alias("phase")
     )
     linked = members.select("v", "size", F.col("hub").alias("near"), F.lit(1).alias("phase")).unionByName(hubs)
-    labels = balance(rows.select("v", "size"), linked, links, shards)
+    labels = balance(rows.select("v", "size"), large, linked, links, shards)
     sharded = rows.select("v", "id", "size", "text_crc32").join(labels.select("v", F.col("label").alias("shard")), "v")
     return slots(stored(sharded, "sharded"), rows.count()).select(F.col("id").alias(id), "size", "text_crc32", "shard", "slot")

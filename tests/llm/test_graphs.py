@@ -69,6 +69,34 @@ def test_one_group_of_a_third_of_all_rows(docs):
     assert max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+def test_groups_of_any_size_stay_in_one_shard_while_room_lasts(docs):
+    groups = (300, 300, 400, 512, 513, 700, 1000, 1025, 2000, 5000)
+    rows = [(10_000 * g + i, f"copy {g} " * 5) for g, n in enumerate(groups) for i in range(n)]
+    rows += [(10**6 + i, f"pair {i % 300:03d} " * 5) for i in range(900)] + [(10**7 + i, f"other {i:05d} " * 4) for i in range(30_000)]
+    texts, where, sizes = dict(rows), defaultdict(set), Counter()
+    for r in sharded(docs(rows)):
+        where[texts[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r["size"]
+    assert [len(s) for t, s in where.items() if t.startswith("copy")] == [1] * len(groups)
+    assert sum(len(s) > 1 for t, s in where.items() if t.startswith("pair")) <= 3
+    assert max(sizes.values()) <= 1.01 * min(sizes.values())
+
+
+def test_groups_larger_than_a_shard_fill_few(docs, monkeypatch):
+    rows = [(i, "same text " * 20) for i in range(1200)] + [(5000 + i, f"other {i} " * 25) for i in range(2000)]
+    texts = dict(rows)
+    assert len({r.shard for r in sharded(docs(rows)) if texts[r.doc_id].startswith("same")}) <= 4
+    monkeypatch.setattr(sharding, "HEAVY", 0)  # so that all groups are laid in a line
+    rows += [(10_000 + 1000 * g + i, f"copy {g} " * 5) for g in range(4) for i in range(300)]
+    texts = dict(rows)
+    found = sharded(docs(rows))
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) <= 1.02 * min(sizes.values())
+
+
 def test_shards_of_nulls_repeats_and_nothing(docs):
     rows = [(1, None), (None, None), (None, "é"), (2, ""), (2, ""), (2, "")]
     found = sharded(docs(rows))
