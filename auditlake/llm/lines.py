@@ -34,8 +34,8 @@ from auditlake.llm.tokens import HASHER, code_points, mix
 EDITS, LEAST = 2, 20
 # Rows sent to every task at most (some 16 MB); more are joined by a shuffle.
 SENT = 400_000
-# Pairs put out at once.
-PAIRS = 1 << 16
+# Pairs put out at once; rows of a key, of each role, that are compared in one task.
+PAIRS, RUN = 1 << 16, 8192
 
 
 # --- edit distance --------------------------------------------------------------------
@@ -180,15 +180,22 @@ def _keyed(edits: int):
     return run
 
 
-def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, hot boolean"
+
+
+def _pairs(edits: int, limit: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different lines that share a key, one as indexed and the other as probing it.
 
     Batches come in the order of keys; a run of equal keys is kept as four numbers per line. Only pairs
-    whose parities differ as little as the edits allow are put out.
+    whose parities differ as little as the edits allow are put out. The rows of a key with more than
+    ``limit`` are not compared but put out as they came, marked ``hot``.
     """
 
-    def met(k1: np.ndarray, tag: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = np.unique(np.stack([k1, tag, two], axis=1), axis=0)
+    def put(columns: np.ndarray, hot: bool) -> pa.RecordBatch:
+        arrays = [pa.array(c) for c in np.ascontiguousarray(columns.T)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(columns), hot))], names=["a1", "a2", "b1", "b2", "hot"])
+
+    def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         index, probe = rows[rows[:, 1] & 1 == 1], rows[rows[:, 1] & 1 == 0]
         if not len(index) or not len(probe):
             return
@@ -207,8 +214,18 @@ def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
             found = np.unique(np.hstack([a, b]), axis=0)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(found.T)], names=["a1", "a2", "b1", "b2"])
+                yield put(found, False)
+
+    def handled(key: int, run: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
+        if known or limit is not None and len(run) > limit:
+            yield put(np.hstack([np.full((len(run), 1), key), run]), True)
+        else:
+            yield from met(run)
+
+    def distinct(*columns: np.ndarray) -> np.ndarray:
+        return np.unique(np.stack(columns, axis=1), axis=0)
 
+    hot = None  # the key whose rows are being put out
     key = k1 = tag = two = np.zeros(0, np.int64)
     for batch in batches:
         fresh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "k1", "tag", "two"))
@@ -217,12 +234,50 @@ def _pairs(edits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         sizes = np.diff(np.append(cuts, len(key)))
         for i in np.flatnonzero(sizes[:-1] > 1):
             run = slice(cuts[i], cuts[i] + sizes[i])
-            if (tag[run] & 1).any() and (k1[run] != k1[cuts[i]]).any():
-                yield from met(k1[run], tag[run], two[run])
+            known = key[cuts[i]] == hot
+            if known or (tag[run] & 1).any() and (k1[run] != k1[cuts[i]]).any():
+                yield from handled(int(key[cuts[i]]), distinct(k1[run], tag[run], two[run]), known)
+        if len(sizes) > 1 and sizes[0] == 1 and key[0] == hot:
+            yield put(np.array([[key[0], k1[0], tag[0], two[0]]]), True)
         last = cuts[-1] if len(cuts) else 0
         key, k1, tag, two = key[last:], k1[last:], tag[last:], two[last:]
+        if len(key) and (key[0] == hot or limit is not None and len(key) > limit):
+            # Equal rows, of a line that stands in many batches, are kept once.
+            kept = distinct(k1, tag, two)
+            if key[0] == hot or len(kept) > limit:
+                hot = int(key[0])
+                yield put(np.hstack([np.full((len(kept), 1), hot), kept]), True)
+                kept = kept[:0]
+            key, (k1, tag, two) = key[: len(kept)], kept.T
     if len(key) > 1:
-        yield from met(k1, tag, two)
+        yield from handled(int(key[0]), distinct(k1, tag, two), False)
+
+
+def _dealt(hot: DataFrame, run: int) -> DataFrame:
+    """Rows of hot keys under keys of their own for each block of index rows and block of probe rows.
+
+    Each index row meets each probe row of its key once, in blocks of about ``run`` rows.
+    """
+    index = F.col("tag") % 2 != 0
+    blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.sum(of.cast("bigint")) / run)).cast("int")
+    sized = hot.groupBy("key").agg(blocks(index).alias("ni"), blocks(~index).alias("np"))
+    own = F.pmod(F.xxhash64("k1", "tag"), F.when(index, F.col("ni")).otherwise(F.col("np"))).cast("int")
+    across = F.sequence(F.lit(0), F.when(index, F.col("np")).otherwise(F.col("ni")) - 1)
+    rows = hot.join(sized, "key").withColumn("own", own).withColumn("other", F.explode(across))
+    cell = F.xxhash64("key", F.when(index, F.col("own")).otherwise(F.col("other")), F.when(index, F.col("other")).otherwise(F.col("own")))
+    return rows.select(cell.alias("key"), "k1", "tag", "two")
+
+
+def _candidate_pairs(keyed: DataFrame, edits: int, run: int) -> DataFrame:
+    """Distinct pairs of lines that share a key."""
+    ordered = lambda rows: rows.repartition("key").sortWithinPartitions("key")
+    found = stored(ordered(keyed).mapInArrow(partial(_pairs, edits, 2 * run), _PAIRS), "line-keys")
+    pairs = found.filter("NOT hot").drop("hot")
+    if found.filter("hot").limit(1).count():
+        hot = found.filter("hot").select(F.col("a1").alias("key"), F.col("a2").alias("k1"), F.col("b1").alias("tag"), F.col("b2").alias("two"))
+        cells = _dealt(stored(hot.distinct(), "hot-keys"), run)
+        pairs = pairs.unionByName(ordered(cells).mapInArrow(partial(_pairs, edits, None), _PAIRS).drop("hot"))
+    return stored(pairs.distinct(), "line-pairs")
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -233,8 +288,7 @@ def _bounded(rows: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, edits: int) -> DataFrame:
     """``(k1, k2, c1, c2)``: for each line with a near one the line that stands for its class."""
     keyed = lines.select("k1", "k2", "line").mapInArrow(_keyed(edits), "key bigint, k1 bigint, tag bigint, two bigint")
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_pairs, edits), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-    pairs = stored(pairs.distinct(), "line-pairs")
+    pairs = _candidate_pairs(keyed, edits, RUN)
     held = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
     wanted = stored(held, "line-candidates")
     texts = lines.join(_bounded(wanted), ["k1", "k2"]).select("k1", "k2", "line").dropDuplicates(["k1", "k2"])

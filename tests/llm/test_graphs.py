@@ -258,6 +258,20 @@ def test_lines_of_repeated_rows_and_nothing(docs):
     assert lines.dedup_lines(docs([])).count() == 0
 
 
+def test_hot_keys_are_dealt_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(lines, "RUN", 4)
+    dealt = []
+    monkeypatch.setattr(lines, "_dealt", lambda hot, run, real=lines._dealt: dealt.append(real(hot, run)) or dealt[-1])
+    pick = random.Random(5)
+    rows = [(i, f"a common head {pick.randint(0, 999):03d} a common tail{'z' * (i % 3)}") for i in range(60)]
+    rows += [(200 + i, f"own line {i} " + "y" * i) for i in range(12, 24)]
+    found = lines.dedup_lines(docs(rows)).select("doc_id", "n_lines", "n_dropped", "text")
+    assert sorted(map(tuple, found.collect())) == brute_lines(rows)
+    (cells,) = dealt
+    sizes = [r["count"] for r in cells.groupBy("key", (cells["tag"] % 2 != 0).alias("index")).count().collect()]
+    assert len(sizes) > 50 and max(sizes) <= 20
+
+
 def test_parities_differ_by_no_more_than_edits_allow():
     pick = random.Random(6)
     for _ in range(3000):
