@@ -32,7 +32,7 @@ from auditlake.llm.tokens import HASHER, code_points, mix
 
 # Edits between lines of a class, characters of a line that may go.
 EDITS, LEAST = 2, 20
-# Rows sent to every task at most (some 16 MB); more are joined by a shuffle.
+# Rows and line numbers sent to every task at most (some 16 MB); more are joined by a shuffle.
 SENT = 400_000
 # Pairs put out at once; rows of a key, of each role, that are compared in one task.
 PAIRS, RUN = 1 << 16, 8192
@@ -280,9 +280,10 @@ def _candidate_pairs(keyed: DataFrame, edits: int, run: int) -> DataFrame:
     return stored(pairs.distinct(), "line-pairs")
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """A stored table, marked to be sent to every task if it has few rows."""
-    return F.broadcast(rows) if rows.count() <= SENT else rows
+def _bounded(rows: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """A stored table, marked to be sent to every task if it has few rows, and few ``numbers`` in them."""
+    each = F.lit(1) if numbers is None else numbers + 1
+    return F.broadcast(rows) if (rows.agg(F.sum(each.cast("bigint"))).first()[0] or 0) <= SENT else rows
 
 
 def _near(lines: DataFrame, edits: int) -> DataFrame:
@@ -333,7 +334,7 @@ def _rebuilt(documents: DataFrame, dropped: DataFrame, id: str, text: str) -> tu
     same = documents[id].eqNullSafe(F.col("_id")) & (F.xxhash64(documents[text]) == F.col("_version"))
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_dropped", i))
     clean = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return documents.join(_bounded(named), same, "left"), clean
+    return documents.join(_bounded(named, F.size("_dropped")), same, "left"), clean
 
 
 def without_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:

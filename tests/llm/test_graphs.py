@@ -272,6 +272,15 @@ def test_hot_keys_are_dealt_in_blocks(docs, monkeypatch):
     assert len(sizes) > 50 and max(sizes) <= 20
 
 
+def test_long_lists_of_dropped_lines_are_not_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(lines, "SENT", 40)
+    rows = [(i, "\n".join(f"{c} a line that stands in both texts" + c * n for c in "abcdef" for n in range(3, 30, 3))) for i in range(2)]
+    found = lines.dedup_lines(docs(rows))
+    assert "Hint" not in found._jdf.queryExecution().analyzed().toString()
+    got = sorted(map(tuple, found.select("doc_id", "n_lines", "n_dropped", "text").collect()))
+    assert got == brute_lines(rows)
+
+
 def test_parities_differ_by_no_more_than_edits_allow():
     pick = random.Random(6)
     for _ in range(3000):
