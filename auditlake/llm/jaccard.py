@@ -35,8 +35,8 @@ from auditlake.llm.tokens import mix, shingles, slices, words
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-7
 VALUES = BANDS * ROWS
-# Buckets of more nodes become families without comparing pairs; shingles of a block.
-SMALL_BUCKET, BLOCK_SHINGLES = 16, 100_000
+# Buckets of more nodes become families without comparing pairs; shingles and members of a block.
+SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_MEMBERS = 16, 100_000, 2000
 
 
 # --- signatures and the rule for pruning ----------------------------------------------
@@ -234,6 +234,12 @@ def _verify(width: int, similarity: float):
     return run
 
 
+def _blocks(sized: DataFrame) -> DataFrame:
+    """The number of blocks of each family of nodes with ``n`` shingles, bounded by shingles and by members."""
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS))
+    return sized.groupBy("family").agg(blocks.cast("int").alias("blocks"))
+
+
 def _classes(documents: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """A row per document with the key of its text; a row per distinct text with its class and links."""
     signed = _signed(documents, id, text, width)
@@ -243,7 +249,7 @@ def _classes(documents: DataFrame, id: str, text: str, width: int, similarity: f
     families = stored(components(links).select("node", F.col("root").alias("family")), "families")
 
     sized = families.join(nodes.select("node", "key", "n", "copies", "signature", "first_id"), "node")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = _blocks(sized)
     whole = documents.select(F.col(id).cast("bigint").alias("first_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # The text of a node is that of its first document.
     keyed = whole.withColumn("key", F.unhex(F.md5("text")))

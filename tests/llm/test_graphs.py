@@ -154,6 +154,11 @@ def test_near_copies_equal_brute_force(docs, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=str) == brute_classes(rows)
 
 
+def test_blocks_are_bounded_by_members_too(spark):
+    nodes = spark.range(9001).selectExpr("if(id < 9000, 1, 2) AS family", "if(id < 9000, 1, 450000) AS n")
+    assert dict(map(tuple, jaccard._blocks(nodes).collect())) == {1: 5, 2: 5}
+
+
 def test_one_of_each(docs):
     pick = random.Random(8)
     rows = [(9 - i, t) for i, t in enumerate(family(pick, 4))] + [(20, "x"), (20, "x"), (None, "x y z"), (None, "x y z"), (None, None), (3, "")]
