@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, jaccard, lines, quality, sharding, tokenfiles, topk, toxicity, warc
+from auditlake.llm import bpe, collocations, decontaminate, fim, jaccard, lines, quality, sharding, tokenfiles, topk, toxicity, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -86,6 +86,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.round_trip(documents).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        fim.digest("output").alias("output_sha256"), fim.digest("restored").alias("restored_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"), "lang", "text", 2000, 10, 50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which itself takes parameters from this module
 
@@ -103,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op11_fim": op11_fim,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
@@ -131,4 +145,67 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM h
 """
 
-ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_topk": OP3_SQL}
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), g AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT *, substring(t, 1, least(c1, c2)) AS pre, substring(t, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS mid,
+    substring(t, greatest(c1, c2) + 1) AS suf
+  FROM g
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(least(c1, c2) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(greatest(c1, c2) - least(c1, c2) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP13_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), sequences AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM sequences
+), runs AS (
+  SELECT lang, w[i] AS a1, CASE WHEN i + 1 <= len(w) THEN w[i + 1] END AS a2, CASE WHEN i + 2 <= len(w) THEN w[i + 2] END AS a3 FROM places
+), f1 AS (SELECT lang, a1, count(*) AS f FROM runs GROUP BY ALL),
+f2 AS (SELECT lang, a1, a2, count(*) AS f FROM runs WHERE a2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, a1, a2, a3, count(*) AS f FROM runs WHERE a3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+cuts AS (
+  SELECT b.lang, b.a1 || ' ' || b.a2 AS phrase, b.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 b JOIN f1 l ON l.lang = b.lang AND l.a1 = b.a1 JOIN f1 r ON r.lang = b.lang AND r.a1 = b.a2
+  WHERE b.f >= 10 AND NOT EXISTS (
+    SELECT 1 FROM f3 c WHERE c.lang = b.lang AND (c.a1 = b.a1 AND c.a2 = b.a2) AND 100 * c.f >= 50 * b.f
+  ) AND NOT EXISTS (
+    SELECT 1 FROM f3 c WHERE c.lang = b.lang AND (c.a2 = b.a1 AND c.a3 = b.a2) AND 100 * c.f >= 50 * b.f
+  )
+  UNION ALL
+  SELECT t.lang, t.a1 || ' ' || t.a2 || ' ' || t.a3, t.f, 1, l.f, r.f
+  FROM f3 t JOIN f1 l ON l.lang = t.lang AND l.a1 = t.a1 JOIN f2 r ON r.lang = t.lang AND r.a1 = t.a2 AND r.a2 = t.a3
+  UNION ALL
+  SELECT t.lang, t.a1 || ' ' || t.a2 || ' ' || t.a3, t.f, 2, l.f, r.f
+  FROM f3 t JOIN f2 l ON l.lang = t.lang AND l.a1 = t.a1 AND l.a2 = t.a2 JOIN f1 r ON r.lang = t.lang AND r.a1 = t.a3
+), scored AS (
+  SELECT *, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_topk": OP3_SQL, "op11_fim": OP11_SQL, "op13_collocations": OP13_SQL}

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Bytes of a table, strings and 16 for each value, that may be sent to every task.
+SENT_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -44,3 +48,14 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(rows: DataFrame, *strings: str, told: bool = False):
+    """A stored table, marked to be sent to every task if it holds few bytes, those of ``strings`` counted in full.
+
+    With ``told`` also whether it is.
+    """
+    sizes = sum((F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in strings), F.lit(16 * len(rows.columns)))
+    few = (rows.agg(F.sum(sizes.cast("bigint"))).first()[0] or 0) <= SENT_BYTES
+    found = F.broadcast(rows) if few else rows
+    return (found, few) if told else found
