@@ -22,7 +22,7 @@ def test_query_with_sql(spark, name):
 
 def test_every_query_is_registered():
     names = set(queries.QUERIES)
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert names <= set(entry.queries())
 
 
