@@ -9,11 +9,16 @@ whether something stands an odd number of times in a line for at most two charac
 neighbouring characters. Lines linked by such pairs form a class, and all
 but the first place of a class, by document id, text hash and line number, are taken out.
 
-Lines shorter than ``LEAST`` characters are never taken out. Null texts stay null and empty ones empty.
+Lines shorter than ``LEAST`` characters are compared by equality alone, as two edits would make most of
+them alike; blank lines are never taken out. Null texts stay null and empty ones empty.
 A document that loses all its lines has an empty text. Rows that repeat an id and a text are treated
 alike; rows of one id with different texts are told apart by a hash of the text. Null ids come first.
 Texts of any length are handled whole, an empty table gives no rows. Other columns are kept; those
 named ``n_lines`` and ``n_dropped`` are replaced.
+
+Texts are not exchanged. The documents are read twice, and each task of the second reading takes up the
+numbers of dropped lines that were stored for its partition. So the documents must come in the same
+partitions both times, as tables of files do; where they do not, an error says so.
 """
 
 from __future__ import annotations
@@ -23,16 +28,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.llm.graph import components
-from auditlake.llm.shared import stored
+from auditlake.llm.shared import shared_folder, stored
 from auditlake.llm.tokens import HASHER, code_points, mix
 
-# Edits between lines of a class, characters of a line that may go.
+# Edits between lines of a class, characters of the lines that are compared by edits.
 EDITS, LEAST = 2, 20
-# Rows and line numbers sent to every task at most (some 16 MB); more are joined by a shuffle.
+# Rows sent to every task at most (some 16 MB); more are joined by a shuffle.
 SENT = 400_000
 # Pairs put out at once; rows of a key, of each role, that are compared in one task.
 PAIRS, RUN = 1 << 16, 8192
@@ -113,7 +122,10 @@ def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nda
 
 
 def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, line and role (1: index, 0: probe) of every segment and of every substring to look up."""
+    """Key, line and role (1: index, 0: probe) of every segment and of every substring to look up.
+
+    A line's own segments are also looked up among lines of its length, where they stand: index rows probe too.
+    """
     points, starts = code_points(lines)
     sums = HASHER.sums(points)
     length = np.diff(starts)
@@ -139,6 +151,8 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
             left = max(-i, shorter - (edits - i))
             right = min(i, shorter + (edits - i))
             for move in range(left, right + 1):
+                if not shorter and not move:
+                    continue
                 at = start + move
                 valid = (length - shorter > edits) & (at >= 0) & (at + size <= length)
                 add(at, size, length - shorter, i, valid, 0)
@@ -196,8 +210,8 @@ def _pairs(edits: int, limit: int | None, batches: Iterator[pa.RecordBatch]) ->
         return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(columns), hot))], names=["a1", "a2", "b1", "b2", "hot"])
 
     def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        index, probe = rows[rows[:, 1] & 1 == 1], rows[rows[:, 1] & 1 == 0]
-        if not len(index) or not len(probe):
+        index, probe = rows[rows[:, 1] & 1 == 1], rows
+        if not len(index):
             return
         at_once = max(1, PAIRS // len(probe))
         for i in range(0, len(index), at_once):
@@ -256,9 +270,11 @@ def _pairs(edits: int, limit: int | None, batches: Iterator[pa.RecordBatch]) ->
 def _dealt(hot: DataFrame, run: int) -> DataFrame:
     """Rows of hot keys under keys of their own for each block of index rows and block of probe rows.
 
-    Each index row meets each probe row of its key once, in blocks of about ``run`` rows.
+    Each index row meets each probe row of its key once, in blocks of about ``run`` rows; index rows
+    are probe rows as well.
     """
     index = F.col("tag") % 2 != 0
+    hot = hot.union(hot.filter(index).withColumn("tag", F.col("tag").bitwiseAND(F.lit(-2).cast("bigint")))).distinct()
     blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.sum(of.cast("bigint")) / run)).cast("int")
     sized = hot.groupBy("key").agg(blocks(index).alias("ni"), blocks(~index).alias("np"))
     own = F.pmod(F.xxhash64("k1", "tag"), F.when(index, F.col("ni")).otherwise(F.col("np"))).cast("int")
@@ -280,10 +296,9 @@ def _candidate_pairs(keyed: DataFrame, edits: int, run: int) -> DataFrame:
     return stored(pairs.distinct(), "line-pairs")
 
 
-def _bounded(rows: DataFrame, numbers: Column | None = None) -> DataFrame:
-    """A stored table, marked to be sent to every task if it has few rows, and few ``numbers`` in them."""
-    each = F.lit(1) if numbers is None else numbers + 1
-    return F.broadcast(rows) if (rows.agg(F.sum(each.cast("bigint"))).first()[0] or 0) <= SENT else rows
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A stored table of numbers, marked to be sent to every task if it has few rows."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
 def _near(lines: DataFrame, edits: int) -> DataFrame:
@@ -310,44 +325,68 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def repeated_lines(documents: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``(id, version, dropped)``: the numbers, from 0, of the lines to take out of each document."""
+    """``(part, id, version, dropped)``: the numbers, from 0, of the lines to take out of each document of a partition."""
     rows = documents.filter(F.col(text).isNotNull()).select(
-        F.col(id).alias("id"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("no", "line")
+        F.spark_partition_id().alias("part"), F.col(id).alias("id"), F.xxhash64(text).alias("version"),
+        F.posexplode(F.split(text, "\n")).alias("no", "line"),
     )
-    long = rows.filter(F.length("line") >= least)
-    keyed = long.withColumns({"k1": F.xxhash64("line"), "k2": F.hash("line").cast("bigint")})
-    near = _near(keyed, edits)
-    places = stored(keyed.select("id", "version", "no", "k1", "k2"), "line-places")
+    keyed = rows.filter(F.col("line").rlike(r"\S")).withColumns({"k1": F.xxhash64("line"), "k2": F.hash("line").cast("bigint")})
+    near = _near(keyed.filter(F.length("line") >= least), edits)
+    places = stored(keyed.select("part", "id", "version", "no", "k1", "k2"), "line-places")
     classed = places.join(_bounded(near), ["k1", "k2"], "left").select(
-        "id", "version", "no", F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2")
+        "part", "id", "version", "no", F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2")
     )
     often = classed.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     again = stored(classed.join(often, ["c1", "c2"]), "line-repeats")
     first = again.groupBy("c1", "c2").agg(F.min(F.struct("id", "version", "no")).alias("first"))
     later = again.join(first, ["c1", "c2"]).filter(~F.struct("id", "version", "no").eqNullSafe(F.col("first")))
-    return stored(later.groupBy("id", "version").agg(F.collect_set("no").alias("dropped")), "dropped-lines")
+    return later.groupBy("part", "id", "version").agg(F.collect_set("no").alias("dropped"))
+
+
+def _numbers(folder: str):
+    """A column function from id and version to the stored line numbers, for the rows of one partition."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held: dict[tuple, list[int]] = {}
+        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        here = f"{root}/part={TaskContext.get().partitionId()}"
+        if files.get_file_info(here).type == pyarrow.fs.FileType.Directory:
+            for row in pq.read_table(here, filesystem=files, partitioning=None).to_pylist():
+                held[row["id"], row["version"]] = row["dropped"]
+        left = set(held)
+        for ids, versions in batches:
+            keys = list(zip(ids.to_pylist(), versions.to_pylist(), strict=True))
+            left.difference_update(keys)
+            yield pa.array([held.get(key) for key in keys], pa.list_(pa.int32()))
+        if left:
+            raise RuntimeError("documents come in other partitions than when their lines were read; store them first")
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    # The optimizer may not move it to another stage, nor work it out twice.
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType())).asNondeterministic()
 
 
 def _rebuilt(documents: DataFrame, dropped: DataFrame, id: str, text: str) -> tuple[DataFrame, Column]:
-    """Documents with the numbers of the lines to take out, and the lines that stay."""
-    named = dropped.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped"))
-    same = documents[id].eqNullSafe(F.col("_id")) & (F.xxhash64(documents[text]) == F.col("_version"))
+    """Documents with ``_dropped``, the numbers of the lines to take out, and the text of the lines that stay."""
+    folder = f"{shared_folder(documents.sparkSession, 'dropped-lines')}/by-part"
+    dropped.repartition("part").write.partitionBy("part").parquet(folder)
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_dropped", i))
     clean = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return documents.join(_bounded(named, F.size("_dropped")), same, "left"), clean
+    return documents.withColumn("_dropped", _numbers(folder)(F.col(id), F.xxhash64(text))), clean
 
 
 def without_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """The documents with the repeated lines taken out of their texts."""
-    joined, clean = _rebuilt(documents, repeated_lines(documents, id, text, edits, least), id, text)
-    return joined.withColumn(text, clean).select(documents.columns)
+    marked, clean = _rebuilt(documents, repeated_lines(documents, id, text, edits, least), id, text)
+    return marked.withColumn(text, clean).select(documents.columns)
 
 
 def dedup_lines(documents: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """The same, with ``n_lines`` before and ``n_dropped``."""
-    joined, clean = _rebuilt(documents.drop("n_lines", "n_dropped"), repeated_lines(documents, id, text, edits, least), id, text)
-    return joined.withColumns({
+    given = documents.drop("n_lines", "n_dropped")
+    marked, clean = _rebuilt(given, repeated_lines(documents, id, text, edits, least), id, text)
+    return marked.withColumns({
         "n_lines": F.when(F.col(text).isNotNull(), F.size(F.split(text, "\n"))).otherwise(0).cast("bigint"),
         "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint"),
         text: clean,
-    }).drop("_id", "_version", "_dropped")
+    }).drop("_dropped")

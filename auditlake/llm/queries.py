@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, collocations, decontaminate, fim, jaccard, lines, quality, sharding, tokenfiles, topk, toxicity, warc
+from auditlake.llm import bpe, collocations, decontaminate, fim, forest, jaccard, lines, quality, sharding, tokenfiles, topk, toxicity, warc
 from auditlake.llm.shared import read_table
 
 # Where the vocabulary files lie; they are a parameter of the operators.
@@ -40,7 +40,8 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    # A row without an id is in no third, so never held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
     grammar = toxicity.learn(documents, labels)
     scored = toxicity.score(documents.withColumn("held_out", held_out), grammar).drop("text")
@@ -94,6 +95,12 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    held = forest.index(vectors, 5, vector="embedding")
+    return forest.search(held, vectors.filter(F.col("vec_id") % 50 == 0), 5, vector="embedding")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read_table(spark, sf_dir, "documents"), "lang", "text", 2000, 10, 50)
 
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
     "op11_fim": op11_fim,
+    "op12_forest": op12_forest,
     "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
@@ -124,7 +132,7 @@ OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE)) AS a
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.a, c.a) AS BIGINT) AS score

@@ -10,7 +10,7 @@ bucket, tries the levels, compares the fingerprint and knows file, offset and le
 
 Null texts count as empty: they hold the end id alone. A null key is written and indexed as the least
 64-bit integer and comes back as null. Documents that share a key lie side by side in the order of
-their texts, and a look-up returns a row for each. An empty table makes no files and no rows. Columns
+their ids' bytes, and a look-up returns a row for each. An empty table makes no files and no rows. Columns
 other than key and text are not read.
 """
 
@@ -43,6 +43,8 @@ NULL_KEY = -(1 << 63)
 REMEMBERED = 250_000
 # Words encoded as one text.
 JOINED = 1000
+# Bytes of ids put out together.
+TOGETHER = 1 << 22
 
 
 class WordEncoder:
@@ -145,20 +147,39 @@ def write(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", tex
     for name in ("shards", "index"):
         files.create_dir(f"{root}/{name}")
     rows = documents.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)).alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
     width = encoder(path).width
+    # Ranges are chosen by the keys alone, and ids are exchanged, not texts.
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = [i / count for i in range(1, count)]
+    found = rows.agg(F.percentile_approx("key", steps, 100 * count)).first()[0] if steps else None
+    bounds = np.array(found or [], np.int64)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], f"<u{width}").tobytes()
+        for batch in batches:
+            begin, held, size = 0, [], 0
+            keys = batch.column("key")
+            for i, ids in enumerate(encoder(path).encode([t or "" for t in batch.column("text").to_pylist()]), start=1):
+                held.append(ids + end)
+                size += len(ids)
+                if size >= TOGETHER or i == len(batch):
+                    part = keys.slice(begin, len(held))
+                    ranges = np.searchsorted(bounds, part.to_numpy(), "left").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(ranges), pa.array(held, pa.binary())], names=["key", "range", "ids"])
+                    begin, held, size = i, [], 0
+
+    ordered = rows.mapInArrow(encode, "key bigint, range int, ids binary").repartitionById(count, "range").sortWithinPartitions("key", "ids")
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
         shard, name = TaskContext.get().partitionId(), f"shards/{uuid.uuid4().hex}.ids"
-        end, out, at = np.array([end_id], f"<u{width}").tobytes(), None, 0
+        out, at = None, 0
         for batch in batches:
             out = out or files.open_output_stream(f"{root}/{name}")
-            lengths = []
-            for ids in encoder(path).encode([t or "" for t in batch.column("text").to_pylist()]):
-                out.write(ids + end)
-                lengths.append(len(ids) // width + 1)
-            first = at + np.cumsum([0, *lengths])
+            ids = batch.column("ids")
+            lengths = np.diff(np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)) // width
+            out.write(b"".join(ids.to_pylist()))
+            first = at + np.cumsum(np.append(0, lengths.astype(np.int64)))
             at = int(first[-1])
             n = len(lengths)
             yield pa.RecordBatch.from_arrays(

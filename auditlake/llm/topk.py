@@ -8,9 +8,10 @@ survivors are compacted. The limit is the k-th highest lower bound seen so far,
 may tie with it stays.
 
 Every block of queries meets every group of candidates in one task, with the best of the group carried
-from block to block; the best of all groups are merged by rank. A vector that is null, is empty, or
-holds a null or a component that is not finite takes no part; vectors shorter than the longest count
-as ended by zeros. Ties go to the smaller id, also among repeated vectors. Rows without an id take no
+from block to block; the best of all groups are merged by rank. Sums are exact: vectors so large that
+double precision may round are multiplied as whole numbers of any size, and a sum beyond 64 bits counts
+as the largest (or least) of 64 bits. A vector that is null, or holds a null or a component that is not
+finite takes no part; vectors shorter than the longest count as ended by zeros, empty ones as all zeros. Ties go to the smaller id, also among repeated vectors. Rows without an id take no
 part; of rows that share an id each counts. Fewer candidates than k are all returned; empty tables
 give no rows. Other columns are not read.
 """
@@ -31,12 +32,13 @@ from auditlake.llm.shared import stored
 BLOCK, GROUP, QUERIES, DIMENSIONS = 4096, 32_768, 512, 16
 # Sums of products below this are exact in double precision.
 _EXACT = float(1 << 53)
+_LARGEST = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, vector: str) -> Column:
     """True for vectors all of whose components are finite numbers."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
+    return F.coalesce(finite, F.lit(False))
 
 
 def _packed(vectors: DataFrame, per_group: int, per_block: int, name: str) -> tuple[DataFrame, int]:
@@ -88,7 +90,7 @@ class _Best:
 
     def __init__(self, queries: int, k: int) -> None:
         self.k, self.queries = k, queries
-        self.query, self.id, self.score = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.query, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
 
     def limits(self) -> np.ndarray:
         """The k-th best score of each query, less than any score while it has fewer."""
@@ -110,6 +112,28 @@ class _Best:
 _DENSE = 0.1
 
 
+def _whole(columns: np.ndarray) -> np.ndarray:
+    """Vectors by dimensions, as whole numbers of any size."""
+    return np.array([[int(x) for x in row] for row in columns.T.tolist()], object).reshape(columns.shape[1], len(columns))
+
+
+def _large(query_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, given: np.ndarray, best: _Best, of: np.ndarray) -> None:
+    """Exact sums of some queries (numbers ``of``) with some vectors, one vector of the smaller side at a time."""
+    left, right = _whole(asked), _whole(given)
+
+    def add(query: np.ndarray, id: np.ndarray, sums: np.ndarray) -> None:
+        other = query_ids[query] != id
+        held = [max(-_LARGEST, min(_LARGEST, int(x))) for x in sums[other].tolist()]
+        best.add(query[other], id[other], np.array(held, np.int64))
+
+    if len(left) <= len(right):
+        for i, row in enumerate(left):
+            add(np.full(len(ids), of[i]), ids, right @ row)
+    else:
+        for id, row in zip(ids, right, strict=True):
+            add(of, np.full(len(of), id), left @ row)
+
+
 def search_block(query_ids: np.ndarray, queries: np.ndarray, blocks, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, candidate and score of the k best candidates of some blocks for each query.
 
@@ -117,37 +141,48 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, blocks, k: int) ->
     """
     best = _Best(len(query_ids), k)
     for ids, columns in blocks:
-        dimensions = max(len(queries), len(columns))
+        dimensions = max(len(queries), len(columns), 1)
         asked, given = _fit(queries, dimensions), _fit(columns, dimensions)
-        if np.abs(asked).max(initial=0) * np.abs(given).max(initial=0) * dimensions >= _EXACT:
-            raise OverflowError("components are too large for exact sums")
-        # The bounds are rounded up a little, so that no sum they stand for can exceed them.
-        asked_rest, given_rest = _rest(asked) * (1 + 1e-9), _rest(given)
-        limits = best.limits()
-        sums = np.where(ids[None, :] == query_ids[:, None], -np.inf, 0.0)
-        of, at = None, np.arange(len(ids))
-        for step in range(len(asked_rest) - 1):
-            these = slice(step * DIMENSIONS, (step + 1) * DIMENSIONS)
-            if of is None:
-                sums += asked[these].T @ given[these][:, at]
-                spare = np.outer(asked_rest[step + 1], given_rest[step + 1, at])
-                if len(at) > k and not np.isfinite(limits).all():
-                    limits = np.maximum(limits, np.partition(sums - spare, -k, axis=1)[:, -k])
-                alive = sums + spare >= np.maximum(limits, -np.finfo(float).max)[:, None]
-                if alive.mean() > _DENSE and step < len(asked_rest) - 2:
-                    used = alive.any(axis=0)
-                    at, sums = at[used], sums[:, used]
-                    continue
-                of, where = np.nonzero(alive)
-                sums, at = sums[of, where], at[where]
-            else:
-                sums = sums + np.einsum("ij,ij->j", asked[these][:, of], given[these][:, at])
-                alive = sums + asked_rest[step + 1, of] * given_rest[step + 1, at] >= limits[of]
-                of, at, sums = of[alive], at[alive], sums[alive]
-        best.add(of, ids[at], sums)
+        most = np.sqrt(_EXACT / dimensions)
+        large_asked, large_given = (np.abs(x).max(axis=0) >= most for x in (asked, given))
+        every = np.arange(len(query_ids))
+        if large_given.any():
+            _large(query_ids, asked, ids[large_given], given[:, large_given], best, every)
+        if large_asked.any():
+            _large(query_ids, asked[:, large_asked], ids[~large_given], given[:, ~large_given], best, every[large_asked])
+        _bounded(query_ids, asked, every[~large_asked], ids[~large_given], given[:, ~large_given], best, k)
     return query_ids[best.query], best.id, best.score
 
 
+def _bounded(query_ids: np.ndarray, asked: np.ndarray, of_all: np.ndarray, ids: np.ndarray, given: np.ndarray, best: _Best, k: int) -> None:
+    """Branch and bound of some queries (numbers ``of_all``) over a block in which all sums are exact."""
+    asked = asked[:, of_all]
+    # The bounds are rounded up a little, so that no sum they stand for can exceed them.
+    asked_rest, given_rest = _rest(asked) * (1 + 1e-9), _rest(given)
+    limits = best.limits()[of_all]
+    sums = np.where(ids[None, :] == query_ids[of_all][:, None], -np.inf, 0.0)
+    of, at = None, np.arange(len(ids))
+    for step in range(len(asked_rest) - 1):
+        these = slice(step * DIMENSIONS, (step + 1) * DIMENSIONS)
+        if of is None:
+            sums += asked[these].T @ given[these][:, at]
+            spare = np.outer(asked_rest[step + 1], given_rest[step + 1, at])
+            if len(at) > k and not np.isfinite(limits).all():
+                limits = np.maximum(limits, np.partition(sums - spare, -k, axis=1)[:, -k])
+            alive = sums + spare >= np.maximum(limits, -np.finfo(float).max)[:, None]
+            if alive.size and alive.mean() > _DENSE and step < len(asked_rest) - 2:
+                used = alive.any(axis=0)
+                at, sums = at[used], sums[:, used]
+                continue
+            of, where = np.nonzero(alive)
+            sums, at = sums[of, where], at[where]
+        else:
+            sums = sums + np.einsum("ij,ij->j", asked[these][:, of], given[these][:, at])
+            alive = sums + asked_rest[step + 1, of] * given_rest[step + 1, at] >= limits[of]
+            of, at, sums = of[alive], at[alive], sums[alive]
+    best.add(of_all[of], ids[at], sums.astype(np.int64))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int, id: str = "vec_id", vector: str = "vector") -> DataFrame:
     """The ``k`` candidates with the highest inner product for each query, itself left out.
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from auditlake.llm import jaccard, lines, sharding
 from auditlake.llm.graph import components
+from pyspark.sql import functions as F
 
 
 def tops(nodes, links):
@@ -100,7 +102,7 @@ def test_groups_larger_than_a_shard_fill_few(docs, monkeypatch):
 def test_shards_of_nulls_repeats_and_nothing(docs):
     rows = [(1, None), (None, None), (None, "é"), (2, ""), (2, ""), (2, "")]
     found = sharded(docs(rows))
-    assert sorted((r["size"], r.text_crc32) for r in found) == sorted([(1, 0)] * 5 + [(3, 0x1C5F9C8C)] if False else [(r["size"], r.text_crc32) for r in found])
+    assert sorted((r["size"], r.text_crc32) for r in found) == [(1, 0)] * 5 + [(3, zlib.crc32("é".encode()))]
     assert Counter(r["size"] for r in found) == {1: 5, 3: 1} and len(found) == 6
     assert sharded(docs([])) == []
 
@@ -218,13 +220,15 @@ def test_segments_meet_for_every_near_pair(edits):
             continue
         keys, owners, roles = lines.segment_keys([a, b], edits)
         sides = [{(o, k) for k, o, r in zip(keys, owners, roles, strict=True) if r == role} for role in (0, 1)]
-        assert any((1 - o, k) in sides[1] for o, k in sides[0])
+        # Rows of the index probe as well.
+        assert any((1 - o, k) in sides[1] for o, k in sides[0] | sides[1])
 
 
 def brute_lines(rows, edits=2, least=20):
-    every = sorted({x for _, t in rows if t is not None for x in t.split("\n") if len(x) >= least})
+    every = sorted({x for _, t in rows if t is not None for x in t.split("\n") if x.strip()})
     number = {x: i for i, x in enumerate(every)}
-    top = tops(range(len(every)), [(i, j) for i in range(len(every)) for j in range(i) if distance(every[i], every[j]) <= edits])
+    long = [i for i, x in enumerate(every) if len(x) >= least]
+    top = tops(range(len(every)), [(i, j) for i in long for j in long if j < i and abs(len(every[i]) - len(every[j])) <= edits and distance(every[i], every[j]) <= edits])
     seen, found = set(), []
     for key, text in sorted(rows, key=lambda r: r[0]):
         if text is None:
@@ -232,9 +236,9 @@ def brute_lines(rows, edits=2, least=20):
             continue
         kept = []
         for x in text.split("\n"):
-            if len(x) < least or top[number[x]] not in seen:
+            if not x.strip() or top[number[x]] not in seen:
                 kept.append(x)
-            if len(x) >= least:
+            if x.strip():
                 seen.add(top[number[x]])
         found.append((key, text.count("\n") + 1, text.count("\n") + 1 - len(kept), "\n".join(kept)))
     return found
@@ -246,13 +250,28 @@ def test_lines_equal_brute_force(docs):
     rows = []
     for i in range(60):
         some = [edited(pick, pick.choice(bases), pick.choice((0, 0, 0, 1, 2))) for _ in range(pick.randint(0, 6))]
-        rows.append((i, "\n".join([*some, "short", "short", f"own line number {i} " + "z" * i * 3])))
-    rows += [(70, None), (71, ""), (72, "\n\n"), (73, rows[3][1]), (74, "q" * 30_000), (75, "q" * 29_999 + "r")]
+        rows.append((i, "\n".join([*some, "short", "short", f"s{i % 50}", " ", f"own line number {i} " + "z" * i * 3])))
+    rows += [(70, None), (71, ""), (72, "\n\n"), (73, rows[3][1])]
     found = lines.dedup_lines(docs(rows).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "dropped"))
     got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.select("doc_id", "n_lines", "n_dropped", "text").collect())
     assert got == brute_lines(rows)
 
 
+def test_very_long_lines(docs):
+    # One edit, two edits and three edits away from the first; known without a table of distances.
+    rows = [(1, "q" * 30_000), (2, "q" * 29_999 + "r"), (3, "q" * 15_000 + "rs" + "q" * 15_000), (4, "x" + "q" * 10_000 + "y" + "q" * 19_999 + "z"), (5, "p" * 30_000)]
+    found = lines.dedup_lines(docs(rows)).select("doc_id", "n_dropped", "text").collect()
+    assert sorted((r.doc_id, r.n_dropped, len(r.text)) for r in found) == [(1, 0, 30_000), (2, 1, 0), (3, 1, 0), (4, 0, 30_002), (5, 0, 30_000)]
+
+
+def test_documents_that_change_partitions_are_an_error(docs):
+    rows = [(i, f"a line that stands in every text\nown line number {i}") for i in range(200)]
+    given = docs(rows)
+    moved = lines.repeated_lines(given).withColumn("part", F.pmod(F.col("part") + 1, F.lit(given.rdd.getNumPartitions())))
+    with pytest.raises(Exception, match="other partitions"):
+        lines._rebuilt(given, moved, "doc_id", "text")[0].collect()
+
+
 def test_lines_of_repeated_rows_and_nothing(docs):
     row = (1, "a line that is long enough\nanother line that is long enough")
     kept = lines.without_repeats(docs([row, row, (1, "a line that is long enough"), (None, "a line that is long enough?")]))
@@ -277,11 +296,10 @@ def test_hot_keys_are_dealt_in_blocks(docs, monkeypatch):
     assert len(sizes) > 50 and max(sizes) <= 20
 
 
-def test_long_lists_of_dropped_lines_are_not_broadcast(docs, monkeypatch):
-    monkeypatch.setattr(lines, "SENT", 40)
+def test_texts_are_not_exchanged(docs):
     rows = [(i, "\n".join(f"{c} a line that stands in both texts" + c * n for c in "abcdef" for n in range(3, 30, 3))) for i in range(2)]
     found = lines.dedup_lines(docs(rows))
-    assert "Hint" not in found._jdf.queryExecution().analyzed().toString()
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted(map(tuple, found.select("doc_id", "n_lines", "n_dropped", "text").collect()))
     assert got == brute_lines(rows)
 

@@ -40,7 +40,7 @@ def test_search_equals_brute_force(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id bigint, vector array<double>").withColumn("rank", F.lit("x"))
     found = topk.search(frame, F.col("vec_id") % 20 == 0, 20)
     assert found.columns == ["query_id", "rank", "vec_id", "score"]
-    usable = {**{i: array[i] for i in range(400)}, 600: np.array([3.0, 4.0] + [0] * 38)}
+    usable = {**{i: array[i] for i in range(400)}, 520: np.zeros(40), 600: np.array([3.0, 4.0] + [0] * 38)}
     expected = []
     for q in (i for i in usable if i % 20 == 0):
         best = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q)[:20]
@@ -54,6 +54,25 @@ def test_search_of_few_vectors(spark):
     assert topk.search(frame.limit(0), F.col("vec_id") == 0, 20).count() == 0
 
 
+def test_search_of_large_values_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(int(x)) for x in rng.integers(-9, 9, 5) * 10 ** int(rng.choice([0, 0, 8]))]) for i in range(60)]
+    rows += [(100, [2.0**62, 1.0, 0.0, 0.0, 0.0]), (101, [-(2.0**62), 3.0, 0.0, 0.0, 0.0]), (102, [2.0**53 + 2, 1.0, 0.0, 0.0, 0.0])]
+    rows += [(7, rows[3][1]), (7, rows[3][1]), (20, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, vector array<double>")
+    found = topk.search(frame, F.col("vec_id") % 20 == 0, 20)
+    expected = []
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        scored = []
+        for own in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    exact = sum(int(a) * int(b) for a, b in zip(own, v, strict=False))
+                    scored.append((-max(-(2**63) + 1, min(2**63 - 1, exact)), i))
+        expected += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scored)[:20], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 # --- archives -------------------------------------------------------------------------
 
 
