@@ -25,6 +25,7 @@ import string
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,19 +33,34 @@ from pyspark.sql import types as T
 from auditlake.llm.shared import bounded, stored
 
 # Where pieces end, what stands between words, the language of rows that name none.
-PIECES, BLANKS, UNKNOWN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+", "und"
+PIECES, BLANKS, UNKNOWN = ".,;:!?\x0a\x0b\x0c\x0d", "\x20\x09", "und"
 # The limit starts at the score of the pair of this rank, in lists, and goes down by as many ranks each time.
 FRONTIER, WIDER = 2, 8
 # Scores are parts of so many.
 WHOLE = 1_000_000
 
 
+# Every end of a piece as a line feed, every blank as a space, A to Z as a to z; other bytes of UTF-8 stay.
+_PLAIN = bytes.maketrans(
+    (PIECES + BLANKS + string.ascii_uppercase).encode(), ("\n" * len(PIECES) + " " * len(BLANKS) + string.ascii_lowercase).encode()
+)
+
+
+@F.arrow_udf(T.StringType())
+def plain(text: pa.Array) -> pa.Array:
+    """Texts with one sign for every end of a piece and one for every blank, byte for byte."""
+    text = text.cast(pa.string())
+    valid, offsets, data = text.buffers()
+    changed = pa.py_buffer((data.to_pybytes() if data else b"").translate(_PLAIN))
+    return pa.Array.from_buffers(pa.string(), len(text), [valid, offsets, changed], text.null_count, text.offset)
+
+
 def _pieces(documents: DataFrame, lang: str, text: str) -> DataFrame:
     """``(lang, words)``: the words of every piece that has any."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    pieces = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(lowered, PIECES)).alias("piece"))
-    words = F.split(F.regexp_replace("piece", r"^[\x20\x09]+|[\x20\x09]+$", ""), BLANKS)
-    return pieces.select("lang", words.alias("words")).filter("words[0] <> ''")
+    pieces = documents.select(
+        F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(plain(text), "\n")).alias("piece")
+    )
+    return pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).filter(F.size("words") > 0)
 
 
 def _runs(pieces: DataFrame, words: int) -> DataFrame:
@@ -54,6 +70,15 @@ def _runs(pieces: DataFrame, words: int) -> DataFrame:
     return pieces.select("lang", F.inline(zipped)).toDF("lang", *(f"w{i}" for i in range(1, words + 1)))
 
 
+def _counted(runs: DataFrame, words: int) -> DataFrame:
+    """How often each run stands in its language. Words hold no space, so that one string is key enough."""
+    names = [f"w{i}" for i in range(1, words + 1)]
+    key = F.concat_ws(" ", *(F.coalesce(w, F.lit("")) for w in names), "lang")
+    counted = runs.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("a"))
+    parts = counted.select(F.split("key", " ", words + 1).alias("parts"), "a")
+    return parts.select(F.col("parts")[words].alias("lang"), *(F.nullif(F.col("parts")[i], F.lit("")).alias(w) for i, w in enumerate(names)), "a")
+
+
 @F.pandas_udf(T.LongType())
 def share(a: pd.Series, l: pd.Series, r: pd.Series) -> pd.Series:  # noqa: E741
     """``a`` squared over ``l`` times ``r`` in millionths, rounded down, in integers of any size."""
@@ -70,7 +95,7 @@ class Counts:
     """What pairs alone tell: counts of words, and every pair that stands often enough."""
 
     def __init__(self, pieces: DataFrame, least: int) -> None:
-        pairs = stored(_runs(pieces, 2).groupBy("lang", "w1", "w2").agg(F.count("*").alias("a")), "pairs")
+        pairs = stored(_counted(_runs(pieces, 2), 2), "pairs")
         self.totals = stored(pairs.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
         words = pairs.groupBy("lang", "w1").agg(F.sum("a").alias("f")).filter(F.col("f") >= least)
         self.words = stored(words.withColumnRenamed("w1", "w"), "words")
@@ -101,7 +126,7 @@ def _triples(pieces: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     runs = _runs(pieces, 3).filter("w3 IS NOT NULL")
     grown, sent = bounded(stored(grown, "grown"), "lang", "w1", "w2", told=True)
     ending, sent_too = bounded(stored(ending, "endings"), "lang", "w2", "w3", told=True)
-    counted = lambda rows: rows.groupBy("lang", "w1", "w2", "w3").agg(F.count("*").alias("a")).filter(F.col("a") >= least)
+    counted = lambda rows: _counted(rows, 3).filter(F.col("a") >= least)
     open_ = lambda rows: rows.join(grown, ["lang", "w1", "w2"], "left").join(ending, ["lang", "w2", "w3"], "left").filter("_grown OR _ending")
     # Sent nodes thin the runs out before they are exchanged; a join by exchange comes after the counts.
     return counted(open_(runs)) if sent and sent_too else open_(counted(runs)).select("lang", "w1", "w2", "w3", "a")
