@@ -1,7 +1,8 @@
 """Targets from file trees.
 
 ``read_tree`` reads every file of a tree, also the ones whose names begin with
-a dot or an underscore, which Spark's file sources leave out. A root is a path
+a dot or an underscore, which Spark's file sources leave out. Folders are listed
+in rounds of tasks, and globs cut the walk short where they can. A root is a path
 that is mounted on the executors, or the address of a store that ``pyarrow.fs``
 opens there (``hdfs://``, ``s3://``, ``gs://``, ``file://``); tasks list and read
 it. ``read_binary`` is Spark's own source, for any file system Spark knows but
@@ -12,182 +13,29 @@ followed, and with contents read before paths are filtered.
 from __future__ import annotations
 
 import os
-import re
-import stat
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from functools import partial, reduce
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from auditlake.functions import text
+from auditlake.functions.prune import Pruner
 from auditlake.model import FILE, REFERENCE, ScanOptions
-from auditlake.operators.paths import EXCLUDED_NAMES, wanted_path
+from auditlake.operators.paths import wanted_path
+from auditlake.sources import walk
 from auditlake.sources.tables import file_metadata, with_longest_line
+from auditlake.sources.walk import Root, store_of
 
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:/")
-LISTING_SCHEMA = "path string, size bigint"
 # Bytes of file content one task hands to Spark at a time.
 _BATCH_BYTES = 32 * 1024 * 1024
-# Directories the driver lists at most before tasks walk on from there.
-_FRONTIER = 256
-# Entries the driver holds at most of one folder, and about that many in all.
-_DRIVER_FILES = 100_000
-
-
-@dataclass(frozen=True)
-class Entry:
-    """A name in a folder; only stores know the size without another look."""
-
-    name: str
-    path: str
-    is_folder: bool
-    size: int | None = None
-
-
-def _store(root: str) -> tuple[fs.FileSystem, str] | None:
-    """File system and path of an address; ``None`` for a mounted path."""
-    return fs.FileSystem.from_uri(root) if _SCHEME.match(root) else None
-
-
-def _entries(folder: str, store: fs.FileSystem | None = None) -> Iterator[Entry]:
-    """What lies in a folder; nothing if it cannot be read."""
-    try:
-        if store is not None:
-            for info in store.get_file_info(fs.FileSelector(folder)):
-                yield Entry(info.base_name, info.path, info.type == fs.FileType.Directory, info.size)
-            return
-        with os.scandir(folder) as found:
-            for entry in found:
-                yield Entry(entry.name, entry.path, entry.is_dir(follow_symlinks=False))
-    except OSError:
-        return
-
-
-def _file_row(path: str, follow: bool) -> tuple[str, int] | None:
-    """Path and size of a regular file; ``None`` for what is not read."""
-    try:
-        info = os.lstat(path)
-        if stat.S_ISLNK(info.st_mode):
-            if not follow:
-                return None
-            info = os.stat(path)
-        return (path, info.st_size) if stat.S_ISREG(info.st_mode) else None
-    except OSError:
-        return None
-
-
-class _Part(InputPartition):
-    """Files to be looked up and folders to be walked."""
-
-    def __init__(self, files: list[str], folders: list[str]):
-        super().__init__(None)
-        self.files = files
-        self.folders = folders
-
-
-class TreeListingReader(DataSourceReader):
-    def __init__(self, root: str, follow: bool):
-        self.root = root
-        self.follow = follow
-
-    def _opened(self) -> tuple[fs.FileSystem | None, str]:
-        found = _store(self.root)
-        return found if found else (None, self.root)
-
-    def partitions(self) -> list[_Part]:
-        store, root = self._opened()
-        if os.path.basename(root) in EXCLUDED_NAMES:
-            return [_Part([], [])]
-        if store is not None:
-            if store.get_file_info(root).type != fs.FileType.Directory:
-                return [_Part([root], [])]
-        elif not os.path.isdir(root) or os.path.islink(root):
-            return [_Part([root], [])]
-        files: list[str] = []
-        folders, left = [root], []
-        while folders and len(folders) < _FRONTIER and len(files) < _DRIVER_FILES:
-            below: list[str] = []
-            for folder in folders:
-                listed = self._list(folder, store) if len(files) < _DRIVER_FILES else None
-                if listed is None:
-                    left.append(folder)
-                    continue
-                files.extend(listed[0])
-                below.extend(listed[1])
-            folders = below
-        return self._parts(files, folders + left)
-
-    @staticmethod
-    def _list(folder: str, store: fs.FileSystem | None) -> tuple[list[str], list[str]] | None:
-        """Files and folders of a folder; ``None`` if it is too wide for the driver."""
-        files: list[str] = []
-        folders: list[str] = []
-        for entry in _entries(folder, store):
-            if entry.name in EXCLUDED_NAMES:
-                continue
-            (folders if entry.is_folder else files).append(entry.path)
-            if len(files) + len(folders) > _DRIVER_FILES:
-                return None
-        return files, folders
-
-    @staticmethod
-    def _parts(files: list[str], folders: list[str]) -> list[_Part]:
-        parts = [_Part(files[i:i + 10_000], []) for i in range(0, len(files), 10_000)]
-        return parts + [_Part([], [f]) for f in folders] or [_Part([], [])]
-
-    def _row(self, store: fs.FileSystem | None, path: str) -> tuple[str, int] | None:
-        if store is None:
-            return _file_row(path, self.follow)
-        info = store.get_file_info(path)
-        return (path, info.size) if info.type == fs.FileType.File else None
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        store, _ = self._opened()
-        for path in partition.files:
-            row = self._row(store, path)
-            if row:
-                yield row
-        folders = list(partition.folders)
-        while folders:
-            for entry in _entries(folders.pop(), store):
-                if entry.name in EXCLUDED_NAMES:
-                    continue
-                if entry.is_folder:
-                    folders.append(entry.path)
-                    continue
-                known = store is not None and entry.size is not None
-                row = (entry.path, entry.size) if known else self._row(store, entry.path)
-                if row:
-                    yield row
-
-
-class TreeListing(DataSource):
-    """Path and size of every file below a root, hidden ones included.
-
-    Folders with an excluded name are not entered. Contents are not read here,
-    so that filters on paths and sizes come first.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "auditlake_listing"
-
-    def schema(self) -> str:
-        return LISTING_SCHEMA
-
-    def reader(self, schema) -> TreeListingReader:
-        follow = self.options.get("followSymlinks", "false").lower() == "true"
-        return TreeListingReader(self.options["path"].rstrip("/") or "/", follow)
 
 
 def _checked(root: str) -> str:
     """A root as tasks open it: an address, or an absolute path; one that is not there is an error."""
-    found = _store(root)
+    found = store_of(root)
     if found:
         store, path = found
         if store.get_file_info(path).type == fs.FileType.NotFound:
@@ -198,26 +46,42 @@ def _checked(root: str) -> str:
     return os.path.abspath(root)
 
 
-def list_tree(spark: SparkSession, root: str, follow_symlinks: bool = False) -> DataFrame:
-    """One row per file below ``root``.
+def _spelling(root: str, opened: str) -> str:
+    """The root as a walk spells it."""
+    store = store_of(opened)
+    return store[1].rstrip("/") if store else os.path.normpath(root)
+
+
+def root_of(root: str, options: ScanOptions | None = None) -> Root:
+    """A root for ``walk.walk``, with the globs that may cut the walk short."""
+    opened = _checked(root)
+    if options is None:
+        return Root(opened)
+    pruner = Pruner(options.excludes, options.includes, options.mode)
+    return Root(opened, _spelling(root, opened) if options.mode == REFERENCE else None, pruner)
+
+
+def list_tree(
+    spark: SparkSession, root: str, follow_symlinks: bool = False, options: ScanOptions | None = None
+) -> DataFrame:
+    """One row per file below ``root``, without folders that the globs of ``options`` cut off.
 
     ``path`` is where tasks read it, ``name`` the path from the root's base
     name, ``below`` the one below the root, and ``spelt`` the path as a walk
-    from the root as it was given spells it.
+    from the root as it was given spells it. The folders are listed at once
+    (see ``sources.walk``), files are looked up when the rows are read.
     """
-    opened = _checked(root)
-    spark.dataSource.register(TreeListing)
-    listing = (
-        spark.read.format("auditlake_listing")
-        .option("followSymlinks", str(follow_symlinks).lower())
-        .load(opened)
-    )
-    store = _store(opened)
+    start = root_of(root, options)
+    return _named(walk.files(walk.walk(spark, start), start, follow_symlinks), root, start.opened)
+
+
+def _named(listing: DataFrame, root: str, opened: str) -> DataFrame:
+    store = store_of(opened)
     top = (store[1] if store else opened).rstrip("/")
     base = os.path.basename(top)
     # A root that is a file is its own only entry.
     below = F.expr(f"if(length(path) = {len(top)}, {_sql(base)}, substr(path, {len(top) + 2}))")
-    given = os.path.normpath(root) if not store else top
+    given = _spelling(root, opened)
     spelt = F.expr(f"substr(path, {len(top) + 2})") if given == "." else F.concat(
         F.lit(given), F.expr(f"substr(path, {len(top) + 1})")
     )
@@ -237,7 +101,7 @@ def _read_files(root: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataF
     paths: list[str] = []
     sizes: list[int] = []
     bodies: list[bytes] = []
-    held, store = 0, _store(root)
+    held, store = 0, store_of(root)
 
     def flush() -> pd.DataFrame:
         return pd.DataFrame({"path": paths, "size": sizes, "content": bodies})
@@ -284,7 +148,7 @@ def read_tree(
     for root in roots:
         tried = F.col("spelt" if reference else "below")
         wanted = wanted_path(F.col("name"), options.excludes, options.includes, options.mode, tried)
-        listed = list_tree(spark, root, follow_symlinks)
+        listed = list_tree(spark, root, follow_symlinks, options)
         kept = listed.filter(wanted & (F.col("size") <= options.max_file_bytes))
         shown = F.col("spelt" if reference else "path").alias("shown")
         spread = kept.select("path", shown, "size").repartition(readers, "path")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from auditlake.functions.prune import Pruner
 from auditlake.model import ScanOptions
 from auditlake.operators.match import find, scan
+from auditlake.operators.paths import wanted_path
 from auditlake.operators.summary import summarize
-from auditlake.sources import tree
+from auditlake.sources import tree, walk
 from auditlake.sources.tables import union_targets
 
 KEY = "AK" + "IA" + "C" * 16
@@ -92,14 +95,61 @@ def test_addresses_are_read_like_mounts(spark, root):
     assert found == {".env", "bad.txt"}
 
 
-def test_listing_is_the_same_however_it_is_split(spark, root, monkeypatch):
+def test_listing_is_the_same_in_many_rounds(spark, root, monkeypatch):
     whole = names(tree.list_tree(spark, root), root)
-    for limit in (0, 3):
-        monkeypatch.setattr(tree, "_FRONTIER", 1)
-        monkeypatch.setattr(tree, "_DRIVER_FILES", limit)
-        reader = tree.TreeListingReader(root, False)
-        rows = [r for part in reader.partitions() for r in reader.read(part)]
-        assert sorted(os.path.relpath(p, root) for p, _ in rows) == whole
+    made = []
+    monkeypatch.setattr(walk, "stored", lambda rows, name, real=walk.stored: made.append(name) or real(rows, name))
+    for step, page in ((0, 1), (3, 2)):
+        monkeypatch.setattr(walk, "STEP", step)
+        monkeypatch.setattr(walk, "PAGE", page)
+        assert names(tree.list_tree(spark, root), root) == whole
+    assert len(made) > 5
+
+
+def test_unreadable_folders_are_counted(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "f").write_text("x")
+    real = walk.entries
+
+    def broken(folder, store=None):
+        if folder.endswith("/a"):
+            raise PermissionError(folder)
+        return real(folder, store)
+
+    monkeypatch.setattr(walk, "entries", broken)
+    rows = list(walk._walk_below(str(tmp_path), walk.Root(str(tmp_path)), None, str(tmp_path)))
+    assert [(kind, os.path.basename(path)) for kind, path, _ in rows] == [("entered", tmp_path.name), ("unreadable", "a")]
+
+
+GLOBS = ("src/**", "**/t/**", "*.go", "deep/*/.b/**", "deep/**/c", "sr*", "src", "**/x", "d**p/x", ".cfg/*", "s?c/t/*", "[a-s]rc/**", "bad[", "**")
+
+
+@pytest.mark.parametrize("mode", ["intent", "reference"])
+def test_pruned_walks_find_what_filters_keep(spark, root, mode):
+    """Every pair of globs, against paths tried one by one."""
+    paths = [n for n in names(tree.list_tree(spark, root), root)]
+    folders = sorted({p.rsplit("/", i)[0] for p in paths for i in range(1, p.count("/") + 1)})
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    keeps = {(kind, g): {r.path for r in frame.filter(wanted_path(F.col("path"), **{kind: (g,)}, mode=mode)).collect()} for g in GLOBS for kind in ("excludes", "includes")}
+    cut = 0
+    for (kind, glob), kept in keeps.items():
+        pruner = Pruner(**{kind: (glob,)}, mode=mode)
+        for folder in folders:
+            if not pruner.enters(folder):
+                cut += 1
+                assert not [p for p in kept if p.startswith(f"{folder}/")], (kind, glob, folder)
+    assert cut > 10
+    assert Pruner(includes=("src/**",), mode=mode).enters("src") and not Pruner(includes=("src/**",), mode=mode).enters("deep")
+    assert not Pruner(excludes=("src/**",), mode=mode).enters("src")
+
+
+def test_cut_folders_are_not_entered(spark, root):
+    for mode, given in (("intent", "src"), ("reference", f"{root}/src")):
+        options = ScanOptions(excludes=(f"{given}/**",), includes=(), mode=mode)
+        start = tree.root_of(root, options)
+        rows = {(r.kind, os.path.relpath(r.path, root)) for r in walk.walk(spark, start).collect()}
+        assert ("cut", "src") in rows and not any(p.startswith("src/") for _, p in rows)
+        assert ("entered", ".") in rows and ("entered", "deep/.a/.b") in rows
 
 
 def test_scan_and_metadata(spark, root):
