@@ -295,7 +295,9 @@ def search(forest: Forest, queries: DataFrame, k: int, id: str = "vec_id", vecto
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 3, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = spread.join(files, "part").groupBy("chunk", "part").applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
+    # Few bytes, but much work: the groups are dealt to tasks by number, not by size.
+    dealt = spread.join(files, "part").repartition(2 * chunks * parts, "chunk", "part")
+    found = dealt.groupBy("chunk", "part").applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

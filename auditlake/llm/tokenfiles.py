@@ -56,11 +56,17 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for held in (self.library, self.plain):
+            held.no_truncation()
+            held.no_padding()
+        # For words that are cut already and in composed form, the rest of the preparation does nothing.
+        self.plain.normalizer = normalizers.Lowercase()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(Regex(r"\s+"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
@@ -78,7 +84,7 @@ class WordEncoder:
         found: list[bytes] = []
         for i in range(0, len(words), JOINED):
             part = words[i : i + JOINED]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
             data = ids.tobytes()
             blank = [classes()[ord(w[0])] == SPACE for w in part]
