@@ -8,7 +8,9 @@ the rule itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions.regex import without_groups
+
 # Rule bits in one signed 64-bit word.
 WORD = 62
 
@@ -25,12 +29,104 @@ def bit(index: int) -> str:
     return f"(get(may_fire, {index // WORD}) & {1 << index % WORD}L) <> 0"
 
 
-def arrow_gate(patterns: Sequence[tuple[int, str, str]], always: int, size: int):
-    """Bits of the rules that may fire, from RE2 over Arrow batches.
+@dataclass(frozen=True)
+class Located:
+    """A rule whose lines are found beside the gate: all its matches or the line itself may be wanted."""
+
+    index: int
+    pattern: str
+    matches: bool = False
+    line: bool = False
+
+
+@dataclass(frozen=True)
+class Blanked:
+    """The rule for tokens that no other rule matches: what others match is blanked out first.
+
+    ``others`` holds pairs of a pattern and of one that keeps it from being blanked on a line, or ``None``.
+    """
+
+    index: int
+    pattern: str
+    others: tuple[tuple[str, str | None], ...]
+
+
+FOUND = "array<struct<rule:int,line_no:int,matches:array<string>,line:string>>"
+_FOUND = pa.list_(pa.struct([
+    ("rule", pa.int32()), ("line_no", pa.int32()), ("matches", pa.list_(pa.string())), ("line", pa.string()),
+]))
+# What a pattern can tell of the text before it; RE2 has no other look behind.
+_LOOKS_BACK = re.compile(r"\\[bBA]|\^|\(\?[a-zA-Z]*m")
+
+
+def lines_of(content: str) -> list[str]:
+    """The lines of a text, as ``functions.text.split_lines`` cuts them."""
+    content = content.removesuffix("\n").removesuffix("\r")
+    return content.replace("\r\n", "\n").split("\n")
+
+
+def all_matches(line: str, pattern: str) -> Iterator[str]:
+    """Every match of a pattern that names its result ``m``, from left to right, in linear time.
+
+    The rest of the line is looked at in place. After the first match the sign before the rest is kept
+    in sight of patterns that look back.
+    """
+    data = line.encode()
+    held, end, at = pa.py_buffer(data), len(data), 0
+    after = rf"(?s:\A.(?:.*?)){pattern}" if _LOOKS_BACK.search(pattern) else pattern
+    while at <= end:
+        begin, tried = at, pattern
+        if at and after is not pattern:
+            begin, tried = at - 1, after
+            while data[begin] & 0xC0 == 0x80:
+                begin -= 1
+        rest = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([begin, end], np.int32)), held])
+        span = pc.extract_regex_span(rest, tried)[0].as_py()
+        if span is None:
+            return
+        start, size = span["m"]
+        yield data[begin + start : begin + start + size].decode()
+        at = begin + start + size
+        if not size:
+            at += 1
+            while at < end and data[at] & 0xC0 == 0x80:
+                at += 1
+
+
+def _line_hits(lines: list[str], rules: Sequence[Located], blanked: Blanked | None) -> Iterator[tuple]:
+    """``(rule, line_no, matches, line)`` of the rules that may fire in a text."""
+    held = pa.array(lines, pa.string())
+    for rule in rules:
+        fires = pc.match_substring_regex(held, rule.pattern).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(fires).tolist():
+            found = list(all_matches(lines[i], f"(?P<m>{without_groups(rule.pattern)})")) if rule.matches else None
+            yield rule.index, i + 1, found, lines[i] if rule.line else None
+    if blanked:
+        fires = pc.match_substring_regex(held, blanked.pattern).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(fires).tolist():
+            rest = pa.array([lines[i]])
+            for pattern, unless in blanked.others:
+                if unless is None or not pc.match_substring_regex(held.slice(i, 1), unless)[0].as_py():
+                    rest = pc.replace_substring_regex(rest, pattern, " ")
+            # The token stands between quotes; the closing one cannot open another.
+            named, tokens, left = blanked.pattern.replace("(", "(?P<m>", 1), [], rest[0].as_py()
+            while (token := next(all_matches(left, named), None)) is not None:
+                tokens.append(token)
+                left = left[left.index(token, 1) + len(token) + 1 :]
+            yield blanked.index, i + 1, tokens, None
+
+
+def arrow_gate(
+    patterns: Sequence[tuple[int, str, str]], always: int, size: int,
+    located: Sequence[Located] = (), blanked: Blanked | None = None,
+):
+    """Bits of the rules that may fire, and the lines of some of them, from RE2 over Arrow batches.
 
     ``patterns`` holds rule index, kind of file (``""`` for any) and RE2 text.
     Rules for any file are first tried together in one pass over the text; only
-    texts with a match are tried against each. Spark bounds each batch by
+    texts with a match are tried against each. Where a ``located`` rule may
+    fire, its lines and matches are found here, as RE2 takes time in proportion
+    to the text whatever it holds. Spark bounds each batch by
     ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
     words = -(-size // WORD)
@@ -41,8 +137,13 @@ def arrow_gate(patterns: Sequence[tuple[int, str, str]], always: int, size: int)
         if kind:
             by_kind.setdefault(kind, []).append((i, p))
     start = [(always >> (WORD * w)) & ((1 << WORD) - 1) for w in range(words)]
+    sought = {rule.index: rule for rule in located}
+    ends = (*sought, *((blanked.index,) if blanked else ()))
+    wanted = np.zeros(words, np.int64)
+    for i in ends:
+        wanted[i // WORD] |= np.int64(1 << i % WORD)
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf(f"struct<bits:array<bigint>,found:{FOUND}>")
     def may_fire(content: pa.Array, kind: pa.Array) -> pa.Array:
         bits = np.tile(np.array(start, dtype=np.int64), (len(content), 1))
 
@@ -60,8 +161,16 @@ def arrow_gate(patterns: Sequence[tuple[int, str, str]], always: int, size: int)
         for name, rules in by_kind.items():
             of_kind = pc.fill_null(pc.equal(kind, name), False)
             mark(np.flatnonzero(of_kind.to_numpy(zero_copy_only=False)), rules)
+        found: list[list] = [[]] * len(content)
+        for row in np.flatnonzero((bits & wanted).any(axis=1)).tolist():
+            text = content[row].as_py()
+            on = [i for i in ends if bits[row, i // WORD] >> i % WORD & 1]
+            hits = _line_hits(lines_of(text), [sought[i] for i in on if i in sought], blanked if blanked and blanked.index in on else None)
+            found[row] = [dict(zip(("rule", "line_no", "matches", "line"), h, strict=True)) for h in hits]
         offsets = pa.array(np.arange(len(content) + 1, dtype=np.int32) * words)
-        return pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1)))
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1))), pa.array(found, _FOUND)], names=["bits", "found"]
+        )
 
     # The optimizer may not copy a filter on the bits, and with it the UDF, down.
     return may_fire.asNondeterministic()

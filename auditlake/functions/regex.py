@@ -107,6 +107,40 @@ def _group(text: str, i: int, flags: frozenset) -> tuple[str, int, frozenset, bo
     return text[i:end + 1], end + 1, inner, text[end] == ":"
 
 
+def without_groups(pattern: str) -> str:
+    """The same RE2 pattern, its groups capturing nothing."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        if pattern.startswith(r"\Q", i):
+            end = pattern.find(r"\E", i)
+            end = len(pattern) if end < 0 else end + 2
+        elif pattern[i] == "\\":
+            end = i + 2
+        else:
+            end = i + 1
+        piece = pattern[i:end]
+        if in_class:
+            # A bracket that comes first, or as part of a named class, does not end it.
+            posix = _POSIX_CLASS.match(pattern, i)
+            if posix:
+                piece, end = posix.group(0), posix.end()
+            in_class = piece != "]"
+        elif piece == "[":
+            in_class = True
+            for first in ("^", "]"):
+                if pattern.startswith(first, end):
+                    piece, end = piece + first, end + 1
+        elif piece == "(":
+            named = next((n for n in ("(?P<", "(?<") if pattern.startswith(n, i)), None)
+            if named:
+                piece, end = "(?:", pattern.index(">", i) + 1
+            elif not pattern.startswith("(?", i):
+                piece = "(?:"
+        out.append(piece)
+        i = end
+    return "".join(out)
+
+
 def compile_in_java(jvm, pattern: str) -> None:
     """Raise ``ValueError`` unless the JVM compiles the Java form of a pattern."""
     try:

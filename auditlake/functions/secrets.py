@@ -39,7 +39,12 @@ def candidates(value: str) -> str:
 
 def random_candidates(value: str) -> str:
     """The candidates whose entropy is above the limit of their alphabet."""
+    return random_ones(candidates(value))
+
+
+def random_ones(tokens: str) -> str:
+    """Those of an array of tokens whose entropy is above the limit of their alphabet."""
     limit = (
         f"CASE WHEN c RLIKE '^[0-9a-f]{{32,}}$' THEN {HEX_ENTROPY}D ELSE {TEXT_ENTROPY}D END"
     )
-    return f"filter({candidates(value)}, c -> {shannon_entropy('c')} > {limit})"
+    return f"filter({tokens}, c -> {shannon_entropy('c')} > {limit})"

@@ -4,8 +4,10 @@ A target goes through these steps inside one stage, without a shuffle:
 
 1. classify it from its path and text;
 2. tell from the whole text which rules may fire (``functions.gate``);
-3. split the text of the few targets left into numbered lines;
-4. try each rule that may fire on those lines, or once on the text;
+3. find the lines of the patterns that may fire, in the gate's own pass (RE2,
+   in time proportional to the text);
+4. for all other rules split the text of the few targets left into numbered
+   lines, and try each rule that may fire on those lines, or once on the text;
 5. build the findings from the rule's fixed fields, a constant array.
 
 The findings of a target are gathered from its own row, so nothing is grouped
@@ -24,6 +26,7 @@ from auditlake.functions.sql import quote, rlike
 from auditlake.model import FILE, FINDING_COLUMNS, INTENT, LONG_LINE_ERROR, REFERENCE, ScanOptions
 from auditlake.operators import classify
 from auditlake.operators.catalog import (
+    ENTROPY_RULE,
     WHOLE_MANIFEST,
     Rule,
     builtin_rules,
@@ -55,6 +58,59 @@ class Matcher:
         """Whether all rules are for files of a kind, so that other texts need no gate."""
         return self.families <= {"docker", "k8s"}
 
+    # --- rules located by the gate ---------------------------------------------
+
+    @property
+    def _located(self) -> list[int]:
+        """Rules for any file whose lines and matches the gate itself finds."""
+        if self.options.gate != "arrow":
+            return []
+        return [
+            i for i, r in enumerate(self.rules)
+            if r.family in ("secret", "custom") and not r.file_types and not r.when
+            and (r.id == ENTROPY_RULE.id or r.pattern is not None and self._text_pattern(r) is not None)
+        ]
+
+    def _located_specs(self) -> tuple[list[gate.Located], gate.Blanked | None]:
+        specs, blanked = [], None
+        for i in self._located:
+            rule = self.rules[i]
+            if rule.id == ENTROPY_RULE.id:
+                named = [r for r in self.rules if r.family == "secret" and r.pattern]
+                if self.options.mode == REFERENCE:
+                    named = [r for r in builtin_rules(REFERENCE) if r.family == "secret"]
+                others = []
+                for cleared in (False, True):
+                    group = [r for r in named if bool(r.unless) == cleared]
+                    if group:
+                        every, unless = ("|".join(f"(?:{p})" for p in x if p) for x in zip(*((r.pattern, r.unless) for r in group), strict=True))
+                        others.append((every, unless or None))
+                blanked = gate.Blanked(i, secrets.CANDIDATE, tuple(others))
+            else:
+                specs.append(gate.Located(i, rule.pattern, rule.match == "masked", rule.match in ("trimmed", "raw") or rule.unless is not None))
+        return specs, blanked
+
+    def _found_hits(self) -> str:
+        """SQL array of hits from what the gate has found."""
+        found = "found"
+        groups: dict[str, list[int]] = {}
+        for i in self._located:
+            rule = self.rules[i]
+            groups.setdefault(rule.match, []).append(i)
+            if rule.id == ENTROPY_RULE.id:
+                some = secrets.random_ones("f.matches")
+                kept = f"named_struct('rule', f.rule, 'line_no', f.line_no, 'matches', {some}, 'line', f.line)"
+                found = f"filter(transform({found}, f -> CASE WHEN f.rule = {i} THEN {kept} ELSE f END), f -> f.rule <> {i} OR size(f.matches) > 0)"
+            if rule.unless:
+                found = f"filter({found}, f -> NOT (f.rule = {i} AND {rlike('f.line', rule.unless)}))"
+        if not groups:
+            return _NO_HITS
+        shown = {"masked": secrets.mask("get(f.matches, 0)"), "trimmed": text.trim_space_sql("f.line"), "raw": "f.line"}
+        cases = " ".join(f"WHEN f.rule IN ({', '.join(map(str, of))}) THEN {shown.get(kind, quote(kind))}" for kind, of in groups.items())
+        every = f"transform(coalesce(f.matches, CAST(array() AS ARRAY<STRING>)), m -> {secrets.mask('m')})"
+        hit = f"named_struct('rule', f.rule, 'line_no', f.line_no, 'match', CASE {cases} END, 'every', {every})"
+        return f"CASE WHEN scanned THEN transform({found}, f -> {hit}) ELSE {_NO_HITS} END"
+
     # --- whole targets -------------------------------------------------------
 
     def _metadata(self, targets: DataFrame) -> tuple[str, ...]:
@@ -106,13 +162,10 @@ class Matcher:
         size = len(self.rules)
         if patterns:
             kind = F.expr("CASE WHEN docker THEN 'docker' WHEN k8s THEN 'k8s' END")
-            content = F.col("content")
-            if self._only_kinds:
-                content = F.when(F.expr("docker OR k8s"), content)
-            may_fire = gate.arrow_gate(patterns, always, size)(content, kind)
-        else:
-            may_fire = gate.builtin_gate(conditions, always, size)
-        return kinds.withColumn("may_fire", may_fire)
+            content = F.when(F.expr("docker OR k8s" if self._only_kinds else "scanned"), F.col("content"))
+            gated = kinds.withColumn("_gate", gate.arrow_gate(patterns, always, size, *self._located_specs())(content, kind))
+            return gated.withColumns({"may_fire": F.col("_gate.bits"), "found": F.col("_gate.found")}).drop("_gate")
+        return kinds.withColumn("may_fire", gate.builtin_gate(conditions, always, size))
 
     @staticmethod
     def _text_pattern(rule: Rule) -> str | None:
@@ -152,18 +205,19 @@ class Matcher:
         return " AND ".join(tests)
 
     def _tried(self) -> str:
-        """SQL condition on the file: its lines are to be looked at."""
+        """SQL condition on the file: its lines are to be looked at, by other means than the gate."""
         tests = [f"(docker OR k8s){self._readable}"] if self.families & {"docker", "k8s"} else []
         words: dict[int, int] = {}
+        located = set(self._located)
         for i, rule in enumerate(self.rules):
-            if rule.family in ("docker", "k8s"):
+            if rule.family in ("docker", "k8s") or i in located:
                 continue
             if rule.file_types:
                 tests.append(f"{self._applies(rule)} AND {gate.bit(i)}")
             else:
                 words[i // gate.WORD] = words.get(i // gate.WORD, 0) | 1 << i % gate.WORD
         tests += [f"scanned AND (get(may_fire, {w}) & {bits}L) <> 0" for w, bits in words.items()]
-        return " OR ".join(f"({t})" for t in tests)
+        return " OR ".join(f"({t})" for t in tests) or "false"
 
     def _may_fire(self, index: int, rule: Rule) -> str:
         tests = [self._applies(rule), gate.bit(index)]
@@ -205,12 +259,17 @@ class Matcher:
         gated = self._gated(kinds)
         if not self.rules:
             return gated.withColumn("hits", F.expr(_NO_HITS))
+        located = set(self._located)
         tried = gated.withColumn("tried", F.expr(self._tried()))
         if drop_clean:
-            tried = tried.filter("tried")
+            tried = tried.filter("tried OR size(found) > 0" if located else "tried")
         lines = F.when(F.col("tried"), text.split_lines(F.col("content")))
-        hits = ", ".join(self._hits(i, r) for i, r in enumerate(self.rules))
-        hits = f"CASE WHEN tried THEN flatten(array({hits})) ELSE {_NO_HITS} END"
+        others = ", ".join(self._hits(i, r) for i, r in enumerate(self.rules) if i not in located)
+        hits = f"CASE WHEN tried THEN flatten(array({others})) ELSE {_NO_HITS} END" if others else _NO_HITS
+        if located:
+            # By rule and line, as without the gate's own hits.
+            found = self._found_hits()
+            hits = f"CASE WHEN tried THEN array_sort(concat({found}, {hits})) ELSE {found} END" if others else found
         return tried.withColumn("lines", lines).withColumn("hits", F.expr(hits))
 
     # --- findings ------------------------------------------------------------

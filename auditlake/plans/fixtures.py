@@ -5,8 +5,14 @@ Credential-shaped text is put together from parts, so that none stands here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from auditlake.functions.session import shared_path
 from auditlake.sources.tables import targets_from_table, union_targets
 
 DOCKER_PATH = """concat('svc/', CAST(p_partkey AS STRING), CASE p_partkey % 3
@@ -192,3 +198,38 @@ def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages(spark, sf_dir),
         conversations(spark, sf_dir),
     )
+
+
+# A folder of very many files, a chain of sixty folders, and folders that globs cut off.
+WIDE_FILE = "concat('wide/', CAST(doc_id AS STRING), '.txt')"
+DEEP_FILE = """concat('deep/', array_join(transform(sequence(0, CAST(c_custkey % 60 AS INT)), i -> CAST(i AS STRING)), '/'),
+ '/c', CAST(c_custkey AS STRING), '.conf')"""
+OLD_FILE = "concat('old', CAST(c_custkey % 7 AS STRING), '/skip/c', CAST(c_custkey AS STRING), '.conf')"
+OTHER_FILE = "concat('other/c', CAST(c_custkey AS STRING), '.conf')"
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write rows ``(path, content)`` as files below a root all executors reach; how many there are."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                store.create_dir(f"{top}/{path.rpartition('/')[0]}")
+                with store.open_output_stream(f"{top}/{path}") as out:
+                    out.write((content or "").encode())
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    written = files.select("path", "content").mapInPandas(put, "files bigint")
+    return written.agg(F.sum("files")).first()[0] or 0
+
+
+def file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Every document and, three times, every customer's text as a file of its own; the root's address."""
+    root = shared_path(spark, "tree")
+    customers, texts = _rows(spark, sf_dir, "customer"), _rows(spark, sf_dir, "documents")
+    files = texts.selectExpr(f"{WIDE_FILE} AS path", "text AS content")
+    for path in (DEEP_FILE, OLD_FILE, OTHER_FILE):
+        files = files.union(customers.selectExpr(f"{path} AS path", f"{SECRET_CONTENT} AS content"))
+    write_files(files, root)
+    return root

@@ -443,6 +443,17 @@ ORACLE: dict[str, str] = {
            ("tree_hidden", "count(*)", "true"), ("tree_globs", "count(*)", "project = 'conf'"),
            ("multiple_roots", "count(*) * CASE WHEN max(project) = 'conf' THEN 2 ELSE 1 END", "true"),
        )},
+    "tree_wide": f"""{_found(DOCUMENTS + ' UNION ALL ' + CONFIGS, _secret_rows(True))}
+ SELECT CASE WHEN starts_with(file_path, 'doc/') THEN 'wide' ELSE 'deep' END AS project, rule_id,
+  count(*) AS findings FROM f GROUP BY ALL""",
+    "tree_pruned": """WITH d AS (SELECT count(*) AS n FROM documents),
+ c AS (SELECT count(*) AS n, max(c_custkey % 60) + 1 AS depth, count(DISTINCT c_custkey % 7) AS old FROM customer)
+ SELECT 'intent' AS mode, 'entered' AS kind, 3 + depth + old AS entries FROM c
+ UNION ALL SELECT 'intent', 'cut', 1 + old FROM c
+ UNION ALL SELECT 'intent', 'file', d.n + c.n FROM d, c
+ UNION ALL SELECT 'reference', 'entered', 3 + depth + 2 * old FROM c
+ UNION ALL SELECT 'reference', 'cut', 1 FROM c
+ UNION ALL SELECT 'reference', 'file', d.n + 2 * c.n FROM d, c""",
     "stream_scan": f"{PLANTED} {SHOW}",
     "stream_counts": f"{PLANTED} SELECT severity, count(*) AS findings FROM f GROUP BY ALL",
     "stream_dedup": """SELECT DISTINCT concat('user/', user_id) AS file_path,

@@ -15,8 +15,9 @@ from auditlake.operators.catalog import catalog, custom_rule
 from auditlake.operators.extend import ColumnScanner, Scanner, find_with
 from auditlake.plans import fixtures
 from auditlake.sinks import common, reports, sarif
+from auditlake.sources import walk
 from auditlake.sources.tables import file_metadata, targets_from_table
-from auditlake.sources.tree import read_tree
+from auditlake.sources.tree import read_tree, root_of
 from auditlake.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,6 +616,29 @@ def multiple_roots(spark, sf_dir):
     return _tree_counts(spark, [root, f"{root}/conf"], excludes=("*.crc",))
 
 
+def tree_wide(spark, sf_dir):
+    """A folder of one file per document and a deep chain of folders."""
+    root = fixtures.file_tree(spark, sf_dir).removeprefix("file:")
+    options = ScanOptions(scanners=("secrets",), entropy=True, includes=("wide/**", "deep/**"), excludes=(), max_file_bytes=1 << 40)
+    found = match.find(read_tree(spark, root, options), options)
+    top = F.element_at(F.split(F.substring(F.col("file_path"), len(root) + 2, 1 << 30), "/"), 1)
+    return _counts(found.withColumn("project", top), "project", "rule_id")
+
+
+def tree_pruned(spark, sf_dir):
+    """What a walk enters, cuts off and finds, in both modes."""
+    root = fixtures.file_tree(spark, sf_dir).removeprefix("file:")
+    chosen = {
+        "intent": ScanOptions(excludes=("**/skip/**",), includes=("deep/**", "wide/*.txt", "old*/**")),
+        REFERENCE: ScanOptions(mode=REFERENCE, excludes=(f"{root}/other**",)),
+    }
+    counted = [
+        walk.counts(walk.walk(spark, root_of(root, options))).select(F.lit(mode).alias("mode"), "kind", "entries")
+        for mode, options in chosen.items()
+    ]
+    return counted[0].unionByName(counted[1])
+
+
 def _arriving(spark, sf_dir, table, base):
     """Rows of a table as a stream of several batches, from files written to a shared folder."""
     rows = fixtures.table(spark, sf_dir, table)
@@ -680,7 +704,7 @@ QUERIES: dict[str, Query] = {
         truncate_text, sarif_results, sarif_github, sarif_rules, sarif_documents, json_rows,
         markdown_rows, table_rows, merge_reports, sarif_merged, sarif_clean, github_documents,
         written_report, written_findings, scan_counters, target_types, repaired_texts, scan_tree,
-        tree_address, tree_hidden, tree_globs, multiple_roots, stream_scan, stream_counts,
+        tree_address, tree_hidden, tree_globs, multiple_roots, tree_wide, tree_pruned, stream_scan, stream_counts,
         stream_dedup,
     )
 }

@@ -95,10 +95,10 @@ def size_of(path: str, follow: bool) -> int | None:
         return None
 
 
-def _walk_below(folder: str, root: Root, store: fs.FileSystem | None, top: str) -> Iterator[tuple[str, str, int | None]]:
+def _walk_below(folder: str, root: Root, store: fs.FileSystem | None, top: str, step: int = STEP) -> Iterator[tuple[str, str, int | None]]:
     left, seen = [folder], 0
     while left:
-        if seen >= STEP:
+        if seen >= step:
             yield from ((OPEN, path, None) for path in left)
             return
         at = left.pop()
@@ -134,11 +134,11 @@ def _paged(rows: Iterator[tuple[str, str, int | None]]) -> Iterator[pa.RecordBat
         yield put()
 
 
-def _listed(root: Root, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(root: Root, step: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     store, top = root.store()
     for batch in batches:
         for folder in batch.column("path").to_pylist():
-            yield from _paged(_walk_below(folder, root, store, top))
+            yield from _paged(_walk_below(folder, root, store, top, step))
 
 
 def _looked_up(follow: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +148,11 @@ def _looked_up(follow: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield found.filter(sizes.is_valid())
 
 
-def walk(spark: SparkSession, root: Root, tasks: int | None = None) -> DataFrame:
-    """``(kind, path, size)`` of all that a walk finds below a root; sizes only where a store knows them."""
+def walk(spark: SparkSession, root: Root, tasks: int | None = None, step: int = STEP) -> DataFrame:
+    """``(kind, path, size)`` of all that a walk finds below a root; sizes only where a store knows them.
+
+    ``step`` is the number of entries below one folder after which a task hands back the rest.
+    """
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     store, top = root.store()
     row = None
@@ -167,7 +170,7 @@ def walk(spark: SparkSession, root: Root, tasks: int | None = None) -> DataFrame
         left = rounds[-1].filter(F.col("kind") == OPEN).select("path")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, rounds).filter(F.col("kind") != OPEN)
-        found = left.repartition(tasks, "path").mapInArrow(partial(_listed, root), LISTING_SCHEMA)
+        found = left.repartition(tasks, "path").mapInArrow(partial(_listed, root, step), LISTING_SCHEMA)
         rounds.append(stored(found, "listing"))
 
 

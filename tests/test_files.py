@@ -99,11 +99,12 @@ def test_listing_is_the_same_in_many_rounds(spark, root, monkeypatch):
     whole = names(tree.list_tree(spark, root), root)
     made = []
     monkeypatch.setattr(walk, "stored", lambda rows, name, real=walk.stored: made.append(name) or real(rows, name))
-    for step, page in ((0, 1), (3, 2)):
-        monkeypatch.setattr(walk, "STEP", step)
-        monkeypatch.setattr(walk, "PAGE", page)
-        assert names(tree.list_tree(spark, root), root) == whole
-    assert len(made) > 5
+    start = tree.root_of(root)
+    for step in (1, 3):
+        listing = walk.walk(spark, start, step=step)
+        assert names(walk.files(listing, start), root) == whole
+        assert {r.kind: r.entries for r in walk.counts(listing).collect()}["entered"] == 9
+    assert len(made) >= 6
 
 
 def test_unreadable_folders_are_counted(spark, tmp_path, monkeypatch):

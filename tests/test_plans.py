@@ -27,7 +27,7 @@ def test_findings_need_no_shuffle_and_one_gate(spark):
     assert "Exchange" not in text and text.count("FileScan") == 1
     assert text.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in text
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
-    assert "PushedFilters: [IsNotNull(text)]" in text or "PushedFilters" in text
+    assert "PushedFilters: []" in text  # a text that is null has no findings, but is a target
 
 
 def test_misconfiguration_scans_gate_only_files_of_a_kind(spark):

@@ -16,7 +16,7 @@ from auditlake.model import LONG_LINE_ERROR, ScanOptions
 from auditlake.operators import paths
 from auditlake.operators.catalog import builtin_rules
 from auditlake.sources.tables import targets_from_table
-from auditlake.operators.match import number_lines, scan
+from auditlake.operators.match import find, number_lines, scan
 
 EDGES = ["", " ", "\t", "\x0b", "\x0c", "\x85", " ", "K", "ſ", "ı", "İ",
          "é", "\r", "_", "-", "x"]
@@ -167,3 +167,48 @@ def test_human_size(spark):
     frame = spark.createDataFrame([(k,) for k in cases], "n bigint")
     got = frame.select("n", F.expr(text.human_size_sql("n"))).collect()
     assert {r[0]: r[1] for r in got} == cases
+
+
+@pytest.mark.parametrize("pattern", [
+    r"(a|b)+", r"(?P<x>a)(?:b)(?i:C)", r"[(\]]+(\()", r"[]()]x(y)", r"[^](a]", r"\Q(a)\E(b)", r"[[:alpha:](]+(é)", r"(?i)(s)k", r"\((a)\)",
+])
+def test_patterns_without_groups(pattern):
+    import re
+
+    texts = ["ab", "(a)b", "(]((", "]y xy", "(a", "(b)", "aé((é", "SK sk", "(a)", "", "x)xy", "]x(y"]
+    plain = regex.without_groups(pattern)
+    assert "(?P<x>" not in plain
+    array = pa.array(texts)
+    assert pc.match_substring_regex(array, plain).to_pylist() == pc.match_substring_regex(array, pattern).to_pylist()
+    # A named group around it is all that captures.
+    pc.extract_regex(array, f"(?P<m>{plain})")
+
+
+def test_all_matches_in_place():
+    from auditlake.functions.gate import all_matches, lines_of
+
+    assert list(all_matches("aé12 é3 x", r"(?P<m>[0-9]+)")) == ["12", "3"]
+    assert list(all_matches("ab ab cab", r"(?P<m>\bab\b)")) == ["ab", "ab"]
+    assert list(all_matches("éab ab", r"(?P<m>\Bb)")) == ["b", "b"]
+    assert list(all_matches("aaa", r"(?P<m>^a)")) == ["a"]
+    assert list(all_matches("ñaa", r"(?P<m>x*)")) == ["", "", "", ""]
+    assert list(all_matches("aXbxc", r"(?P<m>(?i)x)")) == ["X", "x"]
+    for text in ("", "\n", "a", "a\n", "a\r\n", "\r", "a\n\n", "a\r\nb\rc\n"):
+        parts = text.removesuffix("\n").removesuffix("\r").replace("\r\n", "\n").split("\n")
+        assert lines_of(text) == parts
+
+
+def test_hostile_lines_take_time_in_proportion(spark):
+    """A backtracking engine takes the square of the length of such a line."""
+    import time
+
+    token = "gh" + "p_" + "a" * 36
+    seconds = []
+    for size in (1_000_000, 4_000_000):
+        line = "https://hooks." + "slack.com/services/T" + "A" * size + " postgres" + "://" + "a:" * (size // 2) + " " + token
+        frame = spark.createDataFrame([("a.txt", "FILE", line)], "path string, type string, content string")
+        begin = time.perf_counter()
+        found = [(r.rule_id, r.start_line) for r in find(frame, ScanOptions(scanners=("secrets",))).collect()]
+        seconds.append(time.perf_counter() - begin)
+        assert found == [("SEC003", 1)]
+    assert seconds[1] < 10 * max(seconds[0], 1)
