@@ -414,10 +414,11 @@ ORACLE: dict[str, str] = {
  '| ' || severity || ' | ' || rule_id || ' | `' || file_path || ':' || start_line || '` |' AS facts
  FROM o""",
     "table_rows": f"""{NUMBERED} SELECT ordinal,
- '[' || ordinal || '] ' || rpad(severity, 10, ' ') || ' ' || name AS heading,
- '    Rule: ' || rule_id AS rule_line, '    File: ' || file_path || ':' || start_line AS file_line,
- '    Match: ' || CASE WHEN length(match) > 60 THEN left(match, 57) || '...' ELSE match END
+ lpad(ordinal::VARCHAR, 6, ' ') || '  ' || file_path || ' line ' || start_line AS place_line,
+ '        ' || lower(severity) || ' ' || rule_id || ': ' || name AS rule_line,
+ '        seen  ' || CASE WHEN length(match) > 60 THEN left(match, 57) || '...' ELSE match END
   AS match_line FROM o""",
+    "report_file": f"{PLANTED} SELECT t.path, f.id, f.rule_id FROM t LEFT JOIN f ON f.file_path = t.path",
     "merge_reports": f"""{_found(DOCKERFILES + ' UNION ALL ' + CONFIGS, _docker_rows() + _secret_rows())}
  SELECT rule_id, count(*) AS findings FROM f GROUP BY ALL""",
     "sarif_merged": f"""{_found(DOCKERFILES + ' UNION ALL ' + CONFIGS, _docker_rows() + _secret_rows())}
@@ -455,6 +456,9 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT 'reference', 'cut', 1 FROM c
  UNION ALL SELECT 'reference', 'file', d.n + 2 * c.n FROM d, c""",
     "stream_scan": f"{PLANTED} {SHOW}",
+    "stream_summary": f"{SUMMARY} SELECT * FROM m",
+    "stream_tree": f"""{PLANTED} SELECT CAST(regexp_extract(file_path, '[0-9]+') AS BIGINT) AS c_custkey, rule_id,
+ start_line, match FROM f""",
     "stream_counts": f"{PLANTED} SELECT severity, count(*) AS findings FROM f GROUP BY ALL",
     "stream_dedup": """SELECT DISTINCT concat('user/', user_id) AS file_path,
  substring(sha256(concat('user/', user_id, ':1:SEC003')), 1, 16) AS id,

@@ -451,11 +451,23 @@ def table_rows(spark, sf_dir):
     rows = order.numbered(_docker(spark, sf_dir))
     block = F.split(reports.table_section(F.col("ordinal")), "\n")
     return rows.select(
-        "ordinal", block[0].alias("heading"), block[1].alias("rule_line"),
-        block[2].alias("file_line"), block[3].alias("match_line"),
+        "ordinal", block[0].alias("place_line"), block[1].alias("rule_line"), block[2].alias("match_line"),
     )
 
 
+def report_file(spark, sf_dir):
+    """All results as one JSON document in one file, read back line by line: one line holds one result."""
+    path = shared_path(spark, "report")
+    results = match.scan(fixtures.configs(spark, sf_dir), SECRETS)
+    reports.write_report(results, f"{path}/report.json", "json", single=True)
+    lines = spark.read.text(f"{path}/report.json")
+    schema = "target STRUCT<path: STRING>, findings ARRAY<STRUCT<id: STRING, rule_id: STRING>>"
+    found = F.from_json(F.regexp_replace("value", "^,", ""), schema)
+    ends = F.col("value").startswith('{"version"') | (F.col("value") == "]}")
+    read = lines.filter(~ends).select(found.alias("r"))
+    return read.select(F.col("r.target.path").alias("path"), F.inline_outer("r.findings"))
+
+
 def _two_reports(spark, sf_dir):
     def report(found):
         return sarif.sarif_documents(found.withColumn("report", F.lit("r")), "report", size=500)
@@ -688,6 +700,33 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("file_path", "id", "match")
 
 
+def stream_summary(spark, sf_dir):
+    """Totals of all targets, kept while they arrive in four batches."""
+    base = shared_path(spark, "stream")
+    targets = fixtures.everything(spark, sf_dir)
+    targets.repartition(4).write.parquet(f"{base}/in")
+    arriving = stream.stream_table(spark, f"{base}/in", targets.schema, files_per_trigger=1)
+    results = match.scan(arriving, ScanOptions(), ("severity",))
+    stream.write_summary(results, f"{base}/totals", f"{base}/state").awaitTermination()
+    return stream.read_summary(spark, f"{base}/totals")
+
+
+def stream_tree(spark, sf_dir):
+    """Findings of a tree read as a stream: in two runs, with hidden files added between them, and a third that adds nothing."""
+    base = shared_path(spark, "stream")
+    root, log = f"{base}/tree", f"{base}/log"
+    rows = fixtures.table(spark, sf_dir, "customer").select("c_custkey")
+    hidden = "concat('.', CAST(c_custkey % 9 AS STRING), '/', CAST(c_custkey AS STRING), '/.env')"
+    files = rows.selectExpr("c_custkey", f"{hidden} AS path", f"{fixtures.SECRET_CONTENT} AS content")
+    for part in ("c_custkey % 2 = 0", "c_custkey % 2 = 1", "c_custkey < 0"):
+        fixtures.write_files(files.filter(part), root)
+        stream.extend_log(spark, root, log)
+        found = stream.stream_findings(stream.stream_tree(spark, root, log), SECRETS)
+        stream.write_findings(found, f"{base}/out", f"{base}/state").awaitTermination()
+    key = F.element_at(F.split("file_path", "/"), -2).cast("bigint")
+    return spark.read.parquet(f"{base}/out").select(key.alias("c_custkey"), "rule_id", "start_line", "match")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -702,9 +741,9 @@ QUERIES: dict[str, Query] = {
         target_metadata, oversize_lines, finding_ids, scan_summary, scan_summary_reference,
         per_target_results, severity_share, fail_gate, verdict, rules_seen, findings_ranked,
         truncate_text, sarif_results, sarif_github, sarif_rules, sarif_documents, json_rows,
-        markdown_rows, table_rows, merge_reports, sarif_merged, sarif_clean, github_documents,
+        markdown_rows, table_rows, report_file, merge_reports, sarif_merged, sarif_clean, github_documents,
         written_report, written_findings, scan_counters, target_types, repaired_texts, scan_tree,
         tree_address, tree_hidden, tree_globs, multiple_roots, tree_wide, tree_pruned, stream_scan, stream_counts,
-        stream_dedup,
+        stream_dedup, stream_summary, stream_tree,
     )
 }

@@ -1,18 +1,19 @@
-"""JSON, Markdown and table reports, and the choice between formats.
+"""JSON, SARIF, Markdown and table reports, as folders of parts or as one file each.
 
-Reports are folders of text parts. Parts of the Markdown and table reports are
-in report order, so that put together they read as one report.
+In a folder, parts of the Markdown and table reports are in report order. With ``single`` a report
+is one file (see ``sinks.single``): one JSON or SARIF document, or one text.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import truncate
-from auditlake.operators.order import numbered, stored
+from auditlake.operators.order import ORDER, numbered, stored, with_rank
 from auditlake.operators.summary import severity_share, summarize, unnest, verdict
 from auditlake.sinks import sarif
 from auditlake.sinks.common import (
@@ -21,6 +22,7 @@ from auditlake.sinks.common import (
     MATCH_WIDTH,
     REMEDIATION_WIDTH,
 )
+from auditlake.sinks.single import write_single
 
 REPORT_VERSION = "1.0.0"
 # The sign of each severity in Markdown.
@@ -77,23 +79,17 @@ def markdown_section(ordinal: Column) -> Column:
 
 
 def table_section(ordinal: Column, verbose: bool = True) -> Column:
-    """The plain text of a finding with its number, long texts cut."""
+    """The plain text of a finding with its number: where and what, then indented what was seen and what to do."""
+    place = F.concat(F.col("file_path"), F.lit(" line "), F.col("start_line").cast("string"))
     lines = [
-        F.concat(
-            F.lit("["), ordinal.cast("string"), F.lit("] "), F.rpad("severity", 10, " "),
-            F.lit(" "), F.col("title"),
-        ),
-        F.concat(F.lit("    Rule: "), F.col("rule_id")),
-        F.concat(
-            F.lit("    File: "), F.col("file_path"), F.lit(":"), F.col("start_line").cast("string")
-        ),
+        F.concat(F.lpad(ordinal.cast("string"), 6, " "), F.lit("  "), place),
+        F.concat(F.lit("        "), F.lower("severity"), F.lit(" "), F.col("rule_id"), F.lit(": "), F.col("title")),
     ]
-    fields = [("Description", "description", DESCRIPTION_WIDTH), ("Fix", "remediation",
-               REMEDIATION_WIDTH)]
+    shown = [("about", "description", DESCRIPTION_WIDTH), ("do", "remediation", REMEDIATION_WIDTH)]
     if verbose:
-        fields.insert(0, ("Match", "match", MATCH_WIDTH))
-    for label, name, width in fields:
-        text = F.concat(F.lit(f"    {label}: "), truncate(F.col(name), width))
+        shown.insert(0, ("seen", "match", MATCH_WIDTH))
+    for label, name, width in shown:
+        text = F.concat(F.lit(f"        {label:<6}"), truncate(F.col(name), width))
         lines.append(F.when(F.col(name) != "", text))
     return F.concat_ws("\n", *lines, F.lit(""))
 
@@ -111,17 +107,43 @@ def _markdown_head(row, start: dt.datetime, end: dt.datetime) -> str:
 
 
 def _table_head(row, shares) -> str:
-    lines = [
-        f"Targets Scanned: {row['scanned_targets']}",
-        f"Total Findings: {row['total_findings']}",
-        f"Errors: {row['errors']}",
-        "",
-    ]
-    width = 40
+    width = max(len(str(row["total_findings"])), 1)
+    lines = [f"{row['total_findings']} findings in {row['scanned_targets']} targets, {row['errors']} not read whole"]
     for share in shares:
-        bar = "#" * share["filled"] + "." * (width - share["filled"])
-        lines.append(f"{share['severity']:<10} [{bar}] {share['findings']}")
-    return "\n".join([*lines, "", CLOSING[row["verdict"]], ""])
+        if share["findings"]:
+            lines.append(f"  {share['findings']:>{width}} {share['severity'].lower():<9}{'=' * max(1, share['filled'])}")
+    return "\n".join([*lines, CLOSING[row["verdict"]], ""])
+
+
+def _json_ends(row: dict, start: dt.datetime, end: dt.datetime) -> tuple[str, str]:
+    """What stands before and after the results in one JSON document."""
+    summary = {k: v for k, v in row.items() if k != "verdict"}
+    summary |= {
+        "duration": int((end - start) / dt.timedelta(microseconds=1)) * 1000,
+        "start_time": start.isoformat(), "end_time": end.isoformat(),
+    }
+    head = json.dumps({"version": REPORT_VERSION, "timestamp": end.isoformat(), "summary": summary})
+    return head.removesuffix("}") + ', "results": [', "]}"
+
+
+def _single(results: DataFrame, path: str, format: str, row: dict, shares, start: dt.datetime, end: dt.datetime, verbose: bool, root: str) -> None:
+    if format == "json":
+        head, tail = _json_ends(row, start, end)
+        line = json_result(F.col("error"), F.col("findings"))
+        write_single(results, path, "path", value=line, head=head, tail=tail, between=",")
+        return
+    findings = stored(with_rank(unnest(results)), "findings")
+    if format in ("sarif", "github"):
+        github = format == "github"
+        made = sarif.single_result(root, github)
+        head, tail = sarif.single_ends(findings, github, start, end)
+        write_single(findings, path, *ORDER, value=made, head=head, tail=tail, between=",")
+        return
+    lines = numbered(unnest(results))
+    markdown = format in ("markdown", "md")
+    head = _markdown_head(row, start, end) if markdown else _table_head(row, shares)
+    section = markdown_section(F.col("ordinal")) if markdown else table_section(F.col("ordinal"), verbose)
+    write_single(lines, path, "ordinal", value=section, head=head)
 
 
 def write_report(
@@ -133,13 +155,15 @@ def write_report(
     verbose: bool = True,
     root: str = "",
     size: int = DOCUMENT_SIZE,
+    single: bool = False,
 ) -> None:
     """Write per-target results as a report; an unknown format is a table.
 
     The results are worked out once and kept in the shared folder while the
     report is made. ``root`` is cut from paths in the format ``github``, and a
-    SARIF document holds at most ``size`` findings. Only the summary, one row,
-    passes through the driver.
+    SARIF document of a folder holds at most ``size`` findings. With ``single``
+    the report is the file ``path``, whatever its size. Only the summary, one
+    row, and the rules that fired pass through the driver.
     """
     start = start or dt.datetime.now(dt.timezone.utc)
     spark = results.sparkSession
@@ -149,6 +173,11 @@ def write_report(
         return
     results = stored(results, "results")
     end = dt.datetime.now(dt.timezone.utc)
+    if single:
+        summary = stored(summarize(results, mode).withColumn("verdict", verdict()), "summary")
+        shares = severity_share(summary).orderBy("severity_rank").collect()
+        _single(results, path, format, summary.first().asDict(), shares, start, end, verbose, root)
+        return
     if format in ("sarif", "github"):
         findings = unnest(results).withColumn("report", F.lit("report"))
         groups = spark.createDataFrame([("report",)], "report string")

@@ -189,6 +189,32 @@ def github_documents(
     )
 
 
+def single_result(root: str = "", github: bool = False) -> Column:
+    """The JSON text of the result of a row of findings."""
+    finding = F.struct(*(F.col(c).alias(c) for c in ("id", "rule_id", "severity", "description", "file_path", "start_line", "end_line", "match")))
+    return F.to_json(github_result(finding, root) if github else result(finding))
+
+
+def single_ends(findings: DataFrame, github: bool, start: dt.datetime, end: dt.datetime) -> tuple[str, str]:
+    """What stands before and after the results in one document: it names each rule that fired, a row per rule."""
+    named = findings.groupBy("rule_id").agg(
+        *(F.min(c).alias(c) for c in ("title", "description", "severity", "type", "remediation"))
+    )
+    rules = F.sort_array(F.collect_list(F.struct(*named.columns, *_empty_fields())))
+    tool = named.agg(rules.alias("rules")).select(F.to_json(F.struct(_driver(F.col("rules"), github).alias("driver")))).first()[0]
+    times = "" if github else (
+        f',"invocations":[{{"executionSuccessful":true,"startTimeUtc":"{start.isoformat()}","endTimeUtc":"{end.isoformat()}"}}]'
+    )
+    head = f'{{"$schema":"{SCHEMA_URI}","version":"{VERSION}","runs":[{{"tool":{tool},"results":['
+    return head, f"]{times}}}]}}"
+
+
+def _empty_fields() -> list[Column]:
+    """Fields of a finding that a rule's descriptor does not read."""
+    kinds = (("id", "string"), ("file_path", "string"), ("start_line", "int"), ("end_line", "int"), ("match", "string"))
+    return [F.lit(None).cast(kind).alias(name) for name, kind in kinds]
+
+
 def merge_reports(*reports: DataFrame) -> DataFrame:
     """The runs of several reports as rows of one, none dropped.
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import text
 from auditlake.functions.prune import Pruner
 from auditlake.model import FILE, REFERENCE, ScanOptions
+from auditlake.operators.order import stored
 from auditlake.operators.paths import wanted_path
 from auditlake.sources import walk
 from auditlake.sources.tables import file_metadata, with_longest_line
@@ -62,7 +63,8 @@ def root_of(root: str, options: ScanOptions | None = None) -> Root:
 
 
 def list_tree(
-    spark: SparkSession, root: str, follow_symlinks: bool = False, options: ScanOptions | None = None
+    spark: SparkSession, root: str, follow_symlinks: bool = False, options: ScanOptions | None = None,
+    dated: bool = False,
 ) -> DataFrame:
     """One row per file below ``root``, without folders that the globs of ``options`` cut off.
 
@@ -72,7 +74,8 @@ def list_tree(
     (see ``sources.walk``), files are looked up when the rows are read.
     """
     start = root_of(root, options)
-    return _named(walk.files(walk.walk(spark, start), start, follow_symlinks), root, start.opened)
+    files = walk.files(walk.walk(spark, start), start, follow_symlinks, dated=dated)
+    return _named(files, root, start.opened)
 
 
 def _named(listing: DataFrame, root: str, opened: str) -> DataFrame:
@@ -142,19 +145,29 @@ def read_tree(
     """
     options = options or ScanOptions()
     roots = [roots] if isinstance(roots, str) else list(roots)
-    readers = readers or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return reduce(DataFrame.unionByName, (
+        read_listed(chosen(spark, root, options, follow_symlinks), root, readers) for root in roots
+    ))
+
+
+def chosen(
+    spark: SparkSession, root: str, options: ScanOptions, follow_symlinks: bool = False, dated: bool = False
+) -> DataFrame:
+    """The files of a tree that the options keep, with ``shown``, the path targets are named by."""
     reference = options.mode == REFERENCE
-    read = []
-    for root in roots:
-        tried = F.col("spelt" if reference else "below")
-        wanted = wanted_path(F.col("name"), options.excludes, options.includes, options.mode, tried)
-        listed = list_tree(spark, root, follow_symlinks, options)
-        kept = listed.filter(wanted & (F.col("size") <= options.max_file_bytes))
-        shown = F.col("spelt" if reference else "path").alias("shown")
-        spread = kept.select("path", shown, "size").repartition(readers, "path")
-        bodies = partial(_read_files, _checked(root))
-        read.append(spread.mapInPandas(bodies, "path string, size bigint, content binary"))
-    return _as_targets(reduce(DataFrame.unionByName, read))
+    tried = F.col("spelt" if reference else "below")
+    wanted = wanted_path(F.col("name"), options.excludes, options.includes, options.mode, tried)
+    listed = list_tree(spark, root, follow_symlinks, options, dated)
+    kept = listed.filter(wanted & (F.col("size") <= options.max_file_bytes))
+    return kept.withColumn("shown", F.col("spelt" if reference else "path"))
+
+
+def read_listed(listed: DataFrame, root: str, readers: int | None = None) -> DataFrame:
+    """Targets from rows ``(path, shown, size)`` of files below a root, read by ``readers`` tasks."""
+    readers = readers or int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = listed.select("path", "shown", "size").repartition(readers, "path")
+    bodies = partial(_read_files, _checked(root))
+    return _as_targets(spread.mapInPandas(bodies, "path string, size bigint, content binary"))
 
 
 def read_binary(

@@ -82,15 +82,15 @@ def entries(folder: str, store: fs.FileSystem | None = None) -> Iterator[Entry]:
             yield Entry(entry.name, entry.path, entry.is_dir(follow_symlinks=False))
 
 
-def size_of(path: str, follow: bool) -> int | None:
-    """Size of a regular file; ``None`` for what is not read."""
+def status_of(path: str, follow: bool) -> tuple[int, int] | None:
+    """Size of a regular file and when it was changed, in nanoseconds; ``None`` for what is not read."""
     try:
         info = os.lstat(path)
         if stat.S_ISLNK(info.st_mode):
             if not follow:
                 return None
             info = os.stat(path)
-        return info.st_size if stat.S_ISREG(info.st_mode) else None
+        return (info.st_size, info.st_mtime_ns) if stat.S_ISREG(info.st_mode) else None
     except OSError:
         return None
 
@@ -141,10 +141,16 @@ def _listed(root: Root, step: int, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield from _paged(_walk_below(folder, root, store, top, step))
 
 
-def _looked_up(follow: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _looked_up(root: Root, follow: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    store, _ = root.store()
     for batch in batches:
-        sizes = pa.array([size_of(path, follow) for path in batch.column("path").to_pylist()], pa.int64())
-        found = pa.RecordBatch.from_arrays([batch.column("path"), sizes], names=["path", "size"])
+        paths = batch.column("path").to_pylist()
+        if store is None:
+            known = [status_of(path, follow) for path in paths]
+        else:
+            known = [(i.size, i.mtime_ns or 0) if i.type == fs.FileType.File else None for i in store.get_file_info(paths)]
+        sizes, times = (pa.array([k and k[n] for k in known], pa.int64()) for n in (0, 1))
+        found = pa.RecordBatch.from_arrays([batch.column("path"), sizes, times], names=["path", "size", "modified"])
         yield found.filter(sizes.is_valid())
 
 
@@ -174,13 +180,15 @@ def walk(spark: SparkSession, root: Root, tasks: int | None = None, step: int =
         rounds.append(stored(found, "listing"))
 
 
-def files(listing: DataFrame, root: Root, follow: bool = False, tasks: int | None = None) -> DataFrame:
-    """``(path, size)`` of the regular files of a listing, looked up by all tasks."""
+def files(listing: DataFrame, root: Root, follow: bool = False, tasks: int | None = None, dated: bool = False) -> DataFrame:
+    """``(path, size)`` of the regular files of a listing, looked up by all tasks; with ``dated`` also ``modified``."""
     tasks = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = listing.filter(F.col("kind") == FILE).select("path", "size")
-    if root.store()[0] is not None:
+    if root.store()[0] is not None and not dated:
         return found.filter("size IS NOT NULL")
-    return found.select("path").repartition(tasks, "path").mapInArrow(partial(_looked_up, follow), "path string, size bigint")
+    looked = found.select("path").repartition(tasks, "path")
+    rows = looked.mapInArrow(partial(_looked_up, root, follow), "path string, size bigint, modified bigint")
+    return rows if dated else rows.drop("modified")
 
 
 def counts(listing: DataFrame) -> DataFrame:

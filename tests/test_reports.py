@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from auditlake.model import ScanOptions
 from auditlake.operators import order, summary
 from auditlake.operators.match import find, scan
+from auditlake.operators.summary import unnest
+from auditlake.plans import fixtures
 from auditlake.sinks import reports, sarif
 
+SF = "/root/testdata/sf0.001"
 KEY = "AK" + "IA" + "D" * 16
 
 
@@ -140,8 +143,8 @@ def test_written_reports(spark, tmp_path):
 
     reports.write_report(results, str(tmp_path / "table"), "other")
     table = text_of(tmp_path / "table")
-    assert f"Total Findings: {n}\n" in table and f"[{n}] " in table
-    assert "CRITICAL   [" in table and "Critical or high findings" in table
+    assert table.startswith(f"{n} findings in ") and f"\n{n:>6}  " in table
+    assert " critical =" in table and "Critical or high findings" in table
 
     reports.write_report(results, str(tmp_path / "json"), "json", start=start)
     head = json.loads(text_of(tmp_path / "json" / "summary"))
@@ -175,3 +178,39 @@ def test_report_of_nothing(spark, tmp_path):
     assert "Nothing was found" in text_of(tmp_path / "md")
     reports.write_report(results, str(tmp_path / "sarif"), "sarif")
     assert json.loads(text_of(tmp_path / "sarif"))["runs"][0]["results"] == []
+
+
+@pytest.mark.parametrize("format", ["json", "sarif", "github", "markdown", "table"])
+def test_one_report_in_one_file(spark, tmp_path, format):
+    results = scan(fixtures.everything(spark, SF), ScanOptions())
+    path = tmp_path / f"report.{format}"
+    path.write_text("an older report")
+    reports.write_report(results, str(path), format, single=True, root="svc")
+    text = path.read_text()
+    found = sorted(r.id for r in unnest(results).select("id").collect())
+    if format == "json":
+        whole = json.loads(text)
+        assert [r["target"]["path"] for r in whole["results"]] == sorted(r.path for r in results.select("path").collect())
+        assert sorted(f["id"] for r in whole["results"] for f in r["findings"] or ()) == found
+        assert whole["summary"]["total_findings"] == len(found)
+    elif format in ("sarif", "github"):
+        (held,) = json.loads(text)["runs"]
+        assert len(held["results"]) == len(found)
+        rules = [r["id"] for r in held["tool"]["driver"]["rules"]]
+        assert sorted(rules) == rules and set(rules) == {r["ruleId"] for r in held["results"]}
+        if format == "sarif":
+            assert sorted(r["fingerprints"]["primaryLocationLineHash"] for r in held["results"]) == found
+            frame = spark.createDataFrame([(text,)], "document string")
+            assert sarif.validate(frame).first()["valid"]
+    else:
+        mark = "## " if format == "markdown" else "        seen  "
+        assert sum(line.startswith(mark) for line in text.splitlines()) >= len(found) * 0.9
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".parts")]
+
+
+def test_a_report_of_nothing_in_one_file(spark, tmp_path):
+    results = scan(fixtures.everything(spark, SF).limit(0), ScanOptions())
+    for format in ("json", "sarif"):
+        reports.write_report(results, str(tmp_path / format), format, single=True)
+    assert json.loads((tmp_path / "json").read_text())["results"] == []
+    assert json.loads((tmp_path / "sarif").read_text())["runs"][0]["results"] == []
