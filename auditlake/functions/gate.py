@@ -8,9 +8,11 @@ the rule itself.
 
 from __future__ import annotations
 
+import importlib.util
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlake.functions.regex import without_groups
+from auditlake.functions.regex import literals, without_groups
 
+# With more rules for any file than this, those that name literals are sought by one automaton.
+FEW_RULES = 48
 # Rule bits in one signed 64-bit word.
 WORD = 62
 
@@ -116,6 +120,29 @@ def _line_hits(lines: list[str], rules: Sequence[Located], blanked: Blanked | No
             yield blanked.index, i + 1, tokens, None
 
 
+@cache
+def _automaton(words: tuple[tuple[str, tuple[int, ...]], ...]):
+    """An automaton of literals that names the rules each belongs to."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for word, rules in words:
+        made.add_word(word, rules)
+    made.make_automaton()
+    return made
+
+
+def _literals(rules: Sequence[tuple[int, str]]) -> tuple[tuple[str, tuple[int, ...]], ...]:
+    """Each literal with the rules that need it, or another of theirs; nothing for few rules."""
+    if len(rules) <= FEW_RULES or importlib.util.find_spec("ahocorasick") is None:
+        return ()
+    held: dict[str, list[int]] = {}
+    for i, pattern in rules:
+        for word in literals(pattern) or ():
+            held.setdefault(word, []).append(i)
+    return tuple((word, tuple(of)) for word, of in sorted(held.items()))
+
+
 def arrow_gate(
     patterns: Sequence[tuple[int, str, str]], always: int, size: int,
     located: Sequence[Located] = (), blanked: Blanked | None = None,
@@ -124,13 +151,18 @@ def arrow_gate(
 
     ``patterns`` holds rule index, kind of file (``""`` for any) and RE2 text.
     Rules for any file are first tried together in one pass over the text; only
-    texts with a match are tried against each. Where a ``located`` rule may
+    texts with a match are tried against each. Of many rules, those that name
+    literals are tried only on texts that one automaton finds these in. Where a ``located`` rule may
     fire, its lines and matches are found here, as RE2 takes time in proportion
     to the text whatever it holds. Spark bounds each batch by
     ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
     words = -(-size // WORD)
     anywhere = [(i, p) for i, kind, p in patterns if not kind]
+    words_of = _literals(anywhere)
+    named = {i for _, of in words_of for i in of}
+    by_word = [(i, p) for i, p in anywhere if i in named]
+    anywhere = [(i, p) for i, p in anywhere if i not in named]
     union = "|".join(f"(?:{p})" for _, p in anywhere)
     by_kind = {}
     for i, kind, p in patterns:
@@ -158,6 +190,13 @@ def arrow_gate(
         if anywhere:
             some = pc.fill_null(pc.match_substring_regex(content, union), False)
             mark(np.flatnonzero(some.to_numpy(zero_copy_only=False)), anywhere)
+        if by_word:
+            rows: dict[int, list[int]] = {}
+            for row, text in enumerate(content.to_pylist()):
+                for i in {i for _, of in _automaton(words_of).iter(text) for i in of} if text else ():
+                    rows.setdefault(i, []).append(row)
+            for i, pattern in by_word:
+                mark(np.array(rows.get(i, ()), np.int64), [(i, pattern)])
         for name, rules in by_kind.items():
             of_kind = pc.fill_null(pc.equal(kind, name), False)
             mark(np.flatnonzero(of_kind.to_numpy(zero_copy_only=False)), rules)

@@ -10,6 +10,7 @@ possessive groups) raise ``ValueError``.
 from __future__ import annotations
 
 import re
+from re import _parser
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -107,6 +108,52 @@ def _group(text: str, i: int, flags: frozenset) -> tuple[str, int, frozenset, bo
     return text[i:end + 1], end + 1, inner, text[end] == ":"
 
 
+# Shorter literals stand in most texts and rule nothing out.
+LEAST_LITERAL = 3
+
+
+def literals(pattern: str) -> frozenset[str] | None:
+    """Texts of which every match holds at least one; ``None`` where the pattern names none of use.
+
+    They are taken from the pattern's syntax tree: of a sequence the part that says most, of alternatives
+    those of each. Patterns that fold case, or that only RE2 reads, have none.
+    """
+    try:
+        tree = _parser.parse(without_groups(pattern))
+    except (re.error, OverflowError, RecursionError):
+        return None
+    if tree.state.flags & re.IGNORECASE:
+        return None
+    found = _required(tree)
+    return found if found and min(map(len, found)) >= LEAST_LITERAL else None
+
+
+def _required(tree) -> frozenset[str] | None:
+    best: frozenset[str] | None = None
+    run: list[str] = []
+
+    def offer(found: frozenset[str] | None) -> None:
+        nonlocal best
+        if found and (best is None or (min(map(len, found)), -len(found)) > (min(map(len, best)), -len(best))):
+            best = found
+
+    for kind, value in [*tree, (None, None)]:
+        if kind is _parser.LITERAL:
+            run.append(chr(value))
+            continue
+        offer(frozenset(["".join(run)]) if run else None)
+        run = []
+        if kind is _parser.SUBPATTERN:
+            _, on, _, inner = value
+            offer(None if on & re.IGNORECASE else _required(inner))
+        elif kind is _parser.BRANCH:
+            parts = [_required(part) for part in value[1]]
+            offer(frozenset().union(*parts) if all(parts) else None)
+        elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+            offer(_required(value[2]))
+    return best
+
+
 def without_groups(pattern: str) -> str:
     """The same RE2 pattern, its groups capturing nothing."""
     out, i, in_class = [], 0, False

@@ -456,6 +456,15 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT 'reference', 'cut', 1 FROM c
  UNION ALL SELECT 'reference', 'file', d.n + 2 * c.n FROM d, c""",
     "stream_scan": f"{PLANTED} {SHOW}",
+    "suppressed": f"""{PLANTED}, k AS (SELECT *, CAST(regexp_extract(file_path, '[0-9]+') AS INTEGER) AS c FROM f)
+ SELECT id, rule_id, file_path, c % 4 = 0 OR (c % 2 = 1 OR rule_id = 'SEC007') AND c % 5 IN (0, 1)
+  OR EXISTS (SELECT 1 FROM customer WHERE c_custkey % 5 = 2 AND (c_custkey % 2 = 1 OR k.rule_id = 'SEC007')
+   AND starts_with(CAST(k.c AS VARCHAR), CAST(c_custkey AS VARCHAR))) AS suppressed FROM k""",
+    "many_rules": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+  UNION ALL SELECT doc_id, 'id-' || lpad(CAST(doc_id * 7 % 640 AS VARCHAR), 3, '0') || '-x' FROM documents),
+ r AS (SELECT i, 'OWN' || lpad(CAST(i AS VARCHAR), 3, '0') AS rule_id, 'id-' || lpad(CAST(i AS VARCHAR), 3, '0') || '-' AS word FROM range(500) t(i)),
+ m AS (SELECT doc_id, line, unnest(regexp_extract_all(line, 'id-[0-9]{3}-')) AS word FROM l WHERE contains(line, 'id-'))
+ SELECT rule_id, count(DISTINCT (doc_id, line)) AS findings FROM m JOIN r USING (word) GROUP BY ALL""",
     "stream_summary": f"{SUMMARY} SELECT * FROM m",
     "stream_tree": f"""{PLANTED} SELECT CAST(regexp_extract(file_path, '[0-9]+') AS BIGINT) AS c_custkey, rule_id,
  start_line, match FROM f""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import secrets, sql, text
 from auditlake.functions.session import shared_path
 from auditlake.model import FINDING_COLUMNS, REFERENCE, ScanOptions
-from auditlake.operators import classify, match, order, paths, summary
+from auditlake.operators import classify, match, order, paths, summary, suppress
 from auditlake.operators.catalog import catalog, custom_rule
 from auditlake.operators.extend import ColumnScanner, Scanner, find_with
 from auditlake.plans import fixtures
@@ -579,6 +579,33 @@ def repaired_texts(spark, sf_dir):
     return match.find(targets, SECRETS).select(*SHOWN)
 
 
+def suppressed(spark, sf_dir):
+    """Findings of every customer's file, with a list of exceptions that grows with the table."""
+    rows = fixtures.table(spark, sf_dir, "customer").select("c_custkey")
+    found = match.find(fixtures.configs(spark, sf_dir), SECRETS)
+    exact = found.filter(F.pmod(F.regexp_extract("file_path", "[0-9]+", 0).cast("int"), F.lit(4)) == 0)
+    exceptions = exact.selectExpr("id AS fingerprint", "CAST(NULL AS STRING) AS rule_id", "CAST(NULL AS STRING) AS path_glob")
+    globs = rows.selectExpr(
+        "CAST(NULL AS STRING) AS fingerprint", "CASE WHEN c_custkey % 2 = 0 THEN 'SEC007' END AS rule_id",
+        """CASE c_custkey % 5 WHEN 0 THEN concat('cfg/', c_custkey, '.conf') WHEN 1 THEN concat('**/', c_custkey, '.conf')
+           WHEN 2 THEN concat('cfg/', c_custkey, '*') WHEN 3 THEN 'src/**' ELSE concat('*.', c_custkey) END AS path_glob""",
+    )
+    listed = exceptions.unionByName(globs).selectExpr("*", "'known' AS reason", "CAST(NULL AS DATE) AS until")
+    return suppress.marked(found, listed).select("id", "rule_id", "file_path", "suppressed")
+
+
+def many_rules(spark, sf_dir):
+    """Five hundred rules of one's own over every document, together with the built-in ones for secrets."""
+    own = tuple(
+        custom_rule(f"OWN{i:03d}", f"Word {i}", "LOW", rf"\b(id-{i:03d}-|token_{i:03d}[:=])[a-z]+") for i in range(500)
+    )
+    # Each document names some of the rules.
+    named = "concat(coalesce(text, ''), chr(10), 'id-', lpad(CAST(doc_id * 7 % 640 AS STRING), 3, '0'), '-x')"
+    targets = targets_from_table(fixtures.table(spark, sf_dir, "documents"), fixtures.DOCUMENT_PATH, named)
+    found = match.find(targets, ScanOptions(scanners=("secrets",), custom_rules=own))
+    return _counts(found.filter(F.col("rule_id").startswith("OWN")), "rule_id")
+
+
 # --- files and streams ----------------------------------------------------------------------
 
 
@@ -744,6 +771,6 @@ QUERIES: dict[str, Query] = {
         markdown_rows, table_rows, report_file, merge_reports, sarif_merged, sarif_clean, github_documents,
         written_report, written_findings, scan_counters, target_types, repaired_texts, scan_tree,
         tree_address, tree_hidden, tree_globs, multiple_roots, tree_wide, tree_pruned, stream_scan, stream_counts,
-        stream_dedup, stream_summary, stream_tree,
+        stream_dedup, stream_summary, stream_tree, suppressed, many_rules,
     )
 }

@@ -212,3 +212,26 @@ def test_hostile_lines_take_time_in_proportion(spark):
         seconds.append(time.perf_counter() - begin)
         assert found == [("SEC003", 1)]
     assert seconds[1] < 10 * max(seconds[0], 1)
+
+
+@pytest.mark.parametrize("pattern, expected", [
+    (r"abc[0-9]+defg", {"defg"}), (r"(abc|defg)x", {"abc", "defg"}), (r"(abc|d)x", None), (r"(?i)abcd", None), (r"a?bcd", {"bcd"}),
+    (r"(abcd)?x", None), (r"(abcd){2,}", {"abcd"}), (r"x(?i:abc)defg", {"defg"}), (r"x(?:(?i)abc)defg", None), (r"\Qabc\E", None), (r"\p{L}abc", None), (r"a\.bc", {"a.bc"}), (r"", None),
+])
+def test_literals_of_patterns(pattern, expected):
+    assert regex.literals(pattern) == (expected and frozenset(expected))
+
+
+def test_many_rules_find_what_few_find(spark):
+    from auditlake.operators.catalog import custom_rule
+
+    rules = [custom_rule(f"R{i}", "r", "LOW", p) for i, p in enumerate(
+        [rf"word{i:02d}[a-c]+" for i in range(60)] + [r"(?i)MiX\d", r"[xyz]{5}", r"\bend\b|stop[0-9]"]
+    )]
+    rows = [(f"f{i}", f"a word{i:02d}abc word{i + 1:02d}\nxyzzy mix{i % 10}\nend stop1 {'x' * (i % 7)}") for i in range(70)] + [("none", None), ("empty", "")]
+
+    def run(some):
+        frame = find(targets(spark, rows), ScanOptions(scanners=("misconfig",), custom_rules=tuple(some)))
+        return {(r.file_path, r.rule_id, r.start_line, r.match) for r in frame.collect()}
+
+    assert run(rules) == run(rules[:32]) | run(rules[32:]) and len(run(rules)) > 200
