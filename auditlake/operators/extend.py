@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,38 @@ class ColumnScanner:
     kind: str = MISCONFIGURATION
 
 
+_PYTHON_FIELDS = ("rule_id", "title", "severity", "line_no", "match", "description", "remediation")
+
+
+def python_scanner(
+    name: str,
+    find: Callable[[str, str], Iterable[dict]],
+    types: tuple[str, ...] = (FILE,),
+    kind: str = MISCONFIGURATION,
+) -> ColumnScanner:
+    """A scanner written in Python that takes part in the one pass over the targets.
+
+    ``find`` gets path and text of one target and gives a mapping for each finding: ``rule_id``,
+    ``title``, ``severity``, ``line_no``, ``match`` and, if wanted, ``description`` and
+    ``remediation``. It runs in Python workers over Arrow batches, next to the gate; a text that is
+    null has no findings, and what ``find`` raises ends the scan.
+    """
+    kinds = pa.struct([(f, pa.int32() if f == "line_no" else pa.string()) for f in _PYTHON_FIELDS])
+    ddl = ",".join(f"`{f.name}`:{'int' if f.name == 'line_no' else 'string'}" for f in kinds)
+
+    @F.arrow_udf(f"array<struct<{ddl}>>")
+    def scan(path: pa.Array, content: pa.Array) -> pa.Array:
+        found = [
+            [{"description": "", "remediation": "", **f} for f in find(p, c)] if c is not None else []
+            for p, c in zip(path.to_pylist(), content.to_pylist())
+        ]
+        return pa.array(found, pa.list_(kinds))
+
+    # The optimizer may not work it out twice.
+    scan = scan.asNondeterministic()
+    return ColumnScanner(name, lambda path, content: scan(path, content), _PYTHON_FIELDS, types, kind)
+
+
 def find_with(
     targets: DataFrame, scanners: Iterable[Scanner], options: ScanOptions | None = None
 ) -> DataFrame:

@@ -331,6 +331,10 @@ ORACLE: dict[str, str] = {
  SELECT substring(sha256(concat(path, ':1:SHORT')), 1, 16), 'SHORT', 'INFO', 'MISCONFIGURATION',
   path, CAST(1 AS INTEGER), length(content) || ' characters' FROM t WHERE length(content) < 200"""
        for name in ("own_scanner", "own_scanner_stream")},
+    "python_scanner": f"""{_found(DOCUMENTS, _secret_rows())}, w AS (SELECT file_path, rule_id, severity, start_line, match FROM f
+ UNION ALL SELECT path, 'WIDE', 'LOW', line_no, length(line) || ' characters' FROM l WHERE length(line) > 400)
+ SELECT * FROM w UNION ALL SELECT 'all', 'TOTAL', 'INFO', CAST(count(*) FILTER (severity = 'LOW') AS INTEGER),
+  CAST(count(*) AS VARCHAR) FROM w""",
     "own_scanner_summary": f"""{_found(DOCUMENTS, _secret_rows(True))}, short AS (SELECT count(*) AS n
  FROM t WHERE length(content) < 200) SELECT (SELECT count(*) FROM t) AS total_targets,
  (SELECT count(*) FROM f) + n AS total_findings,

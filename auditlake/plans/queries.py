@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import secrets, sql, text
+from auditlake.functions.gate import lines_of
 from auditlake.functions.session import shared_path
 from auditlake.model import FINDING_COLUMNS, REFERENCE, ScanOptions
-from auditlake.operators import classify, match, order, paths, summary, suppress
+from auditlake.operators import classify, extend, match, order, paths, summary, suppress
 from auditlake.operators.catalog import catalog, custom_rule
 from auditlake.operators.extend import ColumnScanner, Scanner, find_with
 from auditlake.plans import fixtures
@@ -209,6 +210,26 @@ def own_scanner_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select(*SHOWN)
 
 
+def _wide_lines(path: str, content: str):
+    """A scanner in Python: lines of more than 400 characters."""
+    for number, line in enumerate(lines_of(content), start=1):
+        if len(line) > 400:
+            yield {"rule_id": "WIDE", "title": "Wide line", "severity": "LOW", "line_no": number, "match": f"{len(line)} characters"}
+
+
+def python_scanner(spark, sf_dir):
+    """Findings of a scanner in Python and of the built-in rules, from one pass, in findings and in totals."""
+    options = ScanOptions(scanners=("secrets",), own_scanners=(extend.python_scanner("wide", _wide_lines),))
+    targets = fixtures.documents(spark, sf_dir)
+    found = match.find(targets, options).select("file_path", "rule_id", "severity", "start_line", "match")
+    totals = summary.summarize(match.scan(targets, options, ("severity",)))
+    total = totals.select(
+        F.lit("all").alias("file_path"), F.lit("TOTAL").alias("rule_id"), F.lit("INFO").alias("severity"),
+        F.col("low_count").cast("int").alias("start_line"), F.col("total_findings").cast("string").alias("match"),
+    )
+    return found.unionByName(total)
+
+
 def rule_select(spark, sf_dir):
     wanted = ("SEC003", "SEC014", "DOCKER001", "DOCKER007", "K8S008", "K8S016")
     return _counts(_all_findings(spark, sf_dir, enabled_rules=wanted), "rule_id")
@@ -771,6 +792,6 @@ QUERIES: dict[str, Query] = {
         markdown_rows, table_rows, report_file, merge_reports, sarif_merged, sarif_clean, github_documents,
         written_report, written_findings, scan_counters, target_types, repaired_texts, scan_tree,
         tree_address, tree_hidden, tree_globs, multiple_roots, tree_wide, tree_pruned, stream_scan, stream_counts,
-        stream_dedup, stream_summary, stream_tree, suppressed, many_rules,
+        stream_dedup, stream_summary, stream_tree, suppressed, many_rules, python_scanner,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.model import ScanOptions
 from auditlake.operators import match
@@ -89,3 +90,22 @@ def test_an_own_scanner_shares_the_pass(spark):
 
     text = plan(match.find(fixtures.documents(spark, SF), _WITH_SHORT))
     assert text.count("FileScan") == 1 and "Exchange" not in text
+
+
+def test_a_python_scanner_shares_the_pass(spark):
+    from auditlake.operators.extend import python_scanner
+    from auditlake.operators.summary import unnest
+
+    def find(path, content):
+        yield {"rule_id": "P", "title": "t", "severity": "LOW", "line_no": 1, "match": f"{path} {len(content)}", "remediation": "r"}
+
+    frame = spark.createDataFrame(
+        [("a", "FILE", "x"), ("b", "URL", "y"), ("c", "FILE", None), ("d", "FILE", "AK" + "IA" + "E" * 16)],
+        "path string, type string, content string",
+    )
+    options = ScanOptions(own_scanners=(python_scanner("p", find),))
+    got = sorted((r.file_path, r.rule_id, r.match, r.remediation) for r in match.find(frame, options).filter("rule_id = 'P'").collect())
+    assert got == [("a", "P", "a 1", "r"), ("d", "P", "d 20", "r")]
+    assert unnest(match.scan(frame.withColumn("metadata", F.create_map()), options)).count() == 3
+    text = plan(match.find(fixtures.documents(spark, SF), options))
+    assert text.count("FileScan") == 1 and "Exchange" not in text
