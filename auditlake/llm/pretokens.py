@@ -52,11 +52,11 @@ def byte_level_cuts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def word_cuts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where pieces start: runs of letters, single numbers, runs of other signs, each with the white
-    space after it, which this kind of tokenizer drops."""
+    """Where pieces start: runs of letters, single numbers, runs of other signs, and white space, which
+    this kind of tokenizer drops."""
     begin, kind = runs(points, starts)
     first = np.zeros(len(points), bool)
-    first[begin[kind != SPACE]] = True
+    first[begin] = True
     numbers = np.flatnonzero(kind == NUMBER)
     for i in numbers[np.append(begin[1:], len(points))[numbers] - begin[numbers] > 1]:
         first[begin[i] : begin[i + 1] if i + 1 < len(begin) else len(points)] = True
@@ -76,6 +76,23 @@ def folds_oddly() -> np.ndarray:
     return odd
 
 
+@cache
+def _lower() -> np.ndarray:
+    """The lower case of every code point that has a single one of its class, else itself."""
+    table = np.arange(0x110000, dtype="<u4")
+    for c in np.flatnonzero(~folds_oddly()).tolist():
+        if not 0xD800 <= c < 0xE000:
+            table[c] = ord(chr(c).lower())
+    return table
+
+
+def lowered(texts: list[str]) -> list[str]:
+    """The texts in lower case, one code point at a time."""
+    points, starts = code_points(texts)
+    whole = _lower()[points].tobytes().decode("utf-32-le", "surrogatepass")
+    return [whole[b:e] for b, e in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+
+
 def pieces(texts: list[str], cuts: Cuts) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pieces, the pieces of all texts as numbers of these, and where each text's pieces start."""
     points, starts = code_points(texts)

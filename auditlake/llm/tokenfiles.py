@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.pretokens import folds_oddly, pieces, spread, word_cuts
+from auditlake.llm.pretokens import folds_oddly, lowered, pieces, spread, word_cuts
 from auditlake.llm.shared import shared_folder, stored
 from auditlake.llm.tokens import SPACE, classes, code_points, mix, slices
 
@@ -56,14 +56,14 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         for held in (self.library, self.plain):
             held.no_truncation()
             held.no_padding()
-        # For words that are cut already and in composed form, the rest of the preparation does nothing.
-        self.plain.normalizer = normalizers.Lowercase()
+        # For words that are cut already, lowered and in composed form, the rest of the preparation does nothing.
+        self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex(r"\s+"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         ])
@@ -111,7 +111,8 @@ class WordEncoder:
         for _, part in slices(texts):
             odd = self._odd(part)
             whole = iter(self._packed([t for t, o in zip(part, odd, strict=True) if o]))
-            distinct, numbers, offsets = pieces(["" if o else t for t, o in zip(part, odd, strict=True)], word_cuts)
+            plain = lowered(["" if o else t for t, o in zip(part, odd, strict=True)])
+            distinct, numbers, offsets = pieces(plain, word_cuts)
             if len(self.known) > REMEMBERED:
                 self.known, self.older = {}, self.known
             known, older = self.known, self.older
