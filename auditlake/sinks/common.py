@@ -50,7 +50,7 @@ def documents(
         F.sum("count").over(every).alias("total"),
     )
     same = F.col(group).eqNullSafe(F.col("_group")) & (runs["part"] == offsets["part"])
-    numbered = runs.join(F.broadcast(offsets), same).withColumn("number", F.col("position") + F.col("offset"))
+    numbered = runs.join(offsets, same).withColumn("number", F.col("position") + F.col("offset"))
     cut = numbered.withColumns({
         "chunk": F.floor(F.col("number") / size), "chunks": F.ceil(F.col("total") / size),
     })
