@@ -11,6 +11,8 @@ from auditlake.operators.order import ORDER, placed, stored, with_rank
 
 # Findings in one report document; a group with more gets several documents.
 DOCUMENT_SIZE = 5_000
+# Pieces of groups, a row each, whose offsets are sent to every task; those of more are joined by an exchange.
+SENT_PIECES = 100_000
 
 # Lengths texts are cut to in a table report.
 MATCH_WIDTH, DESCRIPTION_WIDTH, REMEDIATION_WIDTH = 60, 70, 65
@@ -39,9 +41,9 @@ def documents(
     named = [c for c in findings.columns if c not in (group, "metadata")]
     runs = stored(placed(with_rank(findings), group, *ORDER), "ordered")
     # A partition is sorted by group first, so a group's rows in it follow each other.
-    pieces = runs.groupBy(group, "part").agg(
+    pieces = stored(runs.groupBy(group, "part").agg(
         F.min("position").alias("first"), F.count("*").alias("count")
-    )
+    ), "report-pieces")
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(group)
     offsets = pieces.select(
@@ -50,7 +52,7 @@ def documents(
         F.sum("count").over(every).alias("total"),
     )
     same = F.col(group).eqNullSafe(F.col("_group")) & (runs["part"] == offsets["part"])
-    numbered = runs.join(offsets, same).withColumn("number", F.col("position") + F.col("offset"))
+    numbered = runs.join(F.broadcast(offsets) if pieces.count() <= SENT_PIECES else offsets, same).withColumn("number", F.col("position") + F.col("offset"))
     cut = numbered.withColumns({
         "chunk": F.floor(F.col("number") / size), "chunks": F.ceil(F.col("total") / size),
     })
