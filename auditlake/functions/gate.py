@@ -26,6 +26,8 @@ from auditlake.functions.regex import literals, without_groups
 FEW_RULES = 48
 # Rule bits in one signed 64-bit word.
 WORD = 62
+# Bytes of texts whose lines are looked at together.
+TOGETHER = 8 << 20
 
 
 def bit(index: int) -> str:
@@ -75,49 +77,125 @@ def all_matches(line: str, pattern: str) -> Iterator[str]:
     The rest of the line is looked at in place. After the first match the sign before the rest is kept
     in sight of patterns that look back.
     """
-    data = line.encode()
-    held, end, at = pa.py_buffer(data), len(data), 0
+    yield from matches_of(pa.array([line], pa.string()), np.zeros(1, np.int64), pattern)[0]
+
+
+def matches_of(lines: pa.Array, rows: np.ndarray, pattern: str) -> list[list[str]]:
+    """``all_matches`` of the lines that ``rows`` names in ascending order, each step over all of them at once."""
+    found: list[list[str]] = [[] for _ in rows]
+    if not len(rows):
+        return found
     after = rf"(?s:\A.(?:.*?)){pattern}" if _LOOKS_BACK.search(pattern) else pattern
-    while at <= end:
-        begin, tried = at, pattern
-        if at and after is not pattern:
-            begin, tried = at - 1, after
-            while data[begin] & 0xC0 == 0x80:
-                begin -= 1
-        rest = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([begin, end], np.int32)), held])
-        span = pc.extract_regex_span(rest, tried)[0].as_py()
-        if span is None:
-            return
-        start, size = span["m"]
-        yield data[begin + start : begin + start + size].decode()
-        at = begin + start + size
-        if not size:
-            at += 1
-            while at < end and data[at] & 0xC0 == 0x80:
-                at += 1
-
-
-def _line_hits(lines: list[str], rules: Sequence[Located], blanked: Blanked | None) -> Iterator[tuple]:
-    """``(rule, line_no, matches, line)`` of the rules that may fire in a text."""
-    held = pa.array(lines, pa.string())
-    for rule in rules:
-        fires = pc.match_substring_regex(held, rule.pattern).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(fires).tolist():
-            found = list(all_matches(lines[i], f"(?P<m>{without_groups(rule.pattern)})")) if rule.matches else None
-            yield rule.index, i + 1, found, lines[i] if rule.line else None
-    if blanked:
-        fires = pc.match_substring_regex(held, blanked.pattern).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(fires).tolist():
-            rest = pa.array([lines[i]])
-            for pattern, unless in blanked.others:
-                if unless is None or not pc.match_substring_regex(held.slice(i, 1), unless)[0].as_py():
-                    rest = pc.replace_substring_regex(rest, pattern, " ")
-            # The token stands between quotes; the closing one cannot open another.
-            named, tokens, left = blanked.pattern.replace("(", "(?P<m>", 1), [], rest[0].as_py()
-            while (token := next(all_matches(left, named), None)) is not None:
-                tokens.append(token)
-                left = left[left.index(token, 1) + len(token) + 1 :]
-            yield blanked.index, i + 1, tokens, None
+    offsets = np.frombuffer(lines.buffers()[1], np.int32, len(lines) + 1, 4 * lines.offset).astype(np.int64)
+    held = lines.buffers()[2] or pa.py_buffer(b"")
+    data = np.frombuffer(held, np.uint8)
+    left, at, end = np.arange(len(rows)), offsets[rows], offsets[rows + 1]
+    begin, tried = at, pattern
+    while len(left):
+        # What lies between two rests is a null, so that all of them are looked at in place.
+        bounds = np.column_stack((begin, end)).reshape(-1).astype(np.int32)
+        valid = np.packbits(np.arange(2 * len(left) - 1) % 2 == 0, bitorder="little")
+        rests = pa.Array.from_buffers(pa.string(), 2 * len(left) - 1, [pa.py_buffer(valid), pa.py_buffer(bounds), held])
+        spans = pc.extract_regex_span(rests, tried)
+        hit = spans.is_valid().to_numpy(zero_copy_only=False)[::2]
+        span = spans.field("m").values.to_numpy().reshape(-1, 2)[::2][hit].astype(np.int64)
+        left, end = left[hit], end[hit]
+        start = begin[hit] + span[:, 0]
+        at = start + span[:, 1]
+        for row, s, e in zip(left.tolist(), start.tolist(), at.tolist(), strict=True):
+            found[row].append(data[s:e].tobytes().decode())
+        empty = span[:, 1] == 0
+        at = _next_sign(data, np.where(empty, at + 1, at), end, empty)
+        on = at <= end
+        left, at, end = left[on], at[on], end[on]
+        begin, tried = at, after
+        if after is not pattern:
+            begin = at - 1
+            while (inside := data[begin] & 0xC0 == 0x80).any():
+                begin = begin - inside
+    return found
+
+
+def _next_sign(data: np.ndarray, at: np.ndarray, end: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """The places that were ``moved`` by a byte, moved on to where a sign begins."""
+    while (inside := moved & (at < end) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80) if len(data) else np.zeros(len(at), bool)).any():
+        at = at + inside
+    return at
+
+
+def _fires(lines: pa.Array, pattern: str) -> np.ndarray:
+    """The numbers of the lines that a pattern matches."""
+    return np.flatnonzero(pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False))
+
+
+def _blanked_tokens(lines: pa.Array, blanked: Blanked) -> list[list[str]]:
+    """The tokens of each line that stand where no other rule matches."""
+    rest = lines
+    for pattern, unless in blanked.others:
+        cleared = pc.replace_substring_regex(rest, pattern, " ")
+        rest = cleared if unless is None else pc.if_else(pc.match_substring_regex(lines, unless), rest, cleared)
+    # The token stands between quotes; the closing one cannot open another.
+    named, found = blanked.pattern.replace("(", "(?P<m>", 1), [[] for _ in range(len(lines))]
+    for i in _fires(rest, blanked.pattern).tolist():
+        left = rest[i].as_py()
+        while (token := next(all_matches(left, named), None)) is not None:
+            found[i].append(token)
+            left = left[left.index(token, 1) + len(token) + 1 :]
+    return found
+
+
+def _parts(content: pa.Array, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers of the rows, cut where the bytes of their texts fill another ``TOGETHER``."""
+    if len(rows):
+        sizes = pc.binary_length(content).take(pa.array(rows)).to_numpy(zero_copy_only=False)
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        yield from np.split(rows, np.flatnonzero(np.diff(before // TOGETHER)) + 1)
+
+
+def _located(
+    texts: Sequence[str], on: dict[int, np.ndarray], rules: dict[int, Located], blanked: Blanked | None
+) -> pa.Array:
+    """What ``FOUND`` holds of each text: the lines of the rules that may fire on it.
+
+    The lines of all texts are tried together, so that a pattern is compiled once for them and not once
+    for each. ``on`` tells for each rule on which texts it may fire.
+    """
+    cut = [lines_of(t) for t in texts]
+    counts = np.array([len(c) for c in cut], np.int64)
+    first = np.cumsum(counts) - counts
+    text_of = np.repeat(np.arange(len(cut)), counts)
+    lines = pa.array([line for c in cut for line in c], pa.string())
+    rule_of, line_at, matches, shown = [], [], [], []
+    for i, may in on.items():
+        rows = np.flatnonzero(may[text_of])
+        some = lines if len(rows) == len(lines) else lines.take(pa.array(rows))
+        if blanked and i == blanked.index:
+            fires = _fires(some, blanked.pattern)
+            matches += _blanked_tokens(some.take(pa.array(fires)), blanked)
+            shown += [None] * len(fires)
+        else:
+            rule = rules[i]
+            fires = _fires(some, rule.pattern)
+            matches += matches_of(some, fires, f"(?P<m>{without_groups(rule.pattern)})") if rule.matches else [None] * len(fires)
+            shown += some.take(pa.array(fires)).to_pylist() if rule.line else [None] * len(fires)
+        rule_of.append(np.full(len(fires), i))
+        line_at.append(rows[fires])
+    if not rule_of:
+        return pa.array([[]] * len(cut), _FOUND)
+    at = np.concatenate(line_at)
+    # By text, and within one by rule and line.
+    order = np.argsort(text_of[at], kind="stable")
+    at, numbers = at[order], np.concatenate(rule_of)[order]
+    taken = pa.array(order)
+    hits = pa.StructArray.from_arrays(
+        [
+            pa.array(numbers, pa.int32()), pa.array(at - first[text_of[at]] + 1, pa.int32()),
+            pa.array(matches, pa.list_(pa.string())).take(taken), pa.array(shown, pa.string()).take(taken),
+        ],
+        fields=list(_FOUND.value_type),
+    )
+    ends = np.concatenate(([0], np.cumsum(np.bincount(text_of[at], minlength=len(cut)))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits, type=_FOUND)
 
 
 @cache
@@ -200,15 +278,17 @@ def arrow_gate(
         for name, rules in by_kind.items():
             of_kind = pc.fill_null(pc.equal(kind, name), False)
             mark(np.flatnonzero(of_kind.to_numpy(zero_copy_only=False)), rules)
-        found: list[list] = [[]] * len(content)
-        for row in np.flatnonzero((bits & wanted).any(axis=1)).tolist():
-            text = content[row].as_py()
-            on = [i for i in ends if bits[row, i // WORD] >> i % WORD & 1]
-            hits = _line_hits(lines_of(text), [sought[i] for i in on if i in sought], blanked if blanked and blanked.index in on else None)
-            found[row] = [dict(zip(("rule", "line_no", "matches", "line"), h, strict=True)) for h in hits]
+        parts, place, done = [pa.array([[]], _FOUND)], np.zeros(len(content), np.int64), 1
+        for part in _parts(content, np.flatnonzero((bits & wanted).any(axis=1))):
+            on = {i: bits[part, i // WORD] >> i % WORD & 1 == 1 for i in ends}
+            texts = content.take(pa.array(part)).to_pylist()
+            parts.append(_located(texts, {i: may for i, may in on.items() if may.any()}, sought, blanked))
+            place[part] = np.arange(done, done + len(part))
+            done += len(part)
+        found = pa.concat_arrays(parts).take(pa.array(place))
         offsets = pa.array(np.arange(len(content) + 1, dtype=np.int32) * words)
         return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1))), pa.array(found, _FOUND)], names=["bits", "found"]
+            [pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1))), found], names=["bits", "found"]
         )
 
     # The optimizer may not copy a filter on the bits, and with it the UDF, down.

@@ -235,3 +235,47 @@ def test_many_rules_find_what_few_find(spark):
         return {(r.file_path, r.rule_id, r.start_line, r.match) for r in frame.collect()}
 
     assert run(rules) == run(rules[:32]) | run(rules[32:]) and len(run(rules)) > 200
+
+
+def test_matches_of_many_lines_equal_those_of_each():
+    import numpy as np
+    import pyarrow as pa
+
+    from auditlake.functions.gate import matches_of
+
+    lines = ["aé12 é3 x", "", "none", "7", "é", "1é22é333"]
+    for pattern in (r"(?P<m>[0-9]+)", r"(?P<m>\b[0-9])", r"(?P<m>x*)"):
+        held = pa.array(["cut off", *lines])[1:]
+        each = [matches_of(pa.array([line]), np.zeros(1, np.int64), pattern)[0] for line in lines]
+        assert matches_of(held, np.arange(len(lines)), pattern) == each
+        assert matches_of(held, np.array([0, 3, 5]), pattern) == [each[i] for i in (0, 3, 5)]
+    assert matches_of(held, np.array([0, 5]), r"(?P<m>[0-9]+)") == [["12", "3"], ["1", "22", "333"]]
+
+
+def test_calls_of_the_gate_do_not_grow_with_texts(monkeypatch):
+    """Where every text holds a secret, patterns are compiled for a batch and not for each text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from auditlake.functions import gate
+
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(pc, name)
+
+    monkeypatch.setattr(gate, "pc", Counted())
+    pattern = r"id-[0-9]+"
+    may_fire = gate.arrow_gate([(0, "", pattern)], 0, 1, [gate.Located(0, pattern, True, True)]).func
+    made = {}
+    for n in (3, 300):
+        calls.clear()
+        texts = pa.array([f"first\nid-{i} id-{i + 1}\r\n" if i % 3 else None for i in range(n)])
+        rows = may_fire(texts, pa.nulls(n, pa.string())).to_pylist()
+        hit = [{"rule": 0, "line_no": 2, "matches": ["id-1", "id-2"], "line": "id-1 id-2"}]
+        assert rows[0]["found"] == [] and rows[1] == {"bits": [1], "found": hit}
+        assert rows[-1]["found"][0]["matches"] == [f"id-{n - 1}", f"id-{n}"]
+        made[n] = len(calls)
+    assert made[3] == made[300]
