@@ -145,45 +145,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # A session may ask for its input in so many partitions, where a file has fewer row groups than there
 # are cores; by default texts are read as they lie, without a shuffle.
 PARTITIONS = "spark.auditlake.partitions"
+# Tables whose rows are keys that texts are made of: a few MB of them hold the work of many tasks.
+KEYS_ONLY = ("part", "customer", "supplier")
 
 
-def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The columns targets are made of; keys alone are dealt to two tasks a core, before they become texts."""
     rows = table(spark, sf_dir, name).select(*COLUMNS[name])
     wanted = spark.conf.get(PARTITIONS, None)
+    if wanted is None and name in KEYS_ONLY:
+        wanted = 2 * spark.sparkContext.defaultParallelism
     return rows.repartition(int(wanted)) if wanted else rows
 
 
 def dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(_rows(spark, sf_dir, "part"), DOCKER_PATH, DOCKER_CONTENT)
+    return targets_from_table(rows_of(spark, sf_dir, "part"), DOCKER_PATH, DOCKER_CONTENT)
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(_rows(spark, sf_dir, "part"), K8S_PATH, K8S_CONTENT)
+    return targets_from_table(rows_of(spark, sf_dir, "part"), K8S_PATH, K8S_CONTENT)
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(_rows(spark, sf_dir, "customer"), SECRET_PATH, SECRET_CONTENT)
+    return targets_from_table(rows_of(spark, sf_dir, "customer"), SECRET_PATH, SECRET_CONTENT)
 
 
 def long_dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(_rows(spark, sf_dir, "supplier"), LONG_PATH, LONG_CONTENT)
+    return targets_from_table(rows_of(spark, sf_dir, "supplier"), LONG_PATH, LONG_CONTENT)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(_rows(spark, sf_dir, "documents"), DOCUMENT_PATH, "text")
+    return targets_from_table(rows_of(spark, sf_dir, "documents"), DOCUMENT_PATH, "text")
 
 
 def repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets_from_table(_rows(spark, sf_dir, "documents"), REPO_PATH, "text")
+    return targets_from_table(rows_of(spark, sf_dir, "documents"), REPO_PATH, "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, "pages")
+    rows = rows_of(spark, sf_dir, "pages")
     return targets_from_table(rows, PAGE_PATH, PAGE_CONTENT, unescape_html=True)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, "conversations")
+    rows = rows_of(spark, sf_dir, "conversations")
     return targets_from_table(rows, CONVERSATION_PATH, CONVERSATION_CONTENT)
 
 
@@ -227,7 +232,7 @@ def write_files(files: DataFrame, root: str) -> int:
 def file_tree(spark: SparkSession, sf_dir: str) -> str:
     """Every document and, three times, every customer's text as a file of its own; the root's address."""
     root = shared_path(spark, "tree")
-    customers, texts = _rows(spark, sf_dir, "customer"), _rows(spark, sf_dir, "documents")
+    customers, texts = rows_of(spark, sf_dir, "customer"), rows_of(spark, sf_dir, "documents")
     files = texts.selectExpr(f"{WIDE_FILE} AS path", "text AS content")
     for path in (DEEP_FILE, OLD_FILE, OTHER_FILE):
         files = files.union(customers.selectExpr(f"{path} AS path", f"{SECRET_CONTENT} AS content"))
