@@ -594,7 +594,7 @@ def target_types(spark, sf_dir):
 
 def repaired_texts(spark, sf_dir):
     """Texts whose bytes are not all UTF-8 are repaired and read."""
-    rows = fixtures.table(spark, sf_dir, "customer").select("c_custkey")
+    rows = fixtures.rows_of(spark, sf_dir, "customer")
     body = f"concat(unhex('FFE941'), encode({fixtures.SECRET_CONTENT}, 'UTF-8'))"
     targets = targets_from_table(rows, fixtures.SECRET_PATH, body)
     return match.find(targets, SECRETS).select(*SHOWN)
@@ -602,7 +602,7 @@ def repaired_texts(spark, sf_dir):
 
 def suppressed(spark, sf_dir):
     """Findings of every customer's file, with a list of exceptions that grows with the table."""
-    rows = fixtures.table(spark, sf_dir, "customer").select("c_custkey")
+    rows = fixtures.rows_of(spark, sf_dir, "customer")
     found = match.find(fixtures.configs(spark, sf_dir), SECRETS)
     exact = found.filter(F.pmod(F.regexp_extract("file_path", "[0-9]+", 0).cast("int"), F.lit(4)) == 0)
     exceptions = exact.selectExpr("id AS fingerprint", "CAST(NULL AS STRING) AS rule_id", "CAST(NULL AS STRING) AS path_glob")
@@ -699,11 +699,20 @@ def tree_pruned(spark, sf_dir):
     return counted[0].unionByName(counted[1])
 
 
+# Batches that a table arrives in.
+BATCHES = 4
+
+
+def _in_batches(rows, base):
+    """Rows as a stream of several batches, from files written to a shared folder: one a core for each batch."""
+    files = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(BATCHES * files).write.mode("overwrite").parquet(f"{base}/in")
+    return stream.stream_table(rows.sparkSession, f"{base}/in", rows.schema, files_per_trigger=files)
+
+
 def _arriving(spark, sf_dir, table, base):
-    """Rows of a table as a stream of several batches, from files written to a shared folder."""
-    rows = fixtures.table(spark, sf_dir, table)
-    rows.repartition(4).write.mode("overwrite").parquet(f"{base}/in")
-    return stream.stream_table(spark, f"{base}/in", rows.schema, files_per_trigger=1)
+    """Rows of a table as a stream of several batches."""
+    return _in_batches(fixtures.table(spark, sf_dir, table), base)
 
 
 def _customer_stream(spark, sf_dir, base):
@@ -751,9 +760,7 @@ def stream_dedup(spark, sf_dir):
 def stream_summary(spark, sf_dir):
     """Totals of all targets, kept while they arrive in four batches."""
     base = shared_path(spark, "stream")
-    targets = fixtures.everything(spark, sf_dir)
-    targets.repartition(4).write.parquet(f"{base}/in")
-    arriving = stream.stream_table(spark, f"{base}/in", targets.schema, files_per_trigger=1)
+    arriving = _in_batches(fixtures.everything(spark, sf_dir), base)
     results = match.scan(arriving, ScanOptions(), ("severity",))
     stream.write_summary(results, f"{base}/totals", f"{base}/state").awaitTermination()
     return stream.read_summary(spark, f"{base}/totals")
@@ -763,7 +770,7 @@ def stream_tree(spark, sf_dir):
     """Findings of a tree read as a stream: in two runs, with hidden files added between them, and a third that adds nothing."""
     base = shared_path(spark, "stream")
     root, log = f"{base}/tree", f"{base}/log"
-    rows = fixtures.table(spark, sf_dir, "customer").select("c_custkey")
+    rows = fixtures.rows_of(spark, sf_dir, "customer")
     hidden = "concat('.', CAST(c_custkey % 9 AS STRING), '/', CAST(c_custkey AS STRING), '/.env')"
     files = rows.selectExpr("c_custkey", f"{hidden} AS path", f"{fixtures.SECRET_CONTENT} AS content")
     for part in ("c_custkey % 2 = 0", "c_custkey % 2 = 1", "c_custkey < 0"):

@@ -109,3 +109,17 @@ def test_a_python_scanner_shares_the_pass(spark):
     assert unnest(match.scan(frame.withColumn("metadata", F.create_map()), options)).count() == 3
     text = plan(match.find(fixtures.documents(spark, SF), options))
     assert text.count("FileScan") == 1 and "Exchange" not in text
+
+
+def test_keys_are_dealt_to_all_cores_and_streams_to_several_files(spark, tmp_path):
+    from auditlake.plans import fixtures
+    from auditlake.plans.queries import BATCHES, _arriving
+
+    spark.range(1000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    made = fixtures.configs(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= cores
+    assert made.select("path").distinct().count() == 1000
+    _arriving(spark, str(tmp_path), "customer", str(tmp_path / "base"))
+    assert len(list((tmp_path / "base" / "in").glob("part-*"))) == BATCHES * cores
+    assert spark.read.parquet(str(tmp_path / "base" / "in")).distinct().count() == 1000
