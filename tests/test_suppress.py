@@ -62,3 +62,23 @@ def test_a_glob_that_fixes_nothing_covers_all(spark):
 def test_no_cross_join(spark):
     plan = make(spark, [("f", "R", "a")], [(None, None, "a", "x", None)])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
+def test_globs_are_filed_under_the_longest_text_they_fix():
+    keys = {
+        "cfg/12*": "in:cfg/12", "src/**": "in:src/", "a/**/123.conf": "named:123.conf", "*.env": "ending:env", "src/a/b.py": "in:src/a/b.py",
+        "a/[x/y]z.c": "in:a/", "**": "", "x*": "", "doc": "named:doc", "a?b/*.c": "in:a", "a?b/*.cc": "ending:cc",
+    }
+    assert {g: suppress.filed_under(g) for g in keys} == keys
+
+
+def test_many_globs_of_one_folder_meet_few_findings(spark):
+    """Globs that share a folder and differ after it are not all tried on every finding there."""
+    rows = [(f"f{i}", "R1", f"cfg/{i:04d}.conf") for i in range(1000)]
+    exceptions = [(None, None, f"cfg/{i:04d}*", f"e{i}", None) for i in range(0, 1000, 2)]
+    got = make(spark, rows, exceptions)
+    assert sorted(r.id for r in got.filter("suppressed").collect()) == sorted(f"f{i}" for i in range(0, 1000, 2))
+    found = spark.createDataFrame(rows, "id string, rule_id string, file_path string")
+    filed = suppress._filed(spark.createDataFrame(exceptions, suppress.SCHEMA), F.current_date())
+    keyed = found.select(F.explode(suppress._looked_up(F.col("file_path"), F.col("rule_id"), F.array(F.lit(8)))).alias("_key"))
+    assert keyed.join(filed, "_key").count() == 500
