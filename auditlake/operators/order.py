@@ -42,17 +42,19 @@ def ordered(findings: DataFrame) -> DataFrame:
     return tied.orderBy(*ORDER, "tie").drop("tie")
 
 
-def placed(rows: DataFrame, *columns: str) -> DataFrame:
+def placed(rows: DataFrame, *columns: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Rows in a total order with their ``part`` and ``position`` within it.
 
     The row's own number breaks ties, so that range partitions can cut between
-    the rows of one key, and even between copies of one row.
+    the rows of one key, and even between copies of one row. Columns too long
+    to choose ranges by, whose sample the driver gathers, go ``within``: they
+    order the rows of one key, which then stay in one partition.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     tied = stored(rows, "findings").withColumn("tie", F.monotonically_increasing_id())
     return (
-        tied.repartitionByRange(*columns, "tie")
-        .sortWithinPartitions(*columns, "tie")
+        tied.repartitionByRange(*columns, *(() if within else ("tie",)))
+        .sortWithinPartitions(*columns, *within, "tie")
         .withColumns({"part": F.spark_partition_id(), "position": position})
         .drop("tie")
     )

@@ -17,6 +17,9 @@ TOOL_FULL_NAME = "auditlake, secrets and misconfiguration"
 TOOL_ORGANIZATION = "auditlake"
 # Runs in one merged document.
 RUNS = 100
+# Characters of a run's results that ranges are chosen by, and what stands before the results.
+BEGIN = 1_000
+_RESULTS = '"results":['
 # Fixed values of the SARIF format.
 VERSION = "2.1.0"
 SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -228,10 +231,26 @@ def merge_reports(*reports: DataFrame) -> DataFrame:
     return merged.select(F.explode(runs).alias("run"))
 
 
+def _in_text_order(rows: DataFrame) -> DataFrame:
+    """Runs in the order of their text, with ``part`` and ``position``; see ``order.placed``.
+
+    Whole runs are too long to choose ranges by. Many share all that stands before their results, the tool and
+    its rules; these heads are put in order, each once, and runs by the place of their head and what follows it.
+    No head that ends where results begin is the beginning of another, so that this is the order of the whole text.
+    """
+    at = F.locate(_RESULTS, F.col("run"))
+    end = F.when(at > 0, at + len(_RESULTS) - 1).otherwise(F.length("run"))
+    parted = rows.withColumn("_head", F.col("run").substr(F.lit(1), end))
+    heads = placed(parted.select("_head").distinct(), "_head").withColumnsRenamed({"part": "_head_part", "position": "_head_at"})
+    begun = parted.withColumn("_begin", F.col("run").substr(end + 1, F.lit(BEGIN)))
+    keyed = begun.join(stored(heads, "heads"), "_head").drop("_head")
+    keys = ("_head_part", "_head_at", "_begin")
+    return placed(keyed, *keys, within=("run",)).drop(*keys)
+
+
 def merged_documents(*reports: DataFrame, runs: int = RUNS) -> DataFrame:
     """Documents of many runs: those of all reports, ``runs`` to a document, in the order of their text."""
-    rows = stored(merge_reports(*reports), "runs")
-    ordered = stored(placed(rows, "run"), "ordered-runs")
+    ordered = stored(_in_text_order(stored(merge_reports(*reports), "runs")), "ordered-runs")
     sizes = ordered.groupBy("part").agg(F.count("*").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))

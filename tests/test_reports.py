@@ -214,3 +214,22 @@ def test_a_report_of_nothing_in_one_file(spark, tmp_path):
         reports.write_report(results, str(tmp_path / format), format, single=True)
     assert json.loads((tmp_path / "json").read_text())["results"] == []
     assert json.loads((tmp_path / "sarif").read_text())["runs"][0]["results"] == []
+
+
+def test_runs_are_merged_in_the_order_of_their_text_by_short_keys(spark):
+    """Ranges are chosen by what differs after the common head, not by whole runs, which the driver would gather."""
+    from pyspark.sql import functions as F
+
+    from auditlake.sinks import sarif
+
+    long = "x" * 2_000
+    runs = [f'{{"tool":"{t}","results":[{{"ruleId":"{r:03d}{e}"}}]}}' for t in ("a" * 3_000, "a" * 2_999, "b") for r in range(30, 0, -1) for e in ("", long, long + "y")]
+    runs += [runs[0], '{"tool":"a"}', '{"tool":"b"}']
+    document = spark.createDataFrame([('{"runs":[' + r + "]}",) for r in runs], "document string")
+    made = sarif.merged_documents(document, runs=50).orderBy("chunk").collect()
+    assert [m.runs for m in made] == [50] * (len(runs) // 50) + [len(runs) % 50]
+    assert ",".join(m.document.partition('"runs":[')[2].removesuffix("]}") for m in made) == ",".join(sorted(runs))
+    rows = spark.createDataFrame([(r,) for r in runs], "run string")
+    plan = sarif._in_text_order(rows)._jdf.queryExecution().executedPlan().toString()
+    ranges = [line for line in plan.splitlines() if "rangepartitioning(" in line]
+    assert ranges and not any("run#" in line.partition("rangepartitioning(")[2].partition(")")[0] for line in ranges)

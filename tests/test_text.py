@@ -252,7 +252,7 @@ def test_matches_of_many_lines_equal_those_of_each():
     assert matches_of(held, np.array([0, 5]), r"(?P<m>[0-9]+)") == [["12", "3"], ["1", "22", "333"]]
 
 
-def test_calls_of_the_gate_do_not_grow_with_texts(monkeypatch):
+def test_calls_of_the_gate_do_not_grow_with_texts(spark, monkeypatch):
     """Where every text holds a secret, patterns are compiled for a batch and not for each text."""
     import pyarrow as pa
     import pyarrow.compute as pc
