@@ -711,12 +711,14 @@ def _in_batches(rows, base):
 
 
 def _arriving(spark, sf_dir, table, base):
-    """Rows of a table as a stream of several batches."""
-    return _in_batches(fixtures.table(spark, sf_dir, table), base)
+    """Rows of a table as a stream of several batches, a file each, in the order they are written."""
+    rows = fixtures.table(spark, sf_dir, table)
+    rows.repartition(BATCHES).write.mode("overwrite").parquet(f"{base}/in")
+    return stream.stream_table(spark, f"{base}/in", rows.schema, files_per_trigger=1)
 
 
 def _customer_stream(spark, sf_dir, base):
-    rows = _arriving(spark, sf_dir, "customer", base)
+    rows = _arriving(spark, sf_dir, "customer", base).repartition(2 * spark.sparkContext.defaultParallelism)
     return targets_from_table(rows, fixtures.SECRET_PATH, fixtures.SECRET_CONTENT)
 
 

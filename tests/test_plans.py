@@ -113,13 +113,16 @@ def test_a_python_scanner_shares_the_pass(spark):
 
 def test_keys_are_dealt_to_all_cores_and_streams_to_several_files(spark, tmp_path):
     from auditlake.plans import fixtures
-    from auditlake.plans.queries import BATCHES, _arriving
+    from auditlake.plans.queries import BATCHES, _customer_stream, _in_batches
 
     spark.range(1000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     cores = spark.sparkContext.defaultParallelism
     made = fixtures.configs(spark, str(tmp_path))
     assert made.rdd.getNumPartitions() >= cores
     assert made.select("path").distinct().count() == 1000
-    _arriving(spark, str(tmp_path), "customer", str(tmp_path / "base"))
+    arriving = _customer_stream(spark, str(tmp_path), str(tmp_path / "files"))
+    plan = arriving._jdf.queryExecution().analyzed().toString()
+    assert f"Repartition {2 * cores}, true" in plan
+    _in_batches(spark.read.parquet(str(tmp_path / "customer.parquet")), str(tmp_path / "base"))
     assert len(list((tmp_path / "base" / "in").glob("part-*"))) == BATCHES * cores
     assert spark.read.parquet(str(tmp_path / "base" / "in")).distinct().count() == 1000
