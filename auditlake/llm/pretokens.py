@@ -108,7 +108,9 @@ def pieces(texts: list[str], cuts: Cuts) -> tuple[list[str], np.ndarray, np.ndar
     offsets = np.append(ends[begin], ends[-1])
     data = pa.py_buffer("".join(texts).encode())
     every = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), data).dictionary_encode()
-    return every.dictionary.to_pylist(), every.indices.to_numpy(), np.searchsorted(begin, starts)
+    # By way of numpy the strings are made without an Arrow scalar for each.
+    distinct = every.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return distinct, every.indices.to_numpy(), np.searchsorted(begin, starts)
 
 
 def spread(numbers: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

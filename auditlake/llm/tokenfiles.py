@@ -98,6 +98,20 @@ class WordEncoder:
                 begin = end
         return found
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: most are remembered, and looked up once."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        ids = list(map(self.known.get, words))
+        left = [i for i, held in enumerate(ids) if held is None]
+        for i in left:
+            ids[i] = self.older.get(words[i])
+        new = [i for i in left if ids[i] is None]
+        for i, made in zip(new, self._words([words[i] for i in new]), strict=True):
+            ids[i] = made
+        self.known.update((words[i], ids[i]) for i in left)
+        return ids
+
     def _odd(self, texts: list[str]) -> list[bool]:
         points, starts = code_points(texts)
         folds = np.concatenate(([0], np.cumsum(folds_oddly()[points])))
@@ -113,13 +127,7 @@ class WordEncoder:
             whole = iter(self._packed([t for t, o in zip(part, odd, strict=True) if o]))
             plain = lowered(["" if o else t for t, o in zip(part, odd, strict=True)])
             distinct, numbers, offsets = pieces(plain, word_cuts)
-            if len(self.known) > REMEMBERED:
-                self.known, self.older = {}, self.known
-            known, older = self.known, self.older
-            known.update({w: older[w] for w in distinct if w in older and w not in known})
-            new = [w for w in distinct if w not in known]
-            known.update(zip(new, self._words(new), strict=True))
-            flat, ends = spread(numbers, [known[w] for w in distinct], self.width)
+            flat, ends = spread(numbers, self._ids(distinct), self.width)
             bounds = ends[offsets]
             for i, o in enumerate(odd):
                 yield next(whole) if o else flat[bounds[i] : bounds[i + 1]].tobytes()

@@ -67,6 +67,37 @@ def test_words_equal_the_library():
         assert np.frombuffer(ids, "<u2").tolist() == expected.ids
 
 
+class Counted(dict):
+    """Counts how often it is asked for a key."""
+
+    looked = 0
+
+    def __getitem__(self, key):
+        self.looked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.looked += 1
+        return super().__contains__(key)
+
+    def get(self, key, default=None):
+        self.looked += 1
+        return super().get(key, default)
+
+
+def test_remembered_words_are_looked_up_once(monkeypatch):
+    own = tokenfiles.WordEncoder(WORD)
+    first = list(own.encode(["one two three"]))
+    own.known = Counted(own.known)
+    assert list(own.encode(["one two three"])) == first and own.known.looked == len(own.known)
+    # Words of the generation before, and of none.
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 50)
+    library, texts = Tokenizer.from_file(WORD), noise(600)
+    for i in range(0, 600, 20):
+        expected = library.encode_batch(texts[i : i + 20], add_special_tokens=False)
+        assert [np.frombuffer(ids, "<u2").tolist() for ids in own.encode(texts[i : i + 20])] == [e.ids for e in expected]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 300, 5000])
 def test_perfect_hash(n):
     key = np.sort(np.random.default_rng(n).choice(np.arange(-(10**6), 10**6), n, replace=False))
