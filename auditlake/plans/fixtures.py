@@ -6,6 +6,7 @@ Credential-shaped text is put together from parts, so that none stands here.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyarrow import fs
@@ -213,14 +214,19 @@ OLD_FILE = "concat('old', CAST(c_custkey % 7 AS STRING), '/skip/c', CAST(c_custk
 OTHER_FILE = "concat('other/c', CAST(c_custkey AS STRING), '.conf')"
 
 
+# Folders a task knows to be there while it writes files.
+FOLDERS = 4096
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """Write rows ``(path, content)`` as files below a root all executors reach; how many there are."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = fs.FileSystem.from_uri(root)
+        made = lru_cache(FOLDERS)(store.create_dir)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                store.create_dir(f"{top}/{path.rpartition('/')[0]}")
+                made(f"{top}/{path.rpartition('/')[0]}")
                 with store.open_output_stream(f"{top}/{path}") as out:
                     out.write((content or "").encode())
             yield pd.DataFrame({"files": [len(batch)]})

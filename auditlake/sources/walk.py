@@ -28,6 +28,8 @@ from auditlake.operators.paths import EXCLUDED_NAMES
 
 # Entries a task looks at below one folder before it hands the rest back; rows put out at once.
 STEP, PAGE = 5_000, 10_000
+# Tasks of a round for each folder still open, so that few folders seldom share one.
+TASKS_A_FOLDER = 4
 # What a row of a listing is: a file, a folder that was entered, one left for the next round, one that
 # the globs cut off, one that could not be read.
 FILE, ENTERED, OPEN, CUT, UNREADABLE = "file", "entered", "open", "cut", "unreadable"
@@ -174,9 +176,12 @@ def walk(spark: SparkSession, root: Root, tasks: int | None = None, step: int =
     rounds = [spark.createDataFrame([row], LISTING_SCHEMA)]
     while True:
         left = rounds[-1].filter(F.col("kind") == OPEN).select("path")
-        if left.isEmpty():
+        folders = left.count()
+        if not folders:
             return reduce(DataFrame.unionByName, rounds).filter(F.col("kind") != OPEN)
-        found = left.repartition(tasks, "path").mapInArrow(partial(_listed, root, step), LISTING_SCHEMA)
+        # A round of a deep chain has a folder or two: it needs no more tasks than they can keep busy.
+        spread = left.repartition(min(tasks, TASKS_A_FOLDER * folders), "path")
+        found = spread.mapInArrow(partial(_listed, root, step), LISTING_SCHEMA)
         rounds.append(stored(found, "listing"))
 
 

@@ -181,3 +181,14 @@ def test_nothing_to_scan_is_a_row_of_zeros(spark, root):
 def test_union_keeps_copies(spark, root):
     targets = tree.read_tree(spark, f"{root}/.env")
     assert find(union_targets(targets, targets)).count() == 2
+
+
+def test_rounds_have_tasks_for_their_open_folders_only(spark, tmp_path, monkeypatch):
+    chain = tmp_path.joinpath(*"abcdef")
+    chain.mkdir(parents=True)
+    (chain / "x.txt").write_text("x")
+    tasks = []
+    monkeypatch.setattr(walk, "stored", lambda rows, name, real=walk.stored: tasks.append(rows.rdd.getNumPartitions()) or real(rows, name))
+    found = walk.walk(spark, walk.Root(str(tmp_path)), tasks=64, step=1)
+    assert [r.path for r in found.collect() if r.kind == walk.FILE] == [str(chain / "x.txt")]
+    assert len(tasks) == 7 and max(tasks) <= walk.TASKS_A_FOLDER
