@@ -30,8 +30,14 @@ def decode(content: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Array of lines: a final newline adds none, each loses one trailing return."""
-    last = _drop_end(_drop_end(content, "\n"), "\r")
-    return F.split(F.replace(last, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    def ended(lines: Column) -> Column:
+        final = (F.size(lines) > 1) & (F.try_element_at(lines, F.lit(-1)) == "")
+        return F.when(final, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+    # Cut first: to take a sign off a whole text counts and copies all of it.
+    lines = F.get(F.transform(F.array(F.split(content, "\n", -1)), ended), F.lit(0))
+    short = F.transform(lines, lambda line: _drop_end(line, "\r"))
+    return F.when(content.contains("\r"), short).otherwise(lines)
 
 
 def _drop_end(value: Column, end: str) -> Column:

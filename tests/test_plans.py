@@ -126,3 +126,18 @@ def test_keys_are_dealt_to_all_cores_and_streams_to_several_files(spark, tmp_pat
     _in_batches(spark.read.parquet(str(tmp_path / "customer.parquet")), str(tmp_path / "base"))
     assert len(list((tmp_path / "base" / "in").glob("part-*"))) == BATCHES * cores
     assert spark.read.parquet(str(tmp_path / "base" / "in")).distinct().count() == 1000
+
+
+def test_lines_of_kind_rules_are_found_by_the_gate():
+    located = [match.Matcher().rules[i].id for i in match.Matcher()._located]
+    assert {"DOCKER001", "DOCKER010", "K8S001", "K8S015", "SEC001"} <= set(located)
+    assert not {"DOCKER008", "K8S008", "K8S017"} & set(located)
+
+
+def test_findings_with_some_fields_are_those_with_all(spark):
+    fields = ("rule_id", "start_line")
+    every = match.find(everything(spark))
+    some = match.find(everything(spark), fields=fields)
+    assert some.columns == list(fields)
+    assert sorted(some.collect()) == sorted(every.select(*fields).collect())
+    assert "sha2" not in plan(some) and "sha2" in plan(every)
