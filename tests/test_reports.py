@@ -233,3 +233,20 @@ def test_runs_are_merged_in_the_order_of_their_text_by_short_keys(spark):
     plan = sarif._in_text_order(rows)._jdf.queryExecution().executedPlan().toString()
     ranges = [line for line in plan.splitlines() if "rangepartitioning(" in line]
     assert ranges and not any("run#" in line.partition("rangepartitioning(")[2].partition(")")[0] for line in ranges)
+
+
+def test_rules_of_a_run_are_compared_flat_and_keep_their_order(spark):
+    rows = targets(spark, [("Dockerfile", "FROM a:latest\nUSER root\nUSER root\n"), ("a/Dockerfile", "USER root\n")])
+    kept = find(rows).select("rule_id", "title", "description", "severity", "type", "remediation", "file_path", "start_line", "id", "end_line", "match")
+    gathered = kept.agg(F.sort_array(F.collect_list(F.struct(*kept.columns))).alias("fs"))
+    fs = F.col("fs")
+    shown = gathered.select(
+        sarif.run(fs)["tool"]["driver"]["rules"].alias("rules"),
+        F.array_distinct(F.transform(fs, sarif.rule)).alias("nested"),
+        sarif.github_run(fs, "")["tool"]["driver"]["rules"].alias("short"),
+        F.array_distinct(F.transform(fs, lambda f: sarif.rule(f, True))).alias("nested_short"),
+    )
+    row = shown.first()
+    assert row.rules == row.nested and len(row.rules) > 2 and row.short == row.nested_short
+    tool = gathered.select(sarif.run(fs)["tool"].alias("tool"))
+    assert "array_distinct(transform(fs" in tool._jdf.queryExecution().analyzed().toString()
