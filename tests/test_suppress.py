@@ -82,3 +82,18 @@ def test_many_globs_of_one_folder_meet_few_findings(spark):
     filed = suppress._filed(spark.createDataFrame(exceptions, suppress.SCHEMA), F.current_date())
     keyed = found.select(F.explode(suppress._looked_up(F.col("file_path"), F.col("rule_id"), F.array(F.lit(8)))).alias("_key"))
     assert keyed.join(filed, "_key").count() == 500
+
+
+def test_no_list_goes_through_the_driver(spark):
+    """Not even where Spark takes the tables for small, by the column their texts are made of."""
+    found = spark.range(2000).selectExpr("concat('f', id) AS id", "'R1' AS rule_id", "concat('cfg/', id, '.conf') AS file_path")
+    listed = spark.range(1000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN concat('f', id) END AS fingerprint", "CAST(NULL AS STRING) AS rule_id",
+        "CASE WHEN id % 2 = 1 THEN concat('cfg/', id, '.*') END AS path_glob", "'known' AS reason", "CAST(NULL AS DATE) AS until",
+    )
+    got = suppress.marked(found, listed)
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "Broadcast" not in plan.toString()
+    assert got.filter("suppressed").count() == 1000
+    rows = got.collect()
+    assert "Broadcast" not in plan.toString() and len(rows) == 2000
