@@ -5,8 +5,10 @@ Credential-shaped text is put together from parts, so that none stands here.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyarrow import fs
@@ -219,28 +221,54 @@ FOLDERS = 4096
 
 
 def write_files(files: DataFrame, root: str) -> int:
-    """Write rows ``(path, content)`` as files below a root all executors reach; how many there are."""
+    """Write rows ``(path, content)`` as files below a root all executors reach; how many there are.
+
+    With ``also``, an array of paths, each row's content stands under those as well: in folders of a mounted
+    path as further names of the one file, which take no inode or block each, else as files of their own.
+    """
+    named = "also" in files.columns
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = fs.FileSystem.from_uri(root)
         made = lru_cache(FOLDERS)(store.create_dir)
+        links = isinstance(store, fs.LocalFileSystem)
+
+        def write(path: str, body: bytes) -> None:
+            with store.open_output_stream(f"{top}/{path}") as out:
+                out.write(body)
+
+        def name(first: str, path: str, body: bytes) -> None:
+            try:
+                if links:
+                    return os.link(f"{top}/{first}", f"{top}/{path}")
+            except OSError:  # a file is there, has too many names, or the mount knows no further names
+                pass
+            write(path, body)
+
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            written = 0
+            for path, content, more in zip(batch["path"], batch["content"], batch["also"] if named else repeat(())):
+                body = (content or "").encode()
                 made(f"{top}/{path.rpartition('/')[0]}")
-                with store.open_output_stream(f"{top}/{path}") as out:
-                    out.write((content or "").encode())
-            yield pd.DataFrame({"files": [len(batch)]})
-
-    written = files.select("path", "content").mapInPandas(put, "files bigint")
+                write(path, body)
+                for other in more:
+                    made(f"{top}/{other.rpartition('/')[0]}")
+                    name(path, other, body)
+                written += 1 + len(more)
+            yield pd.DataFrame({"files": [written]})
+
+    columns = ("path", "content", "also") if named else ("path", "content")
+    written = files.select(*columns).mapInPandas(put, "files bigint")
     return written.agg(F.sum("files")).first()[0] or 0
 
 
 def file_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Every document and, three times, every customer's text as a file of its own; the root's address."""
+    """Every document and, three times, every customer's text under a name of its own; the root's address."""
     root = shared_path(spark, "tree")
     customers, texts = rows_of(spark, sf_dir, "customer"), rows_of(spark, sf_dir, "documents")
-    files = texts.selectExpr(f"{WIDE_FILE} AS path", "text AS content")
-    for path in (DEEP_FILE, OLD_FILE, OTHER_FILE):
-        files = files.union(customers.selectExpr(f"{path} AS path", f"{SECRET_CONTENT} AS content"))
-    write_files(files, root)
+    files = texts.selectExpr(f"{WIDE_FILE} AS path", "text AS content", "CAST(array() AS array<string>) AS also")
+    thrice = customers.selectExpr(
+        f"{DEEP_FILE} AS path", f"{SECRET_CONTENT} AS content", f"array({OLD_FILE}, {OTHER_FILE}) AS also"
+    )
+    write_files(files.union(thrice), root)
     return root

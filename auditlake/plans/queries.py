@@ -686,7 +686,9 @@ def tree_wide(spark, sf_dir):
     root = fixtures.file_tree(spark, sf_dir).removeprefix("file:")
     options = ScanOptions(scanners=("secrets",), entropy=True, includes=("wide/**", "deep/**"), excludes=(), max_file_bytes=1 << 40)
     found = match.find(read_tree(spark, root, options), options)
-    top = F.element_at(F.split(F.substring(F.col("file_path"), len(root) + 2, 1 << 30), "/"), 1)
+    # The root's own name: an address may spell what stands before it with more slashes than paths have.
+    below = F.substring_index("file_path", f"/{root.rpartition('/')[2]}/", -1)
+    top = F.element_at(F.split(below, "/"), 1)
     return _counts(found.withColumn("project", top), "project", "rule_id")
 
 

@@ -30,8 +30,8 @@ from auditlake.sources import walk
 from auditlake.sources.tables import file_metadata, with_longest_line
 from auditlake.sources.walk import Root, store_of
 
-# Bytes of file content one task hands to Spark at a time.
-_BATCH_BYTES = 32 * 1024 * 1024
+# Bytes of file content, and files, one task hands to Spark at a time.
+_BATCH_BYTES, _BATCH_FILES = 32 * 1024 * 1024, 10_000
 
 
 def _checked(root: str) -> str:
@@ -120,7 +120,7 @@ def _read_files(root: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataF
             sizes.append(size)
             bodies.append(body)
             held += len(body)
-            if held >= _BATCH_BYTES:
+            if held >= _BATCH_BYTES or len(paths) >= _BATCH_FILES:
                 yield flush()
                 paths, sizes, bodies, held = [], [], [], 0
     if paths:

@@ -192,3 +192,59 @@ def test_rounds_have_tasks_for_their_open_folders_only(spark, tmp_path, monkeypa
     found = walk.walk(spark, walk.Root(str(tmp_path)), tasks=64, step=1)
     assert [r.path for r in found.collect() if r.kind == walk.FILE] == [str(chain / "x.txt")]
     assert len(tasks) == 7 and max(tasks) <= walk.TASKS_A_FOLDER
+
+
+def test_a_text_under_several_names_is_one_file(spark, tmp_path):
+    from auditlake.plans import fixtures
+
+    rows = spark.createDataFrame(
+        [("a/1", "x", ["b/c/1", "d/1"]), ("a/2", None, []), ("a/1", "x", ["b/c/1", "d/1"])],
+        "path string, content string, also array<string>",
+    ).coalesce(1)
+    told = fixtures.write_files(rows, f"file://{tmp_path}/t")
+    texts = {p: open(f"{tmp_path}/t/{p}").read() for p in ("a/1", "a/2", "b/c/1", "d/1")}
+    assert told == 7 and texts == {"a/1": "x", "a/2": "", "b/c/1": "x", "d/1": "x"}
+    assert sum(len(names) for _, _, names in os.walk(f"{tmp_path}/t")) == 4
+    assert len({os.stat(f"{tmp_path}/t/{p}").st_ino for p in ("a/1", "b/c/1", "d/1")}) == 1
+
+
+def test_a_tree_takes_an_inode_for_each_text(spark):
+    """A disk has so many inodes; the tree of a large table has to leave some."""
+    from auditlake.plans import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    top = fixtures.file_tree(spark, sf).removeprefix("file://").removeprefix("file:")
+    found = [os.stat(f"{at}/{name}") for at, _, names in os.walk(top) for name in names]
+    customers, documents = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("customer", "documents"))
+    assert len(found) == 3 * customers + documents
+    assert len({f.st_ino for f in found}) == customers + documents
+
+
+def test_small_files_are_handed_on_in_bounded_batches(tmp_path, monkeypatch):
+    import pandas as pd
+
+    paths = [f"{tmp_path}/{i:02d}" for i in range(25)]
+    for path in paths:
+        with open(path, "w") as file:
+            file.write("x")
+    given = pd.DataFrame({"path": paths, "shown": paths, "size": [1] * len(paths)})
+    monkeypatch.setattr(tree, "_BATCH_FILES", 10, raising=False)
+    got = list(tree._read_files(str(tmp_path), iter([given])))
+    assert [len(part) for part in got] == [10, 10, 5]
+    assert [p for part in got for p in part["path"]] == paths
+
+
+def test_projects_of_a_wide_tree_by_any_address(spark, tmp_path, monkeypatch):
+    """Whether the shared folder is spelt ``file:/`` or ``file:///``."""
+    from auditlake.plans import fixtures, queries
+
+    def written(session, _):
+        made = f"file://{tmp_path}/tree-1"
+        for n, at in enumerate(("wide/1.txt", "deep/0/1/c1.conf", "old0/skip/c1.conf", "other/c1.conf")):
+            rows = session.createDataFrame([(at, f"id={KEY}\n" * (n + 1))], "path string, content string")
+            fixtures.write_files(rows, made)
+        return made
+
+    monkeypatch.setattr(fixtures, "file_tree", written)
+    got = sorted(tuple(r) for r in queries.tree_wide(spark, "").collect())
+    assert {r[0]: r[2] for r in got} == {"wide": 1, "deep": 2}
