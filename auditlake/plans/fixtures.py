@@ -150,16 +150,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PARTITIONS = "spark.auditlake.partitions"
 # Tables whose rows are keys that texts are made of: a few MB of them hold the work of many tasks.
 KEYS_ONLY = ("part", "customer", "supplier")
-# Bytes of a table from which dealing its keys is worth an exchange: below are some hundred rows.
-DEALT_FROM = 16 * 1024
+# Bytes of keys, as Spark rates the columns, from which dealing them is worth an exchange: below are some hundred rows.
+DEALT_FROM = 3 * 1024
 
 
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The columns targets are made of; keys alone, if not few, are dealt to two tasks a core, before they become texts."""
-    whole = table(spark, sf_dir, name)
-    rows = whole.select(*COLUMNS[name])
+    rows = table(spark, sf_dir, name).select(*COLUMNS[name])
     wanted = spark.conf.get(PARTITIONS, None)
-    if wanted is None and name in KEYS_ONLY and whole._jdf.queryExecution().analyzed().stats().sizeInBytes() >= DEALT_FROM:
+    if wanted is None and name in KEYS_ONLY and rows._jdf.queryExecution().analyzed().stats().sizeInBytes() >= DEALT_FROM:
         wanted = 2 * spark.sparkContext.defaultParallelism
     return rows.repartition(int(wanted)) if wanted else rows
 
